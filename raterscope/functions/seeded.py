@@ -32,5 +32,5 @@ def unit_interval(key: Column) -> Column:
 
 def pick(values: Sequence[float], key: Column) -> Column:
     """One of ``values``, chosen by a seeded key."""
-    choices = F.array(*[F.lit(v) for v in values])
+    choices = F.expr(f"array({', '.join(f'{float(v)!r}D' for v in values)})")
     return F.element_at(choices, (_leading_integer(key) % len(values) + 1).cast("int"))

@@ -99,7 +99,9 @@ def parse_answers(
 ) -> DataFrame:
     """Ratings of the readable answers only."""
     audited = audit_answers(lines, column, min_rating, max_rating)
-    return audited.filter(F.col("status") == OK).drop("status")
+    fields = F.struct(*[c for c in audited.columns if c != "status"])
+    # A plain filter on the status would be pushed below the parsing and repeat it.
+    return audited.select(F.inline(F.when(F.col("status") == OK, F.array(fields))))
 
 
 def audit_counts(audited: DataFrame) -> DataFrame:

@@ -35,27 +35,24 @@ def first_user_histogram(df: DataFrame, user_col: str = "user_id", rating_col: s
 
 
 def _long_form(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
-    entries = F.array(
-        *[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features]
-    )
-    return df.select(label, F.inline(entries)).filter(is_number("value"))
+    entries = ", ".join(f"'{f}', double({f})" for f in features)
+    long = df.selectExpr(label, f"stack({len(features)}, {entries}) AS (feature, value)")
+    return long.filter(is_number("value"))
 
 
 def _feature_shapes(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     """Range, size and spread per feature and class: one aggregation to one row per class."""
 
-    def shape(feature: str):
-        value = F.when(is_number(feature), F.col(feature).cast("double"))
-        return F.struct(
-            F.lit(feature).alias("feature"),
-            F.min(value).alias("lo"),
-            F.max(value).alias("hi"),
-            F.count(value).alias("_n"),
-            F.stddev_samp(value).alias("_sd"),
+    def shape(feature: str) -> str:
+        value = f"nullif(double({feature}), double('NaN'))"
+        return (
+            f"named_struct('feature', '{feature}', 'lo', min({value}), 'hi', max({value}), "
+            f"'_n', count({value}), '_sd', stddev_samp({value}))"
         )
 
-    per_class = df.groupBy(label).agg(F.array(*[shape(f) for f in features]).alias("_shapes"))
-    return per_class.select(label, F.inline("_shapes")).filter(F.col("_n") > 0)
+    shapes = F.expr(f"array({', '.join(shape(f) for f in features)})")
+    per_class = df.groupBy(label).agg(shapes.alias("_shapes"))
+    return per_class.select(label, F.inline("_shapes")).filter("_n > 0")
 
 
 def feature_histogram(

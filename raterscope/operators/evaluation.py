@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ranking import totals_before
@@ -16,9 +16,9 @@ from .ranking import totals_before
 _METRICS = ("precision", "recall", "f1")
 
 
-def _ratio(over: Column, under: Column) -> Column:
+def _ratio(over: str, under: str) -> str:
     """Quotient, 0 where the denominator is 0."""
-    return F.coalesce(F.try_divide(over.cast("double"), under.cast("double")), F.lit(0.0))
+    return f"coalesce(try_divide(double({over}), double({under})), 0D)"
 
 
 def _score_counts(scored: DataFrame, by: Sequence[str], label: str, score: str) -> DataFrame:
@@ -96,18 +96,10 @@ def confusion_matrix(
     """Rows per true and predicted class; all four cells of each group are present."""
     cells = [(t, p) for t in (0, 1) for p in (0, 1)]
     counted = scored.groupBy(*by).agg(
-        *[
-            F.count_if((F.col(label) == t) & (F.col(prediction) == p)).alias(f"_{t}{p}")
-            for t, p in cells
-        ]
+        *[F.expr(f"count_if({label} = {t} AND {prediction} = {p}) AS _{t}{p}") for t, p in cells]
     )
-    entries = F.array(
-        *[
-            F.struct(F.lit(t).alias("label"), F.lit(p).alias("prediction"), F.col(f"_{t}{p}").alias("n"))
-            for t, p in cells
-        ]
-    )
-    return counted.select(*by, F.inline(entries))
+    entries = [f"named_struct('label', {t}, 'prediction', {p}, 'n', _{t}{p})" for t, p in cells]
+    return counted.select(*by, F.expr(f"inline(array({', '.join(entries)}))"))
 
 
 def classification_report(
@@ -121,43 +113,40 @@ def classification_report(
     One aggregation to four counts per group; the rest is arithmetic on them. Accuracy is held
     in all three metric columns of its row.
     """
-    truth, guess = F.col(label) == 1, F.col(prediction) == 1
+    truth, guess = f"{label} = 1", f"{prediction} = 1"
     counts = scored.groupBy(*by).agg(
-        F.count_if(truth & guess).alias("_tp"),
-        F.count_if(truth & ~guess).alias("_fn"),
-        F.count_if(~truth & guess).alias("_fp"),
-        F.count_if(~truth & ~guess).alias("_tn"),
-    )
-    tp, fn, fp, tn = (F.col(c) for c in ("_tp", "_fn", "_fp", "_tn"))
-    per_class = counts.withColumns(
-        {
-            "_p0": _ratio(tn, tn + fn),
-            "_r0": _ratio(tn, tn + fp),
-            "_f0": _ratio(2 * tn, 2 * tn + fn + fp),
-            "_n0": tn + fp,
-            "_p1": _ratio(tp, tp + fp),
-            "_r1": _ratio(tp, tp + fn),
-            "_f1": _ratio(2 * tp, 2 * tp + fp + fn),
-            "_n1": tp + fn,
-        }
+        F.expr(f"count_if({truth} AND {guess}) AS _tp"),
+        F.expr(f"count_if({truth} AND NOT {guess}) AS _fn"),
+        F.expr(f"count_if(NOT {truth} AND {guess}) AS _fp"),
+        F.expr(f"count_if(NOT {truth} AND NOT {guess}) AS _tn"),
     )
-    n0, n1 = F.col("_n0"), F.col("_n1")
-    total = n0 + n1
-
-    def entry(name: str, values: Sequence[Column], support: Column) -> Column:
-        named = [v.alias(m) for m, v in zip(_METRICS, values)]
-        return F.struct(F.lit(name).alias("class"), *named, support.alias("support"))
-
-    zero = [F.col(f"_{m}0") for m in "prf"]
-    one = [F.col(f"_{m}1") for m in "prf"]
-    entries = F.array(
-        entry("0", zero, n0),
-        entry("1", one, n1),
-        entry("accuracy", [_ratio(tp + tn, total)] * 3, total),
-        entry("macro avg", [(a + b) / 2.0 for a, b in zip(zero, one)], total),
-        entry("weighted avg", [_ratio(a * n0 + b * n1, total) for a, b in zip(zero, one)], total),
+    per_class = counts.selectExpr(
+        *by,
+        f"{_ratio('_tn', '_tn + _fn')} AS _p0",
+        f"{_ratio('_tn', '_tn + _fp')} AS _r0",
+        f"{_ratio('2 * _tn', '2 * _tn + _fn + _fp')} AS _f0",
+        "_tn + _fp AS _n0",
+        f"{_ratio('_tp', '_tp + _fp')} AS _p1",
+        f"{_ratio('_tp', '_tp + _fn')} AS _r1",
+        f"{_ratio('2 * _tp', '2 * _tp + _fp + _fn')} AS _f1",
+        "_tp + _fn AS _n1",
+        f"{_ratio('_tp + _tn', '_tp + _tn + _fp + _fn')} AS _accuracy",
     )
-    return per_class.select(*by, F.inline(entries))
+    total = "_n0 + _n1"
+    macro = [f"(_{m}0 + _{m}1) / 2D" for m in "prf"]
+    weighted = [_ratio(f"_{m}0 * _n0 + _{m}1 * _n1", total) for m in "prf"]
+    rows = [
+        ("0", ["_p0", "_r0", "_f0"], "_n0"),
+        ("1", ["_p1", "_r1", "_f1"], "_n1"),
+        ("accuracy", ["_accuracy"] * 3, total),
+        ("macro avg", macro, total),
+        ("weighted avg", weighted, total),
+    ]
+    entries = [
+        f"named_struct('class', '{name}', 'precision', {p}, 'recall', {r}, 'f1', {f}, 'support', {n})"
+        for name, (p, r, f), n in rows
+    ]
+    return per_class.select(*by, F.expr(f"inline(array({', '.join(entries)}))"))
 
 
 def average_report(

@@ -12,9 +12,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Halving steps of the slot search; 2**10 slots need 1023 splitters.
-_SEARCH_STEPS = (512, 256, 128, 64, 32, 16, 8, 4, 2, 1)
 _SLOTS = 1024
+# Number of splitters at or below the value: binary search, one array element per halving step.
+_SLOT_OF = (
+    "aggregate(array(512, 256, 128, 64, 32, 16, 8, 4, 2, 1), 0, "
+    "(at, step) -> if(element_at(_splitters, at + step) <= {value}, at + step, at))"
+)
 
 
 def hashed_rank(
@@ -51,16 +54,6 @@ def hashed_rank(
     )
 
 
-def _slot_of(value: Column, splitters: Column) -> Column:
-    """Number of splitters at or below ``value``, by binary search in the sorted array."""
-    steps = F.array(*[F.lit(s) for s in _SEARCH_STEPS])
-    return F.aggregate(
-        steps,
-        F.lit(0),
-        lambda at, step: F.when(F.element_at(splitters, at + step) <= value, at + step).otherwise(at),
-    )
-
-
 def totals_before(
     df: DataFrame, by: Sequence[str], order: str, values: Sequence[str]
 ) -> DataFrame:
@@ -72,13 +65,13 @@ def totals_before(
     each: that table is small by construction, and is broadcast.
     """
     by = list(by)
-    fractions = F.array(*[F.lit(i / _SLOTS) for i in range(1, _SLOTS)])
+    fractions = ", ".join(f"{i / _SLOTS!r}D" for i in range(1, _SLOTS))
     splitters = df.groupBy(*by).agg(
-        F.percentile_approx(order, fractions, 20 * _SLOTS).alias("_splitters")
+        F.expr(f"percentile_approx({order}, array({fractions}), {20 * _SLOTS}) AS _splitters")
     )
     slotted = (
         df.join(F.broadcast(splitters), by)
-        .withColumn("_slot", _slot_of(F.col(order), F.col("_splitters")))
+        .withColumn("_slot", F.expr(_SLOT_OF.format(value=order)))
         .drop("_splitters")
     )
     sums = slotted.groupBy(*by, "_slot").agg(*[F.sum(v).alias(f"_{v}_slot") for v in values])

@@ -65,7 +65,7 @@ def score_raters(
     and what is no number counts as missing. A rater whose features are undefined (one rating,
     or all equal) is reported with status ``undefined_features``. An unknown target raises.
     """
-    ratings, user_col, rating_col = _upload(ratings, user_col, rating_col)
+    ratings, user_col, rating_col = as_upload(ratings, user_col, rating_col)
     if target_user is not None:
         ratings = only_user(ratings, user_col, target_user)
         if ratings.isEmpty():
@@ -78,14 +78,15 @@ def score_combined(
     model: PipelineModel, ratings: DataFrame, user_col: str | None = None, rating_col: str | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Prediction and statistics of all ratings taken as one rater."""
-    ratings, user_col, rating_col = _upload(ratings, user_col, rating_col)
+    ratings, user_col, rating_col = as_upload(ratings, user_col, rating_col)
     features = with_status(combined_features(ratings, user_col, rating_col), NO_VALID_RATINGS)
     return apply_model(model, features, user_col), score_stats(features, user_col)
 
 
-def _upload(
+def as_upload(
     ratings: DataFrame, user_col: str | None, rating_col: str | None
 ) -> tuple[DataFrame, str, str]:
+    """User and numeric rating column of an uploaded table, with the names used."""
     if user_col is None or rating_col is None:
         first, second = default_columns(ratings)
         user_col, rating_col = user_col or first, rating_col or second

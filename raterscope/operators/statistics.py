@@ -82,10 +82,6 @@ def user_statistics(
     return stats.dropna("any") if drop_undefined else stats
 
 
-def _total(columns: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a + b, columns)
-
-
 def _from_levels(
     clean: DataFrame, user_col: str, levels: list[float], features: Sequence[str], drop_undefined: bool
 ) -> DataFrame:
@@ -95,49 +91,54 @@ def _from_levels(
     they pass 2**53, and close to it beyond. Undefined raters are recognised by their counts: a
     filter on the finished formulas would be pushed below them and repeat them.
     """
+    values = [f"{v!r}D" for v in levels]
     counts = [f"_n{i}" for i in range(len(levels))]
-    shift = levels[len(levels) // 2]
-    power = F.col("_rating") - F.lit(shift)
+    shift = values[len(values) // 2]
+    powers = [" * ".join([f"(_rating - {shift})"] * k) for k in (1, 2, 3, 4)]
     grouped = clean.groupBy(user_col).agg(
         F.count(F.lit(1)).alias("_n"),
-        *[F.count_if(F.col("_rating") == F.lit(v)).alias(c) for c, v in zip(counts, levels)],
-        *[F.sum(reduce(lambda a, b: a * b, [power] * k)).alias(f"_s{k}") for k in (1, 2, 3, 4)],
+        *[F.expr(f"count_if(_rating = {v}) AS {c}") for v, c in zip(values, counts)],
+        *[F.expr(f"sum({p}) AS _s{k}") for k, p in enumerate(powers, 1)],
     )
-    n, s1, s2, s3, s4 = (F.col(c) for c in ("_n", "_s1", "_s2", "_s3", "_s4"))
-    on_scale = _total([F.col(c) for c in counts]) == n
-    message = F.lit(f"rating outside the declared levels {levels}")
-    checked = grouped.filter(F.when(on_scale, F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))
-    largest = F.greatest(*[F.col(c) for c in counts]) if len(counts) > 1 else F.col(counts[0])
-    varied = largest < n
+    off_scale = f"raise_error('rating outside the declared levels {levels}')"
+    checked = grouped.filter(f"CASE WHEN {' + '.join(counts)} = _n THEN true ELSE {off_scale} END")
+    largest = f"greatest({', '.join(counts)})" if len(counts) > 1 else counts[0]
+    varied = f"{largest} < _n"
     if drop_undefined and {"kurtosis_rating", "skewness_rating"} & set(features):
         checked = checked.filter(varied)
     elif drop_undefined and "sd_rating" in features:
-        checked = checked.filter(n > 1)
+        checked = checked.filter("_n > 1")
 
     # n^2, n^3 and n^4 times the central moments
-    second = n * s2 - s1 * s1
-    third = n * n * s3 - 3.0 * n * s1 * s2 + 2.0 * s1 * s1 * s1
-    fourth = n * n * n * s4 - 4.0 * n * n * s1 * s3 + 6.0 * n * s1 * s1 * s2 - 3.0 * s1 * s1 * s1 * s1
-    pairs = [(F.col(c), F.lit(v)) for c, v in zip(counts, levels)]
+    second = "(_n * _s2 - _s1 * _s1)"
+    third = "(double(_n) * _n * _s3 - 3D * _n * _s1 * _s2 + 2D * _s1 * _s1 * _s1)"
+    fourth = (
+        "(double(_n) * _n * _n * _s4 - 4D * _n * _n * _s1 * _s3"
+        " + 6D * _n * _s1 * _s1 * _s2 - 3D * _s1 * _s1 * _s1 * _s1)"
+    )
+
+    def first_level(tests: Sequence[str]) -> str:
+        return f"CASE {' '.join(f'WHEN {t} THEN {v}' for t, v in tests)} END"
 
-    def quantile(p: float) -> Column:
-        running = [_total([F.col(c) for c in counts[: i + 1]]) for i in range(len(counts))]
-        return F.coalesce(*[F.when(r >= n * F.lit(p), F.lit(v)) for r, v in zip(running, levels)])
+    def quantile(p: float) -> str:
+        running = [" + ".join(counts[: i + 1]) for i in range(len(counts))]
+        return first_level([(f"{r} >= _n * {p}D", v) for r, v in zip(running, values)])
 
-    p_ln_p = [F.when(c > 0, c / n * F.ln(c / n)).otherwise(F.lit(0.0)) for c, _ in pairs]
+    pairs = list(zip(counts, values))
+    p_ln_p = " + ".join(f"if({c} > 0, {c} / _n * ln({c} / _n), 0D)" for c in counts)
     formulas = {
-        "mean_rating": F.lit(shift) + s1 / n,
+        "mean_rating": f"{shift} + _s1 / _n",
         "median_rating": quantile(0.5),
-        "mode_rating": F.coalesce(*[F.when(c == largest, v) for c, v in pairs]),
-        "sd_rating": F.when(varied, F.sqrt(second / (n * (n - 1.0)))).when(n > 1, 0.0),
-        "max_rating": F.coalesce(*[F.when(c > 0, v) for c, v in reversed(pairs)]),
-        "min_rating": F.coalesce(*[F.when(c > 0, v) for c, v in pairs]),
-        "iqr_rating": quantile(0.75) - quantile(0.25),
-        "kurtosis_rating": F.when(varied, fourth / (second * second) - 3.0),
-        "skewness_rating": F.when(varied, third / F.sqrt(second * second * second)),
-        "entropy_rating": F.lit(0.0) - _total(p_ln_p),
+        "mode_rating": first_level([(f"{c} = {largest}", v) for c, v in pairs]),
+        "sd_rating": f"CASE WHEN {varied} THEN sqrt({second} / (_n * (_n - 1D))) WHEN _n > 1 THEN 0D END",
+        "max_rating": first_level([(f"{c} > 0", v) for c, v in reversed(pairs)]),
+        "min_rating": first_level([(f"{c} > 0", v) for c, v in pairs]),
+        "iqr_rating": f"{quantile(0.75)} - {quantile(0.25)}",
+        "kurtosis_rating": f"CASE WHEN {varied} THEN {fourth} / ({second} * {second}) - 3D END",
+        "skewness_rating": f"CASE WHEN {varied} THEN {third} / sqrt({second} * {second} * {second}) END",
+        "entropy_rating": f"0D - ({p_ln_p})",
     }
-    return checked.select(user_col, *[formulas[f].alias(f) for f in features])
+    return checked.select(user_col, *[F.expr(f"{formulas[f]} AS {f}") for f in features])
 
 
 def _moments(features: Sequence[str]) -> list[Column]:

@@ -52,10 +52,9 @@ def queries() -> dict[str, Query]:
     return dict(_REGISTRY)
 
 
-def _round(column):
+def _round(column: str):
     """Six digits; the small shift keeps exact halves from rounding apart, 0.0 removes minus zero."""
-    value = F.col(column) if isinstance(column, str) else column
-    return F.round(value + 1e-9, 6) + 0.0
+    return F.expr(f"round({column} + 1e-9D, 6) + 0D")
 
 
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
