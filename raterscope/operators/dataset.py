@@ -14,6 +14,9 @@ from ..schemas import CORE_FEATURES, DATASET_COLUMNS
 from .cleaning import conform
 from .sampling import sample_about
 
+# Determinant of a correlation matrix below which features count as collinear.
+_SINGULAR = 1e-12
+
 
 def with_label(df: DataFrame, label: int, user_col: str = "user_id") -> DataFrame:
     """Add ``ai_label`` and append it to the id, so that ids of both sources stay apart."""
@@ -74,9 +77,9 @@ def variance_inflation(df: DataFrame, features: Sequence[str] = CORE_FEATURES) -
     matrix = np.eye(len(features))
     for value, (i, j) in zip(row, combinations(range(len(features)), 2)):
         matrix[i, j] = matrix[j, i] = np.nan if value is None else value
-    try:
-        factors = [float(v) if np.isfinite(v) else None for v in np.diag(np.linalg.inv(matrix))]
-    except np.linalg.LinAlgError:
+    if np.isfinite(matrix).all() and np.linalg.det(matrix) > _SINGULAR:
+        factors = [float(v) for v in np.diag(np.linalg.inv(matrix))]
+    else:
         factors = [None] * len(features)
     return df.sparkSession.createDataFrame(list(zip(features, factors)), "feature string, vif double")
 
@@ -91,7 +94,7 @@ def _three_feature_vif(df: DataFrame, features: Sequence[str]) -> DataFrame:
         *[
             F.struct(
                 F.lit(f).alias("feature"),
-                F.when(determinant > 0, (1.0 - r * r) / determinant).alias("vif"),
+                F.when(determinant > _SINGULAR, (1.0 - r * r) / determinant).alias("vif"),
             )
             for f, r in opposite.items()
         ]
