@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def ratings_per_user(df: DataFrame, user_col: str = "user_id") -> DataFrame:
     """Number of ratings of every user."""
@@ -19,10 +21,12 @@ def qualified_users(df: DataFrame, min_count: int = 300, user_col: str = "user_i
 def keep_users(df: DataFrame, users: DataFrame, user_col: str = "user_id") -> DataFrame:
     """Ratings of the listed users.
 
-    A semi-join: the users side cannot multiply rows, and adaptive execution may split the
-    partition of a very active rater because nothing after it depends on the partitioning.
+    A semi-join: the users side cannot multiply rows. That side is written first. The planner
+    then knows whether it is small enough to broadcast; if not, it is a plain scan, and adaptive
+    execution can split the partition of a very active rater. It could not do so if the side
+    came straight from an aggregation, whose partitioning the join would take over.
     """
-    return df.join(users.select(user_col), user_col, "left_semi")
+    return df.join(cut_lineage(users.select(user_col)), user_col, "left_semi")
 
 
 def qualified_ratings(df: DataFrame, min_count: int = 300, user_col: str = "user_id") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.seeded import pick, seeded_key
 from ..functions.text import clean_text
+from ..session import cut_lineage
 from .sampling import TEMPERATURES, sample_users
 
 # The prompt and the answer budget.
@@ -35,13 +36,16 @@ def sample_requests(
     temperatures: Sequence[float] = TEMPERATURES,
     seed: int = 42,
 ) -> DataFrame:
-    """Ratings of ``n_users`` random users with the temperature drawn for each user."""
+    """Ratings of ``n_users`` random users with the temperature drawn for each user.
+
+    A large sample is written before the join, so that adaptive execution can split the ratings
+    of a very active user.
+    """
     users = sample_users(ratings, n_users, seed).withColumn(
         "temperature", pick(temperatures, seeded_key(seed, F.lit("temperature"), "user_id"))
     )
-    if n_users <= _BROADCAST_USERS:
-        users = F.broadcast(users)
-    return ratings.join(users, "user_id")
+    small = n_users <= _BROADCAST_USERS
+    return ratings.join(F.broadcast(users) if small else cut_lineage(users), "user_id")
 
 
 def build_requests(

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import CORE_FEATURES, STATISTICS
+from ..session import cut_lineage
 from .cleaning import drop_incomplete, is_number, require_columns
 
 MAX_LEVELS = 64
@@ -198,12 +199,12 @@ def _rated(df: DataFrame, user_col: str, rating_col: str) -> DataFrame:
 def rating_histogram(df: DataFrame, user_col: str = "user_id", rating_col: str = "rating") -> DataFrame:
     """Count and share of each distinct rating of each rater.
 
-    The total is joined back rather than taken by a window, so that adaptive execution can split
-    a rater with very many distinct values.
+    The total is joined back rather than taken by a window, and written first, so that adaptive
+    execution can split a rater with very many distinct values.
     """
-    histogram = _histogram(_rated(df, user_col, rating_col), user_col)
-    totals = histogram.groupBy(user_col).agg(F.sum("_count").alias("total_count"))
-    return histogram.join(totals, user_col).select(
+    rated = _rated(df, user_col, rating_col)
+    totals = cut_lineage(rated.groupBy(user_col).agg(F.count(F.lit(1)).alias("total_count")))
+    return _histogram(rated, user_col).join(totals, user_col).select(
         user_col,
         F.col("_rating").alias(rating_col),
         F.col("_count").alias("rating_count"),
@@ -213,9 +214,9 @@ def rating_histogram(df: DataFrame, user_col: str = "user_id", rating_col: str =
 
 
 def tied_modes(df: DataFrame, user_col: str = "user_id", rating_col: str = "rating") -> DataFrame:
-    """All ratings that share a rater's highest count."""
+    """All ratings that share a rater's highest count; joined like :func:`rating_histogram`."""
     histogram = _histogram(_rated(df, user_col, rating_col), user_col)
-    highest = histogram.groupBy(user_col).agg(F.max("_count").alias("max_count"))
+    highest = cut_lineage(histogram.groupBy(user_col).agg(F.max("_count").alias("max_count")))
     return (
         histogram.join(highest, user_col)
         .filter(F.col("_count") == F.col("max_count"))

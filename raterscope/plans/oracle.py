@@ -97,12 +97,12 @@ k AS (SELECT *, row_number() OVER (PARTITION BY ai_label ORDER BY {_key(seed, "u
 
 
 def _balanced() -> str:
-    return f"{_ranked()}, b AS (SELECT *, (class_rank - 1) % 6 AS fold FROM k WHERE class_rank <= smallest)"
+    return f"{_ranked()}, b AS (SELECT *, ((class_rank - 1) % 6)::INT AS fold FROM k WHERE class_rank <= smallest)"
 
 
 def _scored() -> str:
     return f"""{_ranked(7)},
-s AS (SELECT (class_rank - 1) % 6 AS fold, user_id, ai_label AS label, kurtosis_rating AS score,
+s AS (SELECT ((class_rank - 1) % 6)::INT AS fold, user_id, ai_label AS label, kurtosis_rating AS score,
   CASE WHEN kurtosis_rating > -1 THEN 1 ELSE 0 END AS prediction FROM k)"""
 
 
@@ -263,7 +263,7 @@ def oracle_sql() -> dict[str, str]:
         "q_learning_subsets": f"{_balanced()}, h AS (SELECT user_id, ai_label, fold, held_out FROM b, range(6) g(held_out) WHERE fold <> held_out), "
         f"t AS (SELECT *, row_number() OVER (PARTITION BY held_out ORDER BY {_key(42, 'user_id')}) AS train_rank, "
         "count(*) OVER (PARTITION BY held_out) AS train_size FROM h) "
-        "SELECT *, (train_rank * 10 + train_size - 1) // train_size AS first_step FROM t",
+        "SELECT * REPLACE (held_out::INT AS held_out), ((train_rank * 10 + train_size - 1) // train_size)::INT AS first_step FROM t",
         "q_int_hist": f"WITH r AS ({_CUSTOMER}), b AS (SELECT unnest(range(floor(min(rating))::BIGINT, ceil(max(rating))::BIGINT + 1)) AS bin FROM r) "
         "SELECT bin, count(rating) AS n FROM b LEFT JOIN r ON floor(rating) = bin GROUP BY bin",
         "q_first_user_hist": f"WITH s AS ({_CUSTOMER}), r AS (SELECT * FROM s WHERE user_id = (SELECT min(user_id) FROM s)), "
@@ -283,7 +283,7 @@ g AS (SELECT feature, ai_label, min(value) AS lo, max(value) AS hi, count(*) AS
 p AS (SELECT g.*, i.point, {grid_x} AS x FROM g, range(200) i(point) WHERE h IS NOT NULL OR point = 0),
 k AS (SELECT feature, ai_label, point, x, lo, hi, n, sum(exp(-0.5 * ((x - value) / h) * ((x - value) / h))) / (n * h * sqrt(2 * pi())) AS density
   FROM p JOIN v USING (feature, ai_label) GROUP BY feature, ai_label, point, x, lo, hi, n, h)
-SELECT feature, ai_label, point, {_r("x")}, {_r("density")}, {_r(f"density * n * {width} / 30", "scaled")} FROM k""",
+SELECT feature, ai_label, point::INT AS point, {_r("x")}, {_r("density")}, {_r(f"density * n * {width} / 30", "scaled")} FROM k""",
         "q_auc": f"{_scored()}, {_areas('fold')} SELECT fold, n_pos, n_neg, {_r('auc')} FROM a",
         "q_mean_auc": f"{_scored()}, {_areas('fold')}, r2 AS (SELECT *, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS mid FROM s) "
         f"SELECT 'mean_fold_auc' AS metric, {_r('avg(auc)', 'auc')} FROM a UNION ALL "
@@ -291,7 +291,7 @@ SELECT feature, ai_label, point, {_r("x")}, {_r("density")}, {_r(f"density * n *
         "q_roc": f"{_scored()}, t AS (SELECT score AS threshold, sum(label) AS pos, count(*) - sum(label) AS neg FROM s GROUP BY score) "
         f"SELECT threshold, {_r('sum(neg) OVER w / sum(neg) OVER ()', 'fpr')}, {_r('sum(pos) OVER w / sum(pos) OVER ()', 'tpr')} "
         "FROM t WINDOW w AS (ORDER BY threshold DESC) UNION ALL SELECT NULL, 0.0, 0.0",
-        "q_confusion": f"{_scored()} SELECT l.v AS label, p.v AS prediction, count(s.label) AS n FROM range(2) l(v) CROSS JOIN range(2) p(v) "
+        "q_confusion": f"{_scored()} SELECT l.v::INT AS label, p.v::INT AS prediction, count(s.label) AS n FROM range(2) l(v) CROSS JOIN range(2) p(v) "
         "LEFT JOIN s ON s.label = l.v AND s.prediction = p.v GROUP BY ALL",
         "q_fold_report": _report(),
         "q_score_stats": f"SELECT user_id, {_r('sd_rating', 'SD')}, {_r('skewness_rating', 'Skewness')}, {_r('kurtosis_rating', 'Kurtosis')} "
