@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 
 from .plans import jobs
+from .schemas import STATISTICS
 from .session import get_session
 
 
@@ -29,8 +30,10 @@ def _parser() -> argparse.ArgumentParser:
     answers.add_argument("--max-rating", type=float)
     statistics = stage("statistics_table", "ratings_path", "out")
     statistics.add_argument("--synthetic", action="store_true", help="columns of machine ratings")
+    statistics.add_argument("--features", nargs="+", default=STATISTICS, choices=STATISTICS)
     labelled = stage("labelled_table", "human_path", "machine_path", "out")
     labelled.add_argument("--n-human", type=int, default=4000)
+    labelled.add_argument("--features", nargs="+", default=STATISTICS, choices=STATISTICS)
     train = stage("train", "dataset_path", "out", "models_folder")
     train.add_argument("--rounds", type=int, default=100)
     train.add_argument("--trees", type=int, default=100)

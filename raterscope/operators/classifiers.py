@@ -30,9 +30,25 @@ def assembler(features: Sequence[str] = CORE_FEATURES, handle_invalid: str = "ke
     return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid=handle_invalid)
 
 
-def boosted_trees(rounds: int = 100, depth: int = 6, step: float = 0.3) -> Builder:
+def boosted_trees(
+    rounds: int = 100,
+    depth: int = 6,
+    step: float = 0.3,
+    min_gain: float = 0.0,
+    subsample: float = 1.0,
+) -> Builder:
+    """``min_gain`` and ``subsample`` are the means Spark has against overfitting."""
+
     def build(label: str, features: Sequence[str], n_rows: int) -> Pipeline:
-        trees = GBTClassifier(labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=step, seed=SEED)
+        trees = GBTClassifier(
+            labelCol=label,
+            maxIter=rounds,
+            maxDepth=depth,
+            stepSize=step,
+            minInfoGain=min_gain,
+            subsamplingRate=subsample,
+            seed=SEED,
+        )
         return Pipeline(stages=[assembler(features), trees])
 
     return build
@@ -62,12 +78,15 @@ def support_vectors(iterations: int = 100, degree: int = 2) -> Builder:
     return build
 
 
-def logistic_regression(iterations: int = 1000) -> Builder:
+def logistic_regression(iterations: int = 1000, standardize: bool = False) -> Builder:
     """Unit penalty on the summed loss, which is 1/n on Spark's mean loss."""
 
     def build(label: str, features: Sequence[str], n_rows: int) -> Pipeline:
         regression = LogisticRegression(
-            labelCol=label, maxIter=iterations, regParam=1.0 / max(n_rows, 1), standardization=False
+            labelCol=label,
+            maxIter=iterations,
+            regParam=1.0 / max(n_rows, 1),
+            standardization=standardize,
         )
         return Pipeline(stages=[assembler(features), regression])
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import encode_id
-from ..schemas import CORE_FEATURES, DATASET_COLUMNS
+from ..schemas import CORE_FEATURES, STATISTICS
 from .cleaning import conform
 from .sampling import sample_about
 
@@ -24,7 +24,11 @@ def with_label(df: DataFrame, label: int, user_col: str = "user_id") -> DataFram
 
 
 def labelled_dataset(
-    human: DataFrame, machine: DataFrame, n_human: int | None = 4000, seed: int = 42
+    human: DataFrame,
+    machine: DataFrame,
+    n_human: int | None = 4000,
+    seed: int = 42,
+    features: Sequence[str] = STATISTICS,
 ) -> DataFrame:
     """About ``n_human`` human raters and all machine raters, labelled, in the fixed column order.
 
@@ -34,7 +38,7 @@ def labelled_dataset(
     if n_human is not None:
         human = sample_about(human, n_human, ["user_id"], seed)
     both = with_label(human, 0).unionByName(with_label(machine, 1))
-    return conform(both, DATASET_COLUMNS).filter(F.col("user_id").isNotNull())
+    return conform(both, ["user_id", *features, "ai_label"]).filter(F.col("user_id").isNotNull())
 
 
 def rejected_ids(df: DataFrame, label: int, user_col: str = "user_id") -> DataFrame:

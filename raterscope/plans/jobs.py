@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import NoDataError
 from ..operators import (
     activity,
     answers,
@@ -23,9 +23,11 @@ from ..operators import (
     statistics,
     validation,
 )
-from ..schemas import CORE_FEATURES, RATINGS, STATISTICS, SYNTHETIC_RATINGS
+from ..schemas import CORE_FEATURES, PLOT_FEATURES, RATINGS, STATISTICS, SYNTHETIC_RATINGS
 from ..sources import models, readers, writers
 
+_LOG = logging.getLogger(__name__)
+
 
 def qualify(
     spark: SparkSession, ratings_path: str, out: str, k: int = 300, min_count: int = 300, seed: int = 42
@@ -39,12 +41,16 @@ def qualify(
 def request_file(
     spark: SparkSession, ratings_path: str, out: str, n_users: int = 4000, seed: int = 42
 ) -> DataFrame:
-    """Write the model requests for ``n_users`` random raters; raises if there are fewer."""
+    """Write the model requests for ``n_users`` random raters; raises if there are fewer.
+
+    Each run writes its own folder below ``out``, named by the time. Returns the lines written.
+    """
     ratings = readers.read_ratings_csv(spark, ratings_path)
     sampling.require_users(ratings, n_users)
     requests = prompts.build_requests(prompts.sample_requests(ratings, n_users, seed=seed))
-    writers.write_ndjson(prompts.request_lines(requests), out)
-    return readers.read_ndjson(spark, out)
+    path = f"{out.rstrip('/')}/requests_{writers.run_id()}"
+    writers.write_ndjson(prompts.request_lines(requests), path)
+    return readers.read_ndjson(spark, path)
 
 
 def answer_file(
@@ -57,12 +63,13 @@ def answer_file(
 ) -> DataFrame:
     """Parse all answer files under a prefix to ratings; returns the line count of each status.
 
-    The audited lines are written first, and both the ratings and the counts come from that
+    Without any answers nothing is written and the counts are empty. The audited lines are written first, and both the ratings and the counts come from that
     table, so the answers are parsed once.
     """
     lines = readers.read_ndjson(spark, prefix)
     if lines.isEmpty():
-        raise NoDataError(f"no answer lines under {prefix}")
+        _LOG.warning("no answers under %s", prefix)
+        return answers.audit_counts(answers.audit_answers(lines))
     writers.write_parquet(answers.audit_answers(lines, "value", min_rating, max_rating), audit_out)
     audited = readers.read_dataset(spark, audit_out)
     rated = audited.filter(F.col("status") == answers.OK)
@@ -93,11 +100,13 @@ def labelled_table(
     n_human: int | None = 4000,
     seed: int = 42,
     codec: str = "uncompressed",
+    features: Sequence[str] = STATISTICS,
 ) -> DataFrame:
     """Join both statistics tables to the labelled dataset; returns class counts."""
-    human = readers.read_stats_csv(spark, human_path)
-    machine = readers.read_stats_csv(spark, machine_path)
-    writers.write_parquet(dataset.labelled_dataset(human, machine, n_human, seed), out, codec)
+    human = readers.read_stats_csv(spark, human_path, features)
+    machine = readers.read_stats_csv(spark, machine_path, features)
+    both = dataset.labelled_dataset(human, machine, n_human, seed, features)
+    writers.write_parquet(both, out, codec)
     return dataset.class_counts(readers.read_dataset(spark, out))
 
 
@@ -130,12 +139,13 @@ def train(
     )
     writers.write_parquet(scored, f"{out}/out_of_fold")
     scored = readers.read_dataset(spark, f"{out}/out_of_fold")
+    plotted = [f for f in PLOT_FEATURES if f in balanced.columns]
     reports = {
         "class_counts": dataset.class_counts(balanced),
         "class_means": dataset.class_means(balanced),
         "variance_inflation": dataset.variance_inflation(balanced),
-        "feature_histograms": distributions.feature_histogram(balanced),
-        "feature_densities": distributions.feature_density(balanced),
+        "feature_histograms": distributions.feature_histogram(balanced, plotted),
+        "feature_densities": distributions.feature_density(balanced, plotted),
         "importance": validation.feature_importance(fitted, spark),
         "report": evaluation.average_report(scored, ["model"]),
         "confusion": evaluation.confusion_matrix(scored, ["model"]),

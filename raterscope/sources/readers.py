@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.cleaning import require_columns
-from ..schemas import RATINGS, USER_STATISTICS
+from ..schemas import RATINGS, STATISTICS, USER_STATISTICS
 
 CORRUPT = "_corrupt_record"
 
@@ -39,15 +41,18 @@ def read_upload_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).csv(path)
 
 
-def read_stats_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_stats_csv(
+    spark: SparkSession, path: str, features: Sequence[str] = STATISTICS
+) -> DataFrame:
     """Rater statistics from CSV, columns matched to the schema by their header names.
 
     The two sources may hold the columns in different order, so the cells are read as text by
     name and then cast.
     """
     named = spark.read.option("header", True).csv(path)
-    require_columns(named, USER_STATISTICS.names)
-    return named.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in USER_STATISTICS])
+    wanted = [USER_STATISTICS[name] for name in ("user_id", *features)]
+    require_columns(named, [f.name for f in wanted])
+    return named.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in wanted])
 
 
 def read_dataset(spark: SparkSession, path: str) -> DataFrame:

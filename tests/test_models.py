@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from raterscope.__main__ import main
 from raterscope.errors import MissingColumnsError, NoDataError
 from raterscope.operators import classifiers, evaluation, knn, scoring, splits, validation
 from raterscope.plans import jobs
@@ -155,6 +156,26 @@ def test_model_round_trip(spark, ratings, model, tmp_path):
     assert scoring.score_raters(models.load_model(path), upload)[0].first() == before
 
 
+def test_no_answers_is_no_error(spark, tmp_path):
+    (tmp_path / "none").mkdir()
+    counts = jobs.answer_file(spark, str(tmp_path / "none"), str(tmp_path / "o"), str(tmp_path / "a"))
+    assert counts.count() == 0 and not (tmp_path / "o").exists()
+
+
+def test_core_features_only_and_command_line(spark, tmp_path, capsys):
+    at = {n: str(tmp_path / n) for n in ("raw", "human", "machine", "dataset")}
+    rated = spark.range(500).selectExpr(
+        "id % 10 AS user_id", "'m' AS movie", "id AS movie_id", "double(1 + pmod(xxhash64(id), 5)) AS rating"
+    )
+    rated.write.option("header", True).csv(at["raw"])
+    for side in ("human", "machine"):
+        main(["statistics_table", at["raw"], at[side], "--features", *CORE_FEATURES])
+    main(["labelled_table", at["human"], at["machine"], at["dataset"], "--features", *CORE_FEATURES])
+    assert "ai_label" in capsys.readouterr().out
+    made = spark.read.parquet(at["dataset"])
+    assert made.columns == ["user_id", *CORE_FEATURES, "ai_label"] and made.count() == 20
+
+
 def test_all_stages_from_file_to_file(spark, tmp_path):
     """Ratings -> sample -> requests -> answers -> statistics -> dataset -> model -> scores."""
     at = {n: str(tmp_path / n) for n in (
@@ -168,7 +189,7 @@ def test_all_stages_from_file_to_file(spark, tmp_path):
     summary = jobs.qualify(spark, at["raw"], at["sample"], k=60, min_count=60).first()
     assert (summary["n_rows"], summary["n_users"]) == (2400, 40)
     assert jobs.request_file(spark, at["sample"], at["requests"], n_users=30).count() == 1800
-    echoed = spark.read.text(at["requests"]).selectExpr(
+    echoed = spark.read.option("recursiveFileLookup", True).text(at["requests"]).selectExpr(
         "concat('{\"response\":{\"candidates\":[{\"content\":{\"parts\":[{\"text\":\"',"
         " if(crc32(value) % 9 = 0, '5', if(crc32(value) % 9 = 1, 'none', '4')), '\"}]}}]},', substr(value, 2)) AS value"
     )
