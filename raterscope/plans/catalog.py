@@ -38,6 +38,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 _ROUNDS = 10
 _TREES = 20
 _SVM_ITERATIONS = 20
+# Folds fitted at the same time: all, as their tables are small.
+_FITS_AT_ONCE = 6
 
 _REGISTRY: dict[str, Query] = {}
 
@@ -75,9 +77,10 @@ def _machine_statistics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _labelled(spark: SparkSession, folder: str, n_human: int | None = None) -> DataFrame:
-    both = dataset.labelled_dataset(
-        _human_statistics(spark, folder), _machine_statistics(spark, folder), n_human
-    )
+    human = _human_statistics(spark, folder)
+    if n_human is not None:
+        human = cut_lineage(human)  # sampling counts the table before it reads it
+    both = dataset.labelled_dataset(human, _machine_statistics(spark, folder), n_human)
     return _rounded(both, *STATISTICS)
 
 
@@ -194,7 +197,8 @@ def q_sample_k(spark, folder):
 
 @_query
 def q_sample_about(spark, folder):
-    return sampling.sample_about(_human_statistics(spark, folder), 1000, ["user_id"]).select("user_id")
+    human = cut_lineage(_human_statistics(spark, folder))
+    return sampling.sample_about(human, 1000, ["user_id"]).select("user_id")
 
 
 @_query
@@ -413,7 +417,7 @@ def _folded(spark, folder):
 
 
 def _one_model(spark, folder, name):
-    return validation.cross_validate(_table(spark, folder), _builders()[name], name)
+    return validation.cross_validate(_table(spark, folder), _builders()[name], name, _FITS_AT_ONCE)
 
 
 @_query
@@ -440,7 +444,7 @@ def q_lr_oof(spark, folder):
 def q_oof(spark, folder):
     table, chosen = _table(spark, folder), _builders()
     parts = [
-        validation.cross_validate(table, chosen[name], name)
+        validation.cross_validate(table, chosen[name], name, _FITS_AT_ONCE)
         for name in ("random_forest", "logistic_regression")
     ]
     return parts[0].unionByName(parts[1])
@@ -448,18 +452,23 @@ def q_oof(spark, folder):
 
 @_query
 def q_importance(spark, folder):
-    models = validation.fit_folds(_table(spark, folder), _builders()["boosted_trees"])
+    models = validation.fit_folds(
+        _table(spark, folder), _builders()["boosted_trees"], parallelism=_FITS_AT_ONCE
+    )
     return validation.feature_importance(models, spark)
 
 
 @_query
 def q_model_compare(spark, folder):
-    return validation.mean_auc_by_model(validation.compare_models(_table(spark, folder), _builders()))
+    scored = validation.compare_models(_table(spark, folder), _builders(), parallelism=_FITS_AT_ONCE)
+    return validation.mean_auc_by_model(cut_lineage(scored))
 
 
 @_query
 def q_learning_curve(spark, folder):
-    return validation.learning_curve(_table(spark, folder), classifiers.boosted_trees(2, depth=4))
+    return validation.learning_curve(
+        _table(spark, folder), classifiers.boosted_trees(2, depth=4), parallelism=_FITS_AT_ONCE
+    )
 
 
 @_query
