@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_text, default_text, strict_double
+from ..functions.text import default_text, strict_double
 
 OK = "ok"
 MALFORMED = "malformed"
@@ -16,21 +16,26 @@ OUT_OF_RANGE = "out_of_range"
 _FIRST_PART = "response.candidates[0].content.parts[0]"
 
 
-def _json_object(line: Column) -> Column:
-    """The line as a variant, or null unless the whole line is one JSON object.
+def _with_json(lines: DataFrame, column: str) -> DataFrame:
+    """Add ``_json``: the line as a variant, or null unless the whole line is one JSON object.
 
     A parser that stops after the first value would accept trailing text. Inside an array with
-    a sentinel behind it, the line must end where its object ends.
+    a sentinel behind it, the line must end where its object ends. Parsing has a column of its
+    own, so that it happens once.
     """
-    wrapped = F.try_parse_json(F.concat(F.lit("["), line, F.lit(",0]")))
-    alone = F.try_variant_get(wrapped, "$[1]", "int").eqNullSafe(0)
-    starts = line.rlike(r"^\s*\{")
-    return F.when(starts & alone, wrapped)
+    wrapped = F.try_parse_json(F.concat(F.lit("["), F.col(column), F.lit(",0]")))
+    alone = F.try_variant_get("_wrapped", "$[1]", "int").eqNullSafe(0)
+    starts = F.ltrim(F.col(column), F.lit(" \t\r\n")).startswith("{")
+    return (
+        lines.withColumn("_wrapped", wrapped)
+        .withColumn("_json", F.when(starts & alone, F.col("_wrapped")))
+        .drop("_wrapped")
+    )
 
 
 def with_validity(lines: DataFrame, column: str = "value") -> DataFrame:
     """Add ``is_valid``: whether the text is exactly one JSON object."""
-    return lines.withColumn("is_valid", _json_object(F.col(column)).isNotNull())
+    return _with_json(lines, column).withColumn("is_valid", F.col("_json").isNotNull()).drop("_json")
 
 
 def split_valid_json(lines: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
@@ -55,7 +60,7 @@ def audit_answers(
     answer is not text, ``non_numeric`` an answer that is not a plain number. With bounds given,
     ratings outside them are ``out_of_range``. Only the ``ok`` rows carry a rating.
     """
-    parsed = lines.select(_json_object(F.col(column)).alias("_json"))
+    parsed = _with_json(lines.select(column), column)
 
     def field(path: str, kind: str = "string") -> Column:
         return F.try_variant_get("_json", f"$[0].{path}", kind)
@@ -68,7 +73,7 @@ def audit_answers(
         field("temperature").try_cast("double").alias("temperature"),
         field(_FIRST_PART, "variant").isNotNull().alias("_answered"),
         F.schema_of_variant(field(f"{_FIRST_PART}.text", "variant")).alias("_kind"),
-        default_text(clean_text(field(f"{_FIRST_PART}.text"))).alias("_text"),
+        field(f"{_FIRST_PART}.text").alias("_text"),
     )
     number = read.withColumn("_number", strict_double("_text"))
     status = (

@@ -62,7 +62,8 @@ def totals_before(
     ``df`` must be unique on ``by`` and ``order``, which must not be null. Slot borders are
     approximate quantiles, so each of the 1024 slots of a group holds about a thousandth of its
     rows for any distribution. Groups are folds and models, a handful with one array of borders
-    each: that table is small by construction, and is broadcast.
+    each: that table is small by construction, and is broadcast. The input is read three times;
+    cut its lineage first when it is costly.
     """
     by = list(by)
     fractions = ", ".join(f"{i / _SLOTS!r}D" for i in range(1, _SLOTS))

@@ -89,7 +89,7 @@ def statistics_table(
     schema = SYNTHETIC_RATINGS if synthetic else RATINGS
     ratings = readers.read_ratings_csv(spark, ratings_path, schema)
     writers.write_csv(statistics.user_statistics(ratings, features=features, levels=levels), out)
-    return activity.summarise_output(spark.read.option("header", True).csv(out))
+    return activity.summarise_output(readers.read_upload_csv(spark, out))
 
 
 def labelled_table(

@@ -12,24 +12,39 @@ from ..operators.cleaning import require_columns
 from ..schemas import RATINGS, STATISTICS, USER_STATISTICS
 
 CORRUPT = "_corrupt_record"
+# Quotes inside quoted cells are doubled, as most programs write them.
+QUOTE = '"'
 
 
 def read_ratings_csv(
-    spark: SparkSession, path: str, schema: T.StructType | None = RATINGS, keep_corrupt: bool = False
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | None = RATINGS,
+    keep_corrupt: bool = False,
+    multi_line: bool = False,
 ) -> DataFrame:
     """Ratings from CSV files with a header line.
 
-    Columns are taken by position under ``schema``. Passing ``schema=None`` infers it, which
-    reads the files once more and may turn an id column into doubles. Cells that do not fit
-    become null; ``keep_corrupt`` adds the raw text of such lines.
+    Columns are found by their header names and typed by ``schema``; every file must have the
+    same header. Passing ``schema=None`` infers the types, which reads the files once more and may
+    turn an id column into doubles. Cells that do not fit become null; ``keep_corrupt`` adds the
+    raw text of such lines. ``multi_line`` reads titles with line breaks, one file per task.
     """
-    reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
+    options = {"header": True, "quote": QUOTE, "escape": QUOTE, "multiLine": multi_line}
     if schema is None:
-        return reader.option("inferSchema", True).csv(path)
+        return spark.read.options(**options, inferSchema=True).csv(path)
+    header = spark.read.options(**options).csv(path)
+    require_columns(header, schema.names)
+    typed = {f.name: f for f in schema}
+    fields = [typed.get(name, T.StructField(name, T.StringType(), True)) for name in header.columns]
+    wanted = list(schema.names)
     if keep_corrupt:
-        schema = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType(), True)])
-        reader = reader.option("columnNameOfCorruptRecord", CORRUPT)
-    return reader.schema(schema).csv(path)
+        fields.append(T.StructField(CORRUPT, T.StringType(), True))
+        wanted.append(CORRUPT)
+    reader = spark.read.options(
+        **options, enforceSchema=False, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT
+    )
+    return reader.schema(T.StructType(fields)).csv(path).select(*wanted)
 
 
 def read_upload_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -38,7 +53,7 @@ def read_upload_csv(spark: SparkSession, path: str) -> DataFrame:
     Nothing is inferred, so ids keep their spelling and the file is read once; scoring casts the
     rating column itself.
     """
-    return spark.read.option("header", True).csv(path)
+    return spark.read.options(header=True, quote=QUOTE, escape=QUOTE).csv(path)
 
 
 def read_stats_csv(
@@ -49,7 +64,7 @@ def read_stats_csv(
     The two sources may hold the columns in different order, so the cells are read as text by
     name and then cast.
     """
-    named = spark.read.option("header", True).csv(path)
+    named = read_upload_csv(spark, path)
     wanted = [USER_STATISTICS[name] for name in ("user_id", *features)]
     require_columns(named, [f.name for f in wanted])
     return named.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in wanted])

@@ -6,6 +6,8 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame
 
+from .readers import QUOTE
+
 
 def run_id(now: datetime | None = None) -> str:
     """Time stamp for output names."""
@@ -18,7 +20,8 @@ def _parts(df: DataFrame, single_file: bool) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
     """CSV with a header. ``single_file`` funnels all rows through one task: small tables only."""
-    _parts(df, single_file).write.mode("overwrite").option("header", True).csv(path)
+    writer = _parts(df, single_file).write.mode("overwrite")
+    writer.options(header=True, quote=QUOTE, escape=QUOTE).csv(path)
 
 
 def write_parquet(df: DataFrame, path: str, codec: str = "zstd", single_file: bool = False) -> None:

@@ -5,7 +5,7 @@ import pytest
 from raterscope.errors import MissingColumnsError
 from raterscope.functions.labels import encode_id, label_name
 from raterscope.operators import cleaning
-from raterscope.schemas import STATISTICS, USER_STATISTICS
+from raterscope.schemas import STATISTICS, SYNTHETIC_RATINGS, USER_STATISTICS
 from raterscope.session import cut_lineage, get_session, shuffle_partitions_for
 from raterscope.sources import models, readers, writers
 
@@ -22,6 +22,22 @@ def test_ratings_csv_round_trip(spark, ratings, tmp_path):
     assert inferred.columns == table.columns
 
 
+def test_csv_columns_are_found_by_name(spark, tmp_path):
+    (tmp_path / "r.csv").write_text('rating,extra,movie,user_id,movie_id\n3.5,z,"a ""b"", c",1,2\n')
+    back = readers.read_ratings_csv(spark, str(tmp_path / "r.csv"))
+    assert [tuple(r) for r in back.collect()] == [(1, 'a "b", c', 2, 3.5)]
+    with pytest.raises(MissingColumnsError):
+        readers.read_ratings_csv(spark, str(tmp_path / "r.csv"), SYNTHETIC_RATINGS)
+
+
+def test_titles_with_quotes_and_line_breaks(spark, tmp_path):
+    rows = [(1, 'Amélie "x", \\ y', 2, 3.0), (1, "two\nlines", 3, 4.0)]
+    table = spark.createDataFrame(rows, "user_id long, movie string, movie_id long, rating double")
+    writers.write_csv(table, str(tmp_path / "t"))
+    back = readers.read_ratings_csv(spark, str(tmp_path / "t"), multi_line=True)
+    assert sorted(map(tuple, back.collect()), key=lambda r: r[2]) == rows
+
+
 def test_corrupt_csv_lines_are_kept_on_request(spark, tmp_path):
     (tmp_path / "r.csv").write_text("user_id,movie,movie_id,rating\n1,a,2,3.5\nx,b,3,4\n")
     rows = readers.read_ratings_csv(spark, str(tmp_path / "r.csv"), keep_corrupt=True).cache().collect()
