@@ -65,31 +65,34 @@ def score_raters(
     and what is no number counts as missing. A rater whose features are undefined (one rating,
     or all equal) is reported with status ``undefined_features``. An unknown target raises.
     """
-    ratings, user_col, rating_col = as_upload(ratings, user_col, rating_col)
+    rated, shown = as_upload(ratings, user_col, rating_col)
     if target_user is not None:
-        ratings = only_user(ratings, user_col, target_user)
-        if ratings.isEmpty():
+        rated = only_user(rated, "user_id", target_user)
+        if rated.isEmpty():
             raise NoDataError(f"no ratings of user {target_user}")
-    features = with_status(core_features(ratings, user_col, rating_col))
-    return apply_model(model, features, user_col), score_stats(features, user_col)
+    return _results(model, with_status(core_features(rated)), shown)
 
 
 def score_combined(
     model: PipelineModel, ratings: DataFrame, user_col: str | None = None, rating_col: str | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Prediction and statistics of all ratings taken as one rater."""
-    ratings, user_col, rating_col = as_upload(ratings, user_col, rating_col)
-    features = with_status(combined_features(ratings, user_col, rating_col), NO_VALID_RATINGS)
-    return apply_model(model, features, user_col), score_stats(features, user_col)
+    rated, shown = as_upload(ratings, user_col, rating_col)
+    return _results(model, with_status(combined_features(rated), NO_VALID_RATINGS), shown)
+
+
+def _results(model: PipelineModel, features: DataFrame, shown: str) -> tuple[DataFrame, DataFrame]:
+    tables = apply_model(model, features), score_stats(features)
+    return tuple(t.withColumnRenamed("user_id", shown) for t in tables)
 
 
 def as_upload(
     ratings: DataFrame, user_col: str | None, rating_col: str | None
-) -> tuple[DataFrame, str, str]:
-    """User and numeric rating column of an uploaded table, with the names used."""
+) -> tuple[DataFrame, str]:
+    """``user_id`` and numeric ``rating`` of an uploaded table, and the name its users go by."""
     if user_col is None or rating_col is None:
         first, second = default_columns(ratings)
         user_col, rating_col = user_col or first, rating_col or second
     require_columns(ratings, [user_col, rating_col])
-    number = F.col(rating_col).try_cast("double")
-    return ratings.select(F.col(user_col), number.alias(rating_col)), user_col, rating_col
+    user, rating = (F.col("`" + name.replace("`", "``") + "`") for name in (user_col, rating_col))
+    return ratings.select(user.alias("user_id"), rating.try_cast("double").alias("rating")), user_col

@@ -132,15 +132,18 @@ def cross_validate_knn(
     user_col: str = "user_id",
     fold: str = "fold",
     name: str = "nearest_neighbours",
+    parallelism: int = 3,
 ) -> DataFrame:
     """Out-of-fold scores of the nearest-neighbour classifier."""
-    parts = []
-    for held_out in sorted(table.fold_rows):
+
+    def classify(held_out: int) -> DataFrame:
         inside = F.col(fold) == held_out
         query = table.df.filter(inside)
         scored = knn_classify(table.df.filter(~inside), query, features, label, user_col, k)
         truth = query.select(user_col, F.col(label).alias("label"))
-        parts.append(scored.join(truth, user_col).withColumn("fold", F.lit(held_out)))
+        return scored.join(truth, user_col).withColumn("fold", F.lit(held_out))
+
+    parts = _in_threads(classify, sorted(table.fold_rows), parallelism, table.df.sparkSession)
     return _union(parts).select(F.lit(name).alias("model"), "fold", user_col, "label", "prediction", "score")
 
 
@@ -165,7 +168,7 @@ def compare_models(
     """Out-of-fold scores of all models in one table, for the evaluation functions with ``by=["model"]``."""
     parts = [cross_validate(table, build, name, parallelism) for name, build in builders.items()]
     if knn_k:
-        parts.append(cross_validate_knn(table, knn_k))
+        parts.append(cross_validate_knn(table, knn_k, parallelism=parallelism))
     return _union(parts)
 
 

@@ -13,6 +13,7 @@ from ..operators import (
     activity,
     answers,
     classifiers,
+    cleaning,
     dataset,
     distributions,
     evaluation,
@@ -191,9 +192,9 @@ def score(
 
 
 def _rating_distribution(ratings, user_col, rating_col, target_user, combine_all) -> DataFrame:
-    numbers, user_col, rating_col = scoring.as_upload(ratings, user_col, rating_col)
+    rated, _ = scoring.as_upload(ratings, user_col, rating_col)
     if combine_all:
-        return distributions.integer_histogram(numbers, rating_col)
+        return distributions.integer_histogram(rated)
     if target_user is not None:
-        numbers = numbers.filter(F.col(user_col).cast("string") == str(target_user))
-    return distributions.first_user_histogram(numbers, user_col, rating_col)
+        rated = cleaning.only_user(rated, "user_id", target_user)
+    return distributions.first_user_histogram(rated)

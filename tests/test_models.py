@@ -149,6 +149,14 @@ def test_score_one_and_combined(spark, ratings, model):
         scoring.score_raters(model, upload.select("user_id"))
 
 
+def test_column_names_with_dots_and_spaces(spark, model):
+    upload = spark.createDataFrame([("u 1", "1"), ("u 1", "4"), ("u 1", "x"), ("u 1", "5")], "a string, b string").toDF("User Name", "my.rating")
+    predictions, stats = scoring.score_raters(model, upload, target_user="u 1")
+    assert predictions.columns[0] == "User Name" and stats.columns[0] == "User Name"
+    assert predictions.first()["status"] == "ok"
+    assert stats.first()["SD"] == pytest.approx(np.std([1, 4, 5], ddof=1))
+
+
 def test_model_round_trip(spark, ratings, model, tmp_path):
     path = models.save_model(model, str(tmp_path))
     upload = ratings({1: [1, 2, 5, 5]}).select("user_id", "rating")
