@@ -12,11 +12,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 _SLOTS = 1024
 # Number of splitters at or below the value: binary search, one array element per halving step.
+# Never null, and said so: a null check before the join would repeat the search.
 _SLOT_OF = (
-    "aggregate(array(512, 256, 128, 64, 32, 16, 8, 4, 2, 1), 0, "
-    "(at, step) -> if(element_at(_splitters, at + step) <= {value}, at + step, at))"
+    "coalesce(aggregate(array(512, 256, 128, 64, 32, 16, 8, 4, 2, 1), 0, "
+    "(at, step) -> if(element_at(_splitters, at + step) <= {value}, at + step, at)), 0)"
 )
 
 
@@ -62,37 +65,30 @@ def totals_before(
     ``df`` must be unique on ``by`` and ``order``, which must not be null. Slot borders are
     approximate quantiles, so each of the 1024 slots of a group holds about a thousandth of its
     rows for any distribution. Groups are folds and models, a handful with one array of borders
-    each: that table is small by construction, and is broadcast. The input is read three times;
-    cut its lineage first when it is costly.
+    each: that table is small by construction, and is broadcast. The input is written once, as
+    the borders, the slot totals and the rows each read it.
     """
-    by = list(by)
+    by, columns = list(by), df.columns
+    df = cut_lineage(df)
     fractions = ", ".join(f"{i / _SLOTS!r}D" for i in range(1, _SLOTS))
-    splitters = df.groupBy(*by).agg(
-        F.expr(f"percentile_approx({order}, array({fractions}), {20 * _SLOTS}) AS _splitters")
-    )
-    slotted = (
-        df.join(F.broadcast(splitters), by)
-        .withColumn("_slot", F.expr(_SLOT_OF.format(value=order)))
-        .drop("_splitters")
+    borders = df.groupBy(*by).agg(
+        F.expr(f"percentile_approx({order}, array({fractions}), {20 * _SLOTS}) AS _splitters"),
+        *[F.sum(v).alias(f"{v}_total") for v in values],
     )
+    slotted = df.join(F.broadcast(borders), by).withColumn("_slot", F.expr(_SLOT_OF.format(value=order)))
     sums = slotted.groupBy(*by, "_slot").agg(*[F.sum(v).alias(f"_{v}_slot") for v in values])
-    group = Window.partitionBy(*by)
+    earlier = Window.partitionBy(*by).orderBy("_slot")
     offsets = sums.select(
         *by,
         "_slot",
-        *[
-            (F.sum(f"_{v}_slot").over(group.orderBy("_slot")) - F.col(f"_{v}_slot")).alias(f"_{v}_offset")
-            for v in values
-        ],
-        *[F.sum(f"_{v}_slot").over(group).alias(f"{v}_total") for v in values],
+        *[(F.sum(f"_{v}_slot").over(earlier) - F.col(f"_{v}_slot")).alias(f"_{v}_offset") for v in values],
     )
     inside = Window.partitionBy(*by, "_slot").orderBy(order)
-    local = slotted.select(
+    local = slotted.drop("_splitters").select(
         "*", *[(F.sum(v).over(inside) - F.col(v)).alias(f"_{v}_local") for v in values]
     )
-    joined = local.join(offsets, [*by, "_slot"])
-    return joined.select(
-        *df.columns,
+    return local.join(offsets, [*by, "_slot"]).select(
+        *columns,
         *[(F.col(f"_{v}_offset") + F.col(f"_{v}_local")).alias(f"{v}_before") for v in values],
         *[f"{v}_total" for v in values],
     )

@@ -96,14 +96,13 @@ def _balanced(spark: SparkSession, folder: str) -> DataFrame:
 def _scored(spark: SparkSession, folder: str) -> DataFrame:
     """Closed-form scores, so that evaluation does not depend on a fitted model."""
     folded = splits.assign_folds(_dataset(spark, folder), seed=7)
-    scored = folded.select(
+    return folded.select(
         "fold",
         "user_id",
         F.col("ai_label").cast("double").alias("label"),
         F.col("kurtosis_rating").alias("score"),
         (F.col("kurtosis_rating") > -1).cast("double").alias("prediction"),
     )
-    return cut_lineage(scored)
 
 
 def _table(spark: SparkSession, folder: str) -> validation.FoldedTable:
@@ -360,7 +359,7 @@ def q_auc(spark, folder):
 
 @_query
 def q_mean_auc(spark, folder):
-    scored = _scored(spark, folder)
+    scored = cut_lineage(_scored(spark, folder))
     per_fold = evaluation.mean_fold_auc(scored)
     pooled = evaluation.pooled_auc(scored)
     rows = [
