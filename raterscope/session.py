@@ -7,28 +7,18 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Settings every stage relies on; a value the cluster or the caller set wins.
-_DEFAULTS = {
-    "spark.sql.adaptive.enabled": "true",
-    "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.session.timeZone": "UTC",
-    "spark.sql.execution.arrow.pyspark.enabled": "true",
-}
-
 
 def get_session(app: str, master: str | None = None, **conf: str) -> SparkSession:
-    """Return the running session or start one. Stages never stop it: the caller owns it."""
+    """Return the running session or start one. Stages never stop it: the caller owns it.
+
+    Adaptive execution and its skew joins, which the operators count on, are Spark's defaults.
+    """
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
     for key, value in conf.items():
         builder = builder.config(key, value)
-    spark = builder.getOrCreate()
-    for key, value in _DEFAULTS.items():
-        if key not in conf and spark.conf.get(key, None) is None:
-            spark.conf.set(key, value)
-    return spark
+    return builder.getOrCreate()
 
 
 def shuffle_partitions_for(input_bytes: int, reduction: float = 1.0, target_mb: int = 200) -> int:
@@ -37,14 +27,14 @@ def shuffle_partitions_for(input_bytes: int, reduction: float = 1.0, target_mb:
 
 
 def _shared_folder(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="raterscope-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="raterscope-"))
+        folder = context.getCheckpointDir()
+    return folder.rstrip("/")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 from datetime import date, datetime
+from types import SimpleNamespace
 
 import pytest
 
@@ -6,7 +7,7 @@ from raterscope.errors import MissingColumnsError
 from raterscope.functions.labels import encode_id, label_name
 from raterscope.operators import cleaning
 from raterscope.schemas import STATISTICS, SYNTHETIC_RATINGS, USER_STATISTICS
-from raterscope.session import cut_lineage, get_session, shuffle_partitions_for
+from raterscope.session import _shared_folder, cut_lineage, get_session, shuffle_partitions_for
 from raterscope.sources import models, readers, writers
 
 
@@ -88,6 +89,20 @@ def test_session_is_shared_and_lineage_is_cut(spark, ratings):
     assert shuffle_partitions_for(10**14, 0.5) == 238_419 and shuffle_partitions_for(1) == 8
 
 
+def test_shared_folder_where_none_is_named(spark):
+    def session(master):
+        made = []
+        context = SimpleNamespace(
+            master=master, getCheckpointDir=lambda: made[-1] if made else None, setCheckpointDir=made.append
+        )
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: None), sparkContext=context)
+
+    local = session("local[2]")
+    assert _shared_folder(local) == _shared_folder(local)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        _shared_folder(session("yarn"))
+
+
 def test_column_checks(ratings):
     table = ratings({1: [1]})
     with pytest.raises(MissingColumnsError) as error:
