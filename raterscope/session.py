@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,27 +26,54 @@ def shuffle_partitions_for(input_bytes: int, reduction: float = 1.0, target_mb:
     return max(8, int(input_bytes * reduction / (target_mb * 1024 * 1024)) + 1)
 
 
-def _shared_folder(spark: SparkSession) -> str:
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not folder:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="raterscope-"))
-        folder = context.getCheckpointDir()
-    return folder.rstrip("/")
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for intermediate tables that the driver and all executors see.
+
+    The one the cluster names in ``spark.checkpoint.dir``, else the context's checkpoint folder, else
+    a folder in the warehouse, which is shared by definition. The caller's context is left as it is.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate").rstrip("/")
+
+
+_open_scopes: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def intermediate_tables(spark: SparkSession):
+    """Remove, at the end of the block, every table that ``new_folder`` named within it.
+
+    For whole stages, whose output is written when the block ends. A query that returns a lazy
+    result must not use it, as the result still reads those tables.
+    """
+    made: list[str] = []
+    _open_scopes.append(made)
+    try:
+        yield
+    finally:
+        _open_scopes.remove(made)
+        for path in made:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def new_folder(spark: SparkSession, prefix: str = "raterscope") -> str:
+    """Name of a folder below the shared one that nothing else uses."""
+    path = f"{shared_folder(spark)}/{prefix}-{uuid.uuid4().hex}"
+    if _open_scopes:
+        _open_scopes[-1].append(path)
+    return path
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once as Parquet to the shared folder and continue from the written table.
+    """Write ``df`` once as Parquet to the shared folder and continue from the written table. Runs a job.
 
     Used where a result is read many times (ranks, model folds), so that neither the repeated
     reads nor a lost executor reruns the jobs before it. A table rather than a checkpoint, because
-    later reads then see only the columns they use and the planner knows its size. The folder is
-    the one the cluster names in ``spark.checkpoint.dir``; a local one is made only where none is
-    named, as in tests.
+    later reads then see only the columns they use and the planner knows its size. Inside
+    ``intermediate_tables`` the table goes when the block ends.
     """
     spark = df.sparkSession
-    path = f"{_shared_folder(spark)}/raterscope-{uuid.uuid4().hex}"
+    path = new_folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
