@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import secrets, sharding, token_counts
+from . import decontamination, licenses, merkle, packing, secrets, sharding, token_counts, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,13 +44,57 @@ def op2_token_count(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, folder, "documents"), _tokenizer("byte_bpe_50k.json"), limit=1024)
 
 
+def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages written as WARC records and read back."""
+    pages = _table(spark, folder, "pages")
+    kind = pages.schema["page_id"].dataType
+    read = warc.read_archives(warc.write_archives(pages))
+    return read.select(
+        F.col("page_id").cast(kind).alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.col("refers_to").cast(kind).alias("refers_to"),
+    )
+
+
+def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's pieces, packed into sequences of 2048 tokens."""
+    return packing.pack(_table(spark, folder, "documents"), _tokenizer("word_bpe_49k.json"))
+
+
+def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark passages in every document."""
+    found = decontamination.find_matches(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    return decontamination.judge(found)
+
+
+def op6_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of every document, its edited text and its neighbour."""
+    return merkle.fingerprints_with_next(_table(spark, folder, "documents"))
+
+
+def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """License phrases and notices in every document."""
+    return licenses.scan(_table(spark, folder, "documents")).drop("places")
+
+
 def op10_shards(spark: SparkSession, folder: str) -> DataFrame:
     """The shard of every document."""
     return sharding.assign_shards(_table(spark, folder, "documents"), SHARD_BYTES)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_token_count, op10_shards)}
+    return {f.__name__: f for f in (
+        op1_secret_scan,
+        op2_token_count,
+        op3_warc,
+        op4_best_fit_packing,
+        op5_decontamination,
+        op6_merkle,
+        op8_license_scan,
+        op10_shards,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
