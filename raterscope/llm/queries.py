@@ -5,10 +5,11 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, licenses, merkle, packing, secrets, sharding, token_counts, warc
+from . import decontamination, licenses, merkle, near_duplicates, packing, secrets, sharding, token_counts, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -74,16 +75,33 @@ def op6_merkle(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.fingerprints_with_next(_table(spark, folder, "documents"))
 
 
+def op7_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents whose sets of three words are at least 90 percent alike."""
+    return near_duplicates.components(_table(spark, folder, "documents"), width=3, percent=90)
+
+
 def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     """License phrases and notices in every document."""
     return licenses.scan(_table(spark, folder, "documents")).drop("places")
 
 
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels that are not held out."""
+    docs, labels = _table(spark, folder, "documents"), _table(spark, folder, "labels")
+    scored = toxicity.score(docs, toxicity.train(docs, labels))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op10_shards(spark: SparkSession, folder: str) -> DataFrame:
     """The shard of every document."""
     return sharding.assign_shards(_table(spark, folder, "documents"), SHARD_BYTES)
 
 
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    """All stages of the corpus pipeline."""
+    return corpus_pipeline.run(spark, folder)
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_secret_scan,
@@ -92,8 +110,11 @@ def queries() -> dict[str, Query]:
         op4_best_fit_packing,
         op5_decontamination,
         op6_merkle,
+        op7_ngram_jaccard,
         op8_license_scan,
+        op9_toxicity,
         op10_shards,
+        pipeline,
     )}
 
 
