@@ -51,6 +51,7 @@ TEMPLATES = (
         "with the License. You may obtain a copy of the License at",
         ("apache license version 2 0",),
     ),
+    Template("apache-2.0", "Licensed under the Apache License, Version 2.0", ("apache license version 2 0",)),
     Template(
         "mit",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
