@@ -51,6 +51,8 @@ GROUPS = 64
 _LEAF = 16
 # Nodes of a block: what a task holds of a family at a time.
 BLOCK = 128
+# Rows of block, node, side and id (some 40 bytes each) that are sent to every executor at most.
+SENT_ROWS = 500_000
 _SLICE_BYTES = 4 << 20
 
 
@@ -178,8 +180,17 @@ def _search(width: int, percent: int, batches: Iterator[pa.RecordBatch]) -> Iter
 
 
 def _links_of(rows: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Verified links of ``rows`` (block, node, side, id), which meet their texts here. Runs a job."""
-    fetched = texts.join(rows, "id").select("block", "node", "side", "text")
+    """Verified links of ``rows`` (block, node, side, id), which meet their texts here. Runs jobs.
+
+    Few documents are in families. Up to a stated number of rows they are sent to the texts, so that
+    only their texts are shuffled; beyond it both sides are dealt out by id.
+    """
+    rows = cut_lineage(rows.select("block", "node", "side", "id"))
+    n = rows.count()
+    if not n:
+        return rows.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    sent = F.broadcast(rows) if n <= SENT_ROWS else rows.hint("merge")
+    fetched = texts.join(sent, "id").select("block", "node", "side", "text")
     dealt = fetched.repartition("block").sortWithinPartitions("block")
     return cut_lineage(dealt.mapInArrow(partial(_search, width, percent), "a long, b long"))
 
