@@ -2,9 +2,9 @@
 
 Alternating star contraction: each round links every node's larger neighbours, then its smaller ones, to
 the smallest node around it, until the edges are stars. Before the rounds, every task replaces its
-own edges by a spanning forest, so that dense groups shrink where they lie. Rounds are written to
-the shared folder; the joins read written tables, so adaptive execution can split a node with very
-many neighbours.
+own edges by a spanning forest, so that dense groups shrink where they lie. If few edges are left, a stated
+number, one task joins them at once. Rounds are written to the shared folder; the joins read written
+tables, so adaptive execution can split a node with very many neighbours.
 """
 
 from __future__ import annotations
@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 
+# Edges that one task joins at most: some 100 MB.
+TASK_EDGES = 400_000
+
+
 class Forest:
     """Union-find over any nodes; the smallest node of a tree is its root."""
 
@@ -55,6 +59,17 @@ def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forest = Forest()
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            forest.join(a, b)
+    nodes = list(forest.parent)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(nodes, pa.int64()), pa.array([forest.root(n) for n in nodes], pa.int64())], ["node", "root"]
+    )
+
+
 def _stars(edges: DataFrame, neighbours: DataFrame) -> DataFrame:
     """Edges from each node's ``neighbours`` and itself to the smallest node among them."""
     least = cut_lineage(neighbours.groupBy("a").agg(F.min("b").alias("m")))
@@ -69,6 +84,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     current = edges.select("a", "b").filter("a <> b").mapInArrow(_forests, "a long, b long").distinct()
     current, before = cut_lineage(current), None
+    if current.count() <= TASK_EDGES:
+        return cut_lineage(current.coalesce(1).mapInArrow(_joined, "node long, root long"))
     while True:
         # Large star: the larger neighbours of a node go to the smallest one.
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))

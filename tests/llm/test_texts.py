@@ -183,3 +183,15 @@ def test_templates(spark):
     assert labels[2] == {""} and labels[4] == {""} and "cc-by-4.0" not in labels[5]
     place, = [p for p in got[1]["places"] if p["label"] == "apache-2.0"]
     assert place["start"] == 50 and 0.5 <= place["coverage"] <= 1
+
+
+def test_rounds_and_one_task_give_the_same_components(spark, monkeypatch):
+    from raterscope.llm import components
+
+    random.seed(1)
+    edges = [(i, i + 1) for i in range(60)] + [(random.randrange(200, 400), random.randrange(200, 400)) for _ in range(120)]
+    df = spark.createDataFrame(edges + [(7, 7), (-5, 500)], "a long, b long")
+    at_once = {tuple(r) for r in components.connected_components(df).collect()}
+    monkeypatch.setattr(components, "TASK_EDGES", 0)
+    assert {tuple(r) for r in components.connected_components(df).collect()} == at_once
+    assert (60, 0) in at_once and (500, -5) in at_once
