@@ -12,6 +12,7 @@ MALFORMED = "malformed"
 NO_RESPONSE = "no_response"
 NON_NUMERIC = "non_numeric"
 OUT_OF_RANGE = "out_of_range"
+BAD_ID = "bad_id"
 
 _FIRST_PART = "response.candidates[0].content.parts[0]"
 
@@ -58,15 +59,21 @@ def audit_answers(
     The first part of the first candidate must hold the rating as text. ``no_response`` covers
     an absent or empty answer at any level, ``malformed`` text that is no JSON object or whose
     answer is not text, ``non_numeric`` an answer that is not a plain number. With bounds given,
-    ratings outside them are ``out_of_range``. Only the ``ok`` rows carry a rating.
+    ratings outside them are ``out_of_range``. A readable rating whose user or title id is no whole number
+    is ``bad_id``. Only the ``ok`` rows carry a rating; all others carry the raw line, and the file
+    it came from where ``lines`` has ``file_path``, so that the table doubles as their quarantine.
     """
-    parsed = _with_json(lines.select(column), column)
+    origin = [c for c in ("file_path",) if c in lines.columns]
+    parsed = _with_json(lines.select(column, *origin), column)
 
     def field(path: str, kind: str = "string") -> Column:
         return F.try_variant_get("_json", f"$[0].{path}", kind)
 
     read = parsed.select(
+        F.col(column).alias("_line"),
+        *origin,
         F.col("_json").isNotNull().alias("_valid"),
+        (_lost(field("user_id")) | _lost(field("movie_id"))).alias("_bad_id"),
         default_text(field("movie")).alias("movie"),
         field("user_id").try_cast("bigint").alias("user_id"),
         field("movie_id").try_cast("bigint").alias("movie_id"),
@@ -86,6 +93,7 @@ def audit_answers(
         status = status.when(F.col("_number") < min_rating, OUT_OF_RANGE)
     if max_rating is not None:
         status = status.when(F.col("_number") > max_rating, OUT_OF_RANGE)
+    status = status.when(F.col("_bad_id"), BAD_ID)
     return number.withColumn("status", status.otherwise(OK)).select(
         "movie",
         "user_id",
@@ -93,9 +101,16 @@ def audit_answers(
         "temperature",
         F.when(F.col("status") == OK, F.col("_number")).alias("rating"),
         "status",
+        F.when(F.col("status") != OK, F.col("_line")).alias("line"),
+        *origin,
     )
 
 
+def _lost(value: Column) -> Column:
+    """Whether an id is there but is no whole number."""
+    return value.isNotNull() & value.try_cast("bigint").isNull()
+
+
 def parse_answers(
     lines: DataFrame,
     column: str = "value",
@@ -104,7 +119,7 @@ def parse_answers(
 ) -> DataFrame:
     """Ratings of the readable answers only."""
     audited = audit_answers(lines, column, min_rating, max_rating)
-    fields = F.struct(*[c for c in audited.columns if c != "status"])
+    fields = F.struct("movie", "user_id", "movie_id", "temperature", "rating")
     # A plain filter on the status would be pushed below the parsing and repeat it.
     return audited.select(F.inline(F.when(F.col("status") == OK, F.array(fields))))
 

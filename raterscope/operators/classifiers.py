@@ -54,7 +54,9 @@ def boosted_trees(
     return build
 
 
-def random_forest(trees: int = 100, depth: int = 12) -> Builder:
+def random_forest(trees: int = 100, depth: int = 30) -> Builder:
+    """``depth`` is the most that Spark allows; trees usually end before."""
+
     def build(label: str, features: Sequence[str], n_rows: int) -> Pipeline:
         forest = RandomForestClassifier(labelCol=label, numTrees=trees, maxDepth=depth, seed=SEED)
         return Pipeline(stages=[assembler(features), forest])

@@ -41,6 +41,11 @@ def labelled_dataset(
     return conform(both, ["user_id", *features, "ai_label"]).filter(F.col("user_id").isNotNull())
 
 
+def rejected_rows(df: DataFrame, label: int, user_col: str = "user_id") -> DataFrame:
+    """The rows themselves whose id cannot carry the label digit, with the label."""
+    return df.filter(encode_id(user_col, label).isNull()).withColumn("ai_label", F.lit(label))
+
+
 def rejected_ids(df: DataFrame, label: int, user_col: str = "user_id") -> DataFrame:
     """Number of rows whose id cannot carry the label digit."""
     return df.agg(F.count_if(encode_id(user_col, label).isNull()).alias("rejected"))

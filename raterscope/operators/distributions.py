@@ -28,9 +28,17 @@ def integer_histogram(df: DataFrame, column: str = "rating") -> DataFrame:
 
 
 def first_user_histogram(df: DataFrame, user_col: str = "user_id", rating_col: str = "rating") -> DataFrame:
-    """Integer histogram of the smallest user id that has a rating; a scalar lookup, no sort."""
+    """Integer histogram of the smallest user id that has a rating; a scalar lookup, no sort.
+
+    Ids in text are ordered as numbers if all of them are whole numbers, else as text.
+    """
     rated = df.filter(F.col(user_col).isNotNull() & is_number(rating_col))
-    first = rated.agg(F.min(user_col)).scalar()
+    first = F.min(user_col)
+    if dict(df.dtypes)[user_col] == "string":
+        number = F.when(F.col(user_col).rlike(r"^[+-]?[0-9]{1,38}$"), F.col(user_col).try_cast("decimal(38,0)"))
+        by_number = F.min_by(user_col, F.struct(number, F.col(user_col)))
+        first = F.when(F.bool_and(number.isNotNull()), by_number).otherwise(first)
+    first = rated.agg(first).scalar()
     return integer_histogram(rated.filter(F.col(user_col) == first), rating_col)
 
 
@@ -115,11 +123,18 @@ def feature_density(
         .agg(F.count(F.lit(1)).alias("weight"))
     )
     at = F.col("lo") + width * F.col("point") / (points - 1)
+    # Beyond 39 bandwidths the kernel is exactly 0 in double precision.
+    place = (F.col("value") - F.col("lo")) / width * (points - 1)
+    reach = 39.0 * F.col("_h") / width * (points - 1) + 1
+    near = (
+        F.greatest(F.lit(0.0), F.floor(place - reach)).cast("int"),
+        F.least(F.lit(points - 1.0), F.ceil(place + reach)).cast("int"),
+    )
     away = (at - F.col("value")) / F.col("_h")
     summed = (
         values.join(F.broadcast(shapes), ["feature", label])
         .filter(F.col("_h").isNotNull())
-        .withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+        .withColumn("point", F.explode(F.sequence(*near)))
         .groupBy("feature", label, "point")
         .agg(F.sum(F.col("weight") * F.exp(-0.5 * away * away)).alias("_sum"))
     )

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.seeded import seeded_key
+from ..functions.seeded import seeded_key, unit_interval
 from ..schemas import CORE_FEATURES
 from ..session import cut_lineage
 from .cleaning import is_number
@@ -32,40 +32,78 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LEAF_ROWS = 2000
 QUERY_BLOCK = 20_000
-MAX_DEPTH = 14
 _SAMPLE_PER_LEAF = 32
+# Rows of the sample at most: the tree is built on the driver. Beyond 260 million points leaves grow instead.
+_SAMPLE_ROWS = 4_000_000
 _DISTANCES_AT_ONCE = 4_000_000
 
 
 @dataclass(frozen=True)
 class _Tree:
-    """Splits in heap order: node i has children 2i+1 and 2i+2."""
+    """Inner nodes have two children, leaves have -1 and a number."""
 
     depth: int
     dimension: np.ndarray
     border: np.ndarray
+    children: np.ndarray
+    number: np.ndarray
 
     def leaf(self, points: np.ndarray) -> np.ndarray:
         node = np.zeros(len(points), dtype=np.int64)
         rows = np.arange(len(points))
         for _ in range(self.depth):
             right = points[rows, self.dimension[node]] > self.border[node]
-            node = 2 * node + 1 + right
-        return node - (2**self.depth - 1)
+            below = self.children[node, right.astype(np.int64)]
+            node = np.where(below < 0, node, below)
+        return self.number[node]
+
+    def boxes(self, leaves: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Box of every node around the boxes of the leaves; empty where no leaf has points."""
+        shape = (len(self.number), low.shape[1])
+        lows, highs = np.full(shape, np.inf), np.full(shape, -np.inf)
+        node_of = np.full(self.number.max() + 1, -1)
+        node_of[self.number[self.number >= 0]] = np.flatnonzero(self.number >= 0)
+        lows[node_of[leaves]], highs[node_of[leaves]] = low, high
+        for node in range(len(self.number) - 1, -1, -1):  # children come after their parent
+            if self.children[node, 0] >= 0:
+                lows[node] = lows[self.children[node]].min(axis=0)
+                highs[node] = highs[self.children[node]].max(axis=0)
+        return lows, highs
+
+
+def _split(points: np.ndarray) -> tuple[int, float] | None:
+    """Feature and border that leave points on both sides, at the median where it can be."""
+    spread = points.max(axis=0) - points.min(axis=0)
+    widest = int(np.argmax(spread))
+    if not spread[widest] > 0:
+        return None
+    values = points[:, widest]
+    border = float(np.median(values))
+    if border >= values.max():
+        # Over half the points share the largest value: they go right, all others left.
+        border = float(values[values < border].max())
+    return widest, border
 
 
 def _build_tree(sample: np.ndarray, depth: int) -> _Tree:
-    dimension = np.zeros(2**depth - 1, dtype=np.int64)
-    border = np.zeros(2**depth - 1)
-    members = {0: sample}
-    for node in range(2**depth - 1):
-        points = members.pop(node)
-        if len(points):
-            widest = int(np.argmax(points.max(axis=0) - points.min(axis=0)))
-            dimension[node], border[node] = widest, np.median(points[:, widest])
-        right = points[:, dimension[node]] > border[node]
-        members[2 * node + 1], members[2 * node + 2] = points[~right], points[right]
-    return _Tree(depth, dimension, border)
+    dimension, border, children, number = [], [], [], []
+    queue, deepest, leaves = [(sample, 0, None)], 0, 0
+    for points, level, above in queue:
+        node = len(number)
+        if above is not None:
+            children[above[0]][above[1]] = node
+        split = _split(points) if level < depth and len(points) > 1 else None
+        dimension.append(split[0] if split else 0)
+        border.append(split[1] if split else 0.0)
+        children.append([-1, -1])
+        number.append(-1 if split else leaves)
+        if not split:
+            leaves += 1
+            continue
+        deepest = max(deepest, level + 1)
+        right = points[:, split[0]] > split[1]
+        queue += [(points[~right], level + 1, (node, 0)), (points[right], level + 1, (node, 1))]
+    return _Tree(deepest, np.array(dimension), np.array(border), np.array(children), np.array(number))
 
 
 def _with_leaf(df: DataFrame, features: Sequence[str], tree: _Tree) -> DataFrame:
@@ -110,7 +148,7 @@ def _search(points: DataFrame, queries: DataFrame, features: Sequence[str], k: i
     pieces = sizes.select(
         "_leaf", F.ceil(F.col("count") / QUERY_BLOCK).cast("int").alias("_pieces")
     )
-    # One row per leaf, and the number of leaves is limited by MAX_DEPTH.
+    # One row per leaf, and the number of leaves is limited by the sample.
     pieces = F.broadcast(pieces)
     cut_queries = queries.join(pieces, "_leaf").withColumn(
         "_piece", F.pmod(F.xxhash64("_query"), F.col("_pieces")).cast("int")
@@ -155,9 +193,12 @@ def _search(points: DataFrame, queries: DataFrame, features: Sequence[str], k: i
 
 
 def _other_leaves(
-    searched: DataFrame, features: Sequence[str], k: int, leaves: np.ndarray, low: np.ndarray, high: np.ndarray
+    searched: DataFrame, features: Sequence[str], k: int, tree: _Tree, lows: np.ndarray, highs: np.ndarray
 ) -> DataFrame:
-    """For each query, the other leaves whose box reaches into the ball of its k-th neighbour."""
+    """For each query, the other leaves whose box reaches into the ball of its k-th neighbour.
+
+    The tree is descended for many queries at a time, and only into boxes that the ball reaches.
+    """
     features = list(features)
     schema = T.StructType(
         [T.StructField("_query", T.LongType())]
@@ -167,21 +208,21 @@ def _other_leaves(
 
     def probe(batches):
         for batch in batches:
-            step = max(1, _DISTANCES_AT_ONCE // len(leaves))
-            for start in range(0, len(batch), step):
-                part = batch.iloc[start : start + step]
-                at = part[features].to_numpy()
-                reach = np.array([d[-1] if len(d) >= k else np.inf for d in part["_distances"]])
-                gap = np.zeros((len(part), len(leaves)))
-                for d in range(at.shape[1]):
-                    outside = np.maximum(low[None, :, d] - at[:, d, None], at[:, d, None] - high[None, :, d])
-                    gap += np.maximum(outside, 0.0) ** 2
+            at = batch[features].to_numpy()
+            reach = np.array([d[-1] if len(d) >= k else np.inf for d in batch["_distances"]])
+            own = batch["_leaf"].to_numpy()
+            row, node = np.arange(len(batch)), np.zeros(len(batch), dtype=np.int64)
+            while len(row):
+                outside = np.maximum(np.maximum(lows[node] - at[row], at[row] - highs[node]), 0.0)
                 # The slack only ever adds a leaf that turns out not to be needed.
-                near = gap <= reach[:, None] * (1 + 1e-9)
-                near &= leaves[None, :] != part["_leaf"].to_numpy()[:, None]
-                row, column = np.nonzero(near)
-                found = part[["_query", *features]].iloc[row].reset_index(drop=True)
-                yield found.assign(_leaf=leaves[column])
+                near = (outside**2).sum(axis=1) <= reach[row] * (1 + 1e-9)
+                near &= np.isfinite(lows[node]).all(axis=1)
+                row, node = row[near], node[near]
+                leaf = tree.number[node] >= 0
+                found = leaf & (tree.number[node] != own[row])
+                part = batch[["_query", *features]].iloc[row[found]].reset_index(drop=True)
+                yield part.assign(_leaf=tree.number[node[found]])
+                row, node = np.repeat(row[~leaf], 2), tree.children[node[~leaf]].ravel()
 
     return searched.mapInPandas(probe, schema)
 
@@ -214,15 +255,18 @@ def nearest_neighbours(
         .drop("_copy")
     )
     n_points = points.count()
-    depth = min(MAX_DEPTH, max(0, int(np.ceil(np.log2(max(n_points, 1) / leaf_rows)))))
-    sample = points.orderBy(seeded_key(0, "_point")).limit(_SAMPLE_PER_LEAF * 2**depth if depth else 1)
+    wanted = max(1, -(-n_points // leaf_rows))
+    depth = int(np.ceil(np.log2(wanted)))
+    share = min(_SAMPLE_ROWS, _SAMPLE_PER_LEAF * 2**depth) / max(n_points, 1)
+    # A share of the keys, so that the draw needs no sort and every task keeps its own rows.
+    sample = points.filter(unit_interval(seeded_key(0, "_point")) < share) if depth else points.limit(1)
     tree = _build_tree(sample.select(*features).toPandas().to_numpy().reshape(-1, len(features)), depth)
     points = _with_leaf(points, features, tree)
     queries = _with_leaf(
         query.filter(usable).select(F.col(user_col).cast("bigint").alias("_query"), *as_double), features, tree
     )
     searched = _search(points, queries, features, k)
-    if depth:
+    if tree.depth:
         searched = cut_lineage(searched)
         boxes = (
             points.groupBy("_leaf")
@@ -231,7 +275,8 @@ def nearest_neighbours(
         )
         low = boxes[[f"lo_{f}" for f in features]].to_numpy()
         high = boxes[[f"hi_{f}" for f in features]].to_numpy()
-        probes = cut_lineage(_other_leaves(searched, features, k, boxes["_leaf"].to_numpy(), low, high))
+        lows, highs = tree.boxes(boxes["_leaf"].to_numpy(), low, high)
+        probes = cut_lineage(_other_leaves(searched, features, k, tree, lows, highs))
         searched = searched.unionByName(_search(points, probes, features, k))
     found = searched.select(
         F.col("_query").alias(user_col),

@@ -37,16 +37,17 @@ def sample_per_user(
 
     Ranking stops at ``max(k, min_count)`` rows per user, and a user has enough ratings exactly
     if the rank reached ``min_count``. So the activity filter needs no count, no join and no
-    second scan, and each map task sends at most that many rows of one user: a rater holding a
-    third of the table costs no more than others. Above Spark's limit for that pruning the cut
+    second scan, and each map task sends at most that many rows of one user. Above Spark's limit for that pruning the cut
     is made per (user, salt) first, which keeps the same rows.
 
+    Ratings without a user are left out.
+
     ``row_id`` names integer or string columns that tell the rows of a user apart; rows that
     agree on them are ordered by their other columns.
     """
     cut = max(k, min_count)
     rest = [c for c in df.columns if c != user_col and c not in row_id]
-    keyed = df.withColumn("_order", seeded_key(seed, user_col, *row_id))
+    keyed = df.filter(F.col(user_col).isNotNull()).withColumn("_order", seeded_key(seed, user_col, *row_id))
     order = ["_order", *row_id, *rest]
     if cut > _MAP_SIDE_RANK_LIMIT:
         salted = keyed.withColumn("_salt", F.pmod(F.xxhash64("_order"), F.lit(_SALTS)))

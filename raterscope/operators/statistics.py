@@ -15,6 +15,7 @@ spread over the whole cluster in both.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -33,7 +34,7 @@ _HISTOGRAM_STATISTICS = ("mode_rating", "entropy_rating")
 
 
 def discover_levels(df: DataFrame, rating_col: str = "rating", max_levels: int = MAX_LEVELS) -> list[float] | None:
-    """The sorted rating scale if it has at most ``max_levels`` values, else None. Runs two jobs.
+    """The sorted rating scale if it has at most ``max_levels`` finite values, else None. Runs two jobs.
 
     A glance at some rows tells most continuous columns apart before the whole table is grouped.
     Only ``max_levels + 1`` values can reach the driver.
@@ -41,8 +42,8 @@ def discover_levels(df: DataFrame, rating_col: str = "rating", max_levels: int =
     rated = df.select(F.col(rating_col).cast("double").alias("level")).filter(is_number("level"))
     if rated.limit(_GLANCE_ROWS).distinct().count() > max_levels:
         return None
-    found = rated.distinct().limit(max_levels + 1).collect()
-    return sorted(row["level"] for row in found) if len(found) <= max_levels else None
+    found = [row["level"] for row in rated.distinct().limit(max_levels + 1).collect()]
+    return sorted(found) if len(found) <= max_levels and all(map(math.isfinite, found)) else None
 
 
 def user_statistics(
@@ -61,8 +62,8 @@ def user_statistics(
 
     ``levels`` names the rating scale and selects the levels plan; a rating off the scale stops
     the job rather than being lost. ``"discover"`` looks for a scale first. Rows with a null in
-    any column are left out (``subset`` narrows that test and lets the scan read fewer columns),
-    and so are raters for whom a chosen statistic is undefined, unless ``drop_undefined=False``.
+    any column are left out (``subset`` narrows that test and lets the scan read fewer columns; rows
+    without a rater or rating are left out in any case), and so are raters for whom a chosen statistic is undefined, unless ``drop_undefined=False``.
     """
     require_columns(df, [user_col, rating_col])
     unknown = [f for f in features if f not in STATISTICS]
@@ -70,11 +71,10 @@ def user_statistics(
         raise ValueError(f"unknown statistics: {unknown}")
     if levels == "discover":
         levels = discover_levels(df, rating_col)
-    clean = drop_incomplete(df, subset).select(
-        F.col(user_col), F.col(rating_col).cast("double").alias("_rating")
-    )
+    clean = _rated(drop_incomplete(df, subset), user_col, rating_col)
     if levels:
-        clean = clean.filter(F.col(user_col).isNotNull())
+        if not all(math.isfinite(v) for v in levels):
+            raise ValueError("levels must be finite")
         return _from_levels(clean, user_col, sorted(float(v) for v in levels), features, drop_undefined)
     stats = _from_values(clean, user_col, features)
     return stats.dropna("any") if drop_undefined else stats
@@ -83,20 +83,17 @@ def user_statistics(
 def _from_levels(
     clean: DataFrame, user_col: str, levels: list[float], features: Sequence[str], drop_undefined: bool
 ) -> DataFrame:
-    """Statistics from level counts and power sums about the middle of the scale.
+    """Statistics from level counts alone.
 
-    The sums are whole numbers for whole or half steps, so the differences below are exact until
-    they pass 2**53, and close to it beyond. Undefined raters are recognised by their counts: a
-    filter on the finished formulas would be pushed below them and repeat them.
+    Central moments are sums over the levels about the rater's own mean, so they lose nothing on a
+    wide scale, and only whole numbers are shuffled. Undefined raters are recognised by their
+    counts: a filter on the finished formulas would be pushed below them and repeat them.
     """
     values = [f"{v!r}D" for v in levels]
     counts = [f"_n{i}" for i in range(len(levels))]
-    shift = values[len(values) // 2]
-    powers = [" * ".join([f"(_rating - {shift})"] * k) for k in (1, 2, 3, 4)]
     grouped = clean.groupBy(user_col).agg(
         F.count(F.lit(1)).alias("_n"),
         *[F.expr(f"count_if(_rating = {v}) AS {c}") for v, c in zip(values, counts)],
-        *[F.expr(f"sum({p}) AS _s{k}") for k, p in enumerate(powers, 1)],
     )
     off_scale = f"raise_error('rating outside the declared levels {levels}')"
     checked = grouped.filter(f"CASE WHEN {' + '.join(counts)} = _n THEN true ELSE {off_scale} END")
@@ -106,14 +103,20 @@ def _from_levels(
         checked = checked.filter(varied)
     elif drop_undefined and "sd_rating" in features:
         checked = checked.filter("_n > 1")
+    pairs = list(zip(counts, values))
+    # The mean is taken about a level that the rater has, so that small steps far from zero stay exact.
+    anchor = f"CASE {' '.join(f'WHEN {c} > 0 THEN {v}' for c, v in pairs)} END"
+    checked = checked.withColumn("_anchor", F.expr(anchor))
+    apart = " + ".join(f"{c} * ({v} - _anchor)" for c, v in pairs)
+    checked = checked.withColumn("_shift", F.expr(f"({apart}) / _n"))
 
-    # n^2, n^3 and n^4 times the central moments
-    second = "(_n * _s2 - _s1 * _s1)"
-    third = "(double(_n) * _n * _s3 - 3D * _n * _s1 * _s2 + 2D * _s1 * _s1 * _s1)"
-    fourth = (
-        "(double(_n) * _n * _n * _s4 - 4D * _n * _n * _s1 * _s3"
-        " + 6D * _n * _s1 * _s1 * _s2 - 3D * _s1 * _s1 * _s1 * _s1)"
-    )
+    def moment(k: int) -> str:
+        return "(" + " + ".join(f"{c} * {' * '.join([f'(({v} - _anchor) - _shift)'] * k)}" for c, v in pairs) + ") / _n"
+
+    wanted = {2: "sd_rating kurtosis_rating skewness_rating", 3: "skewness_rating", 4: "kurtosis_rating"}
+    for k, users in wanted.items():
+        if set(users.split()) & set(features):
+            checked = checked.withColumn(f"_m{k}", F.expr(moment(k)))
 
     def first_level(tests: Sequence[str]) -> str:
         return f"CASE {' '.join(f'WHEN {t} THEN {v}' for t, v in tests)} END"
@@ -122,18 +125,17 @@ def _from_levels(
         running = [" + ".join(counts[: i + 1]) for i in range(len(counts))]
         return first_level([(f"{r} >= _n * {p}D", v) for r, v in zip(running, values)])
 
-    pairs = list(zip(counts, values))
     p_ln_p = " + ".join(f"if({c} > 0, {c} / _n * ln({c} / _n), 0D)" for c in counts)
     formulas = {
-        "mean_rating": f"{shift} + _s1 / _n",
+        "mean_rating": "_anchor + _shift",
         "median_rating": quantile(0.5),
         "mode_rating": first_level([(f"{c} = {largest}", v) for c, v in pairs]),
-        "sd_rating": f"CASE WHEN {varied} THEN sqrt({second} / (_n * (_n - 1D))) WHEN _n > 1 THEN 0D END",
+        "sd_rating": f"CASE WHEN {varied} THEN sqrt(_m2 * (_n / (_n - 1D))) WHEN _n > 1 THEN 0D END",
         "max_rating": first_level([(f"{c} > 0", v) for c, v in reversed(pairs)]),
         "min_rating": first_level([(f"{c} > 0", v) for c, v in pairs]),
         "iqr_rating": f"{quantile(0.75)} - {quantile(0.25)}",
-        "kurtosis_rating": f"CASE WHEN {varied} THEN {fourth} / ({second} * {second}) - 3D END",
-        "skewness_rating": f"CASE WHEN {varied} THEN {third} / sqrt({second} * {second} * {second}) END",
+        "kurtosis_rating": f"CASE WHEN {varied} THEN try_divide(try_divide(_m4, _m2), _m2) - 3D END",
+        "skewness_rating": f"CASE WHEN {varied} THEN try_divide(try_divide(_m3, _m2), sqrt(_m2)) END",
         "entropy_rating": f"0D - ({p_ln_p})",
     }
     return checked.select(user_col, *[F.expr(f"{formulas[f]} AS {f}") for f in features])
@@ -196,12 +198,13 @@ def _rated(df: DataFrame, user_col: str, rating_col: str) -> DataFrame:
 def rating_histogram(df: DataFrame, user_col: str = "user_id", rating_col: str = "rating") -> DataFrame:
     """Count and share of each distinct rating of each rater.
 
-    The total is joined back rather than taken by a window, and written first, so that adaptive
-    execution can split a rater with very many distinct values.
+    The counts are written once, and the totals come from them: the ratings are read and shuffled
+    one time. The total is joined back rather than taken by a window, so that adaptive execution
+    can split a rater with very many distinct values. Runs two jobs.
     """
-    rated = _rated(df, user_col, rating_col)
-    totals = cut_lineage(rated.groupBy(user_col).agg(F.count(F.lit(1)).alias("total_count")))
-    return _histogram(rated, user_col).join(totals, user_col).select(
+    histogram = cut_lineage(_histogram(_rated(df, user_col, rating_col), user_col))
+    totals = cut_lineage(histogram.groupBy(user_col).agg(F.sum("_count").alias("total_count")))
+    return histogram.join(totals, user_col).select(
         user_col,
         F.col("_rating").alias(rating_col),
         F.col("_count").alias("rating_count"),
@@ -211,8 +214,8 @@ def rating_histogram(df: DataFrame, user_col: str = "user_id", rating_col: str =
 
 
 def tied_modes(df: DataFrame, user_col: str = "user_id", rating_col: str = "rating") -> DataFrame:
-    """All ratings that share a rater's highest count; joined like :func:`rating_histogram`."""
-    histogram = _histogram(_rated(df, user_col, rating_col), user_col)
+    """All ratings that share a rater's highest count; joined like :func:`rating_histogram`. Runs two jobs."""
+    histogram = cut_lineage(_histogram(_rated(df, user_col, rating_col), user_col))
     highest = cut_lineage(histogram.groupBy(user_col).agg(F.max("_count").alias("max_count")))
     return (
         histogram.join(highest, user_col)

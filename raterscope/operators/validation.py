@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..schemas import CORE_FEATURES
 from ..session import cut_lineage
 from .classifiers import Builder
+from .cleaning import is_number
 from .evaluation import mean_fold_auc, roc_auc
 from .knn import knn_classify
 from .splits import learning_subsets
@@ -47,7 +48,11 @@ def prepare_folds(
     Every fit scans the table many times. A small table in many partitions spends its time on
     task overhead, so partitions are merged until each has about ``ROWS_PER_PARTITION`` rows.
     """
-    narrow = cut_lineage(folded.select(user_col, F.col(label).cast("double").alias(label), *features, fold))
+    narrow = folded.select(user_col, F.col(label).cast("double").alias(label), *features, fold)
+    # All models are fitted and compared on the same rows: those with every feature defined.
+    for feature in features:
+        narrow = narrow.filter(is_number(feature))
+    narrow = cut_lineage(narrow)
     rows = {r[fold]: r["count"] for r in narrow.groupBy(fold).count().collect()}
     wanted = max(1, -(-sum(rows.values()) // ROWS_PER_PARTITION))
     return FoldedTable(narrow.coalesce(wanted), rows)

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import encode_id, label_name
@@ -20,7 +20,6 @@ from ..operators import (
     dataset,
     distributions,
     evaluation,
-    knn,
     prompts,
     sampling,
     scoring,
@@ -34,12 +33,10 @@ from ..sources import readers, views
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-# Sizes of the registered model queries; the library defaults are larger.
-_ROUNDS = 10
-_TREES = 20
-_SVM_ITERATIONS = 20
 # Folds fitted at the same time: all, as their tables are small.
 _FITS_AT_ONCE = 6
+# Mean area under the curve that every model must reach: chance.
+_AUC_FLOOR = 0.5
 
 _REGISTRY: dict[str, Query] = {}
 
@@ -110,7 +107,8 @@ def _table(spark: SparkSession, folder: str) -> validation.FoldedTable:
 
 
 def _builders():
-    return classifiers.builders(_ROUNDS, _TREES, _SVM_ITERATIONS)
+    """The models at the size that training uses."""
+    return classifiers.builders()
 
 
 # --- sources, filters, projections ---------------------------------------------------------
@@ -225,6 +223,31 @@ def q_json_valid(spark, folder):
     return answers.with_validity(views.answers(spark, folder)).select("movie_id", "is_valid")
 
 
+@_query
+def q_quarantine(spark, folder):
+    return answers.split_valid_json(views.answers(spark, folder))[1]
+
+
+@_query
+def q_rejected_ids(spark, folder):
+    users = views.ratings_by_customer(spark, folder, titles=False).select("user_id").distinct()
+    text = F.col("user_id").cast("string")
+    odd = F.when(F.col("user_id") % 7 == 0, F.concat(text, F.lit(".0"))).otherwise(text)
+    return dataset.rejected_ids(users.select(odd.alias("user_id")), 0)
+
+
+@_query
+def q_user_stats_wide(spark, folder):
+    """A declared scale with one level far from the others."""
+    lines = views.table(spark, folder, "lineitem")
+    far = F.when((F.col("l_suppkey") % 3 == 0) & (F.col("l_partkey") % 5 == 0), 1_000_000.0).otherwise(0.0)
+    ratings = lines.select(
+        F.col("l_suppkey").alias("user_id"), (F.col("l_linenumber").cast("double") + far).alias("rating")
+    )
+    levels = [base + n for base in (0.0, 1_000_000.0) for n in range(1, 8)]
+    return _rounded(statistics.user_statistics(ratings, levels=levels), *STATISTICS)
+
+
 @_query
 def q_parse_responses(spark, folder):
     return answers.parse_answers(views.answers(spark, folder))
@@ -335,7 +358,9 @@ def q_int_hist(spark, folder):
 
 @_query
 def q_first_user_hist(spark, folder):
-    return distributions.first_user_histogram(views.ratings_by_customer(spark, folder, titles=False))
+    ratings = views.ratings_by_customer(spark, folder, titles=False)
+    as_text = ratings.select(*[F.col(c).cast("string").alias(c) for c in ("user_id", "rating")])
+    return distributions.first_user_histogram(scoring.as_upload(as_text, "user_id", "rating")[0])
 
 
 @_query
@@ -405,18 +430,27 @@ def q_score_combined(spark, folder):
 
 @_query
 def q_knn(spark, folder):
-    folded = _folded(spark, folder)
-    held_out = F.col("fold") == 0
-    scored = knn.knn_classify(folded.filter(~held_out), folded.filter(held_out))
-    return _rounded(scored, "score")
+    table = validation.prepare_folds(splits.assign_folds(_dataset(spark, folder), seed=7))
+    scored = validation.cross_validate_knn(table, parallelism=_FITS_AT_ONCE)
+    return _rounded(scored.select("fold", "user_id", "prediction", "score"), "score")
 
 
-def _folded(spark, folder):
-    return cut_lineage(splits.assign_folds(_dataset(spark, folder), seed=7))
+def _checked(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Out-of-fold rows with what must hold of every score.
 
+    ``agrees``: the prediction is the side of the threshold on which the score lies. ``bounded``: the
+    score is a probability, or, for margins, a finite number. The fitted values themselves differ
+    between libraries and have no SQL form; ``tests/test_models.py`` checks them.
+    """
+    score = F.col("score")
+    bounded = score.between(0.0, 1.0) if threshold else ~F.isnan(score) & (F.abs(score) < float("inf"))
+    agrees = F.col("prediction") == (score > threshold).cast("double")
+    return scored.select("model", "fold", "user_id", "label", agrees.alias("agrees"), bounded.alias("bounded"))
 
-def _one_model(spark, folder, name):
-    return validation.cross_validate(_table(spark, folder), _builders()[name], name, _FITS_AT_ONCE)
+
+def _one_model(spark, folder, name, threshold=0.5):
+    scored = validation.cross_validate(_table(spark, folder), _builders()[name], name, _FITS_AT_ONCE)
+    return _checked(scored, threshold)
 
 
 @_query
@@ -431,7 +465,7 @@ def q_rf_oof(spark, folder):
 
 @_query
 def q_svm_oof(spark, folder):
-    return _one_model(spark, folder, "support_vectors")
+    return _one_model(spark, folder, "support_vectors", 0.0)
 
 
 @_query
@@ -446,33 +480,48 @@ def q_oof(spark, folder):
         validation.cross_validate(table, chosen[name], name, _FITS_AT_ONCE)
         for name in ("random_forest", "logistic_regression")
     ]
-    return parts[0].unionByName(parts[1])
+    return _checked(parts[0].unionByName(parts[1]))
 
 
 @_query
 def q_importance(spark, folder):
+    """Shares in [0, 1] that add up to 1."""
     models = validation.fit_folds(
         _table(spark, folder), _builders()["boosted_trees"], parallelism=_FITS_AT_ONCE
     )
-    return validation.feature_importance(models, spark)
+    found = validation.feature_importance(models, spark)
+    total = F.sum("importance").over(Window.partitionBy(F.lit(0)))  # three rows
+    return found.select(
+        "feature", F.col("importance").between(0.0, 1.0).alias("bounded"), (F.abs(total - 1.0) < 1e-9).alias("whole")
+    )
 
 
 @_query
 def q_model_compare(spark, folder):
+    """All five models, each better than chance on rows it has not seen."""
     scored = validation.compare_models(_table(spark, folder), _builders(), parallelism=_FITS_AT_ONCE)
-    return validation.mean_auc_by_model(cut_lineage(scored))
+    areas = validation.mean_auc_by_model(cut_lineage(scored))
+    return areas.select("model", F.col("mean_fold_auc").between(_AUC_FLOOR, 1.0).alias("above_floor"))
 
 
 @_query
 def q_learning_curve(spark, folder):
-    return validation.learning_curve(
-        _table(spark, folder), classifiers.boosted_trees(2, depth=4), parallelism=_FITS_AT_ONCE
+    """Every step's training rows, and areas that are areas."""
+    curve = validation.learning_curve(
+        _table(spark, folder), classifiers.boosted_trees(), parallelism=_FITS_AT_ONCE
     )
+    bounded = F.col("train_auc").between(_AUC_FLOOR, 1.0) & F.col("cv_auc").between(0.0, 1.0)
+    return curve.select("step", "n_train", bounded.alias("bounded"))
 
 
 @_query
 def q_score(spark, folder):
+    """Every rater, its status, and a class that agrees with the probability."""
     model = validation.final_fit(_table(spark, folder), _builders()["boosted_trees"])
     ratings = views.ratings_by_customer(spark, folder, titles=False)
     predictions, _ = scoring.score_raters(model, ratings, "user_id", "rating")
-    return predictions
+    probability = F.col("Probability AI")
+    agrees = F.col("Prediction") == F.when(probability > 0.5, "AI").otherwise("Human")
+    return predictions.select(
+        "user_id", "status", agrees.alias("agrees"), probability.between(0.0, 1.0).alias("bounded")
+    )

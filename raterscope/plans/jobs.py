@@ -25,17 +25,42 @@ from ..operators import (
     validation,
 )
 from ..schemas import CORE_FEATURES, PLOT_FEATURES, RATINGS, STATISTICS, SYNTHETIC_RATINGS
+from ..session import cut_lineage, intermediate_tables
 from ..sources import models, readers, writers
 
 _LOG = logging.getLogger(__name__)
 
 
+def _ratings(spark: SparkSession, path: str, rejects: str | None, schema=RATINGS, multi_line: bool = False) -> DataFrame:
+    """Ratings whose cells all fit. The other lines are counted, and written below ``rejects`` if it is named."""
+    raw = readers.read_ratings_csv(spark, path, schema, keep_corrupt=True, multi_line=multi_line)
+    good, bad = readers.split_corrupt(cut_lineage(raw))
+    n = bad.count()
+    if n:
+        _LOG.warning("%d lines of %s do not fit the schema", n, path)
+    if rejects is not None:
+        writers.write_parquet(bad, rejects)
+    return good
+
+
 def qualify(
-    spark: SparkSession, ratings_path: str, out: str, k: int = 300, min_count: int = 300, seed: int = 42
+    spark: SparkSession,
+    ratings_path: str,
+    out: str,
+    k: int = 300,
+    min_count: int = 300,
+    seed: int = 42,
+    rejects: str | None = None,
+    multi_line: bool = False,
 ) -> DataFrame:
-    """Sample ``k`` ratings of each rater with at least ``min_count``; returns rows and users written."""
-    ratings = readers.read_ratings_csv(spark, ratings_path)
-    writers.write_csv(sampling.sample_per_user(ratings, k, ["movie_id"], seed, min_count), out)
+    """Sample ``k`` ratings of each rater with at least ``min_count``; returns rows and users written.
+
+    Lines that do not fit the schema are counted and, with ``rejects``, kept there. ``multi_line`` reads titles
+    with line breaks; in the output a break is a space, so that later stages need not.
+    """
+    with intermediate_tables(spark):
+        ratings = _ratings(spark, ratings_path, rejects, multi_line=multi_line)
+        writers.write_csv(sampling.sample_per_user(ratings, k, ["movie_id"], seed, min_count), out, keep_breaks=False)
     return activity.summarise_output(readers.read_ratings_csv(spark, out))
 
 
@@ -65,7 +90,8 @@ def answer_file(
     """Parse all answer files under a prefix to ratings; returns the line count of each status.
 
     Without any answers nothing is written and the counts are empty. The audited lines are written first, and both the ratings and the counts come from that
-    table, so the answers are parsed once.
+    table, so the answers are parsed once. It holds the raw line and its file of every answer
+    that gave no rating.
     """
     lines = readers.read_ndjson(spark, prefix)
     if lines.isEmpty():
@@ -74,7 +100,7 @@ def answer_file(
     writers.write_parquet(answers.audit_answers(lines, "value", min_rating, max_rating), audit_out)
     audited = readers.read_dataset(spark, audit_out)
     rated = audited.filter(F.col("status") == answers.OK)
-    writers.write_csv(rated.select(*SYNTHETIC_RATINGS.names), out)
+    writers.write_csv(rated.select(*SYNTHETIC_RATINGS.names), out, keep_breaks=False)
     return answers.audit_counts(audited)
 
 
@@ -83,13 +109,19 @@ def statistics_table(
     ratings_path: str,
     out: str,
     features: Sequence[str] = STATISTICS,
-    levels: Sequence[float] | str | None = "discover",
+    levels: Sequence[float] | str | None = None,
     synthetic: bool = False,
+    rejects: str | None = None,
 ) -> DataFrame:
-    """Rater statistics of one ratings table; returns rows and users written."""
+    """Rater statistics of one ratings table; returns rows and users written.
+
+    ``levels`` names the rating scale for the one-shuffle plan, ``"discover"`` looks for it first. Lines that
+    do not fit the schema are counted and, with ``rejects``, kept there.
+    """
     schema = SYNTHETIC_RATINGS if synthetic else RATINGS
-    ratings = readers.read_ratings_csv(spark, ratings_path, schema)
-    writers.write_csv(statistics.user_statistics(ratings, features=features, levels=levels), out)
+    with intermediate_tables(spark):
+        ratings = _ratings(spark, ratings_path, rejects, schema)
+        writers.write_csv(statistics.user_statistics(ratings, features=features, levels=levels), out)
     return activity.summarise_output(readers.read_upload_csv(spark, out))
 
 
@@ -102,10 +134,20 @@ def labelled_table(
     seed: int = 42,
     codec: str = "uncompressed",
     features: Sequence[str] = STATISTICS,
+    rejects: str | None = None,
 ) -> DataFrame:
-    """Join both statistics tables to the labelled dataset; returns class counts."""
+    """Join both statistics tables to the labelled dataset; returns class counts.
+
+    Rows whose id cannot carry the label are counted and, with ``rejects``, kept there.
+    """
     human = readers.read_stats_csv(spark, human_path, features)
     machine = readers.read_stats_csv(spark, machine_path, features)
+    lost = dataset.rejected_rows(human, 0).unionByName(dataset.rejected_rows(machine, 1))
+    n = lost.count()
+    if n:
+        _LOG.warning("%d raters have an id that cannot carry the label", n)
+    if rejects is not None:
+        writers.write_parquet(lost, rejects)
     both = dataset.labelled_dataset(human, machine, n_human, seed, features)
     writers.write_parquet(both, out, codec)
     return dataset.class_counts(readers.read_dataset(spark, out))

@@ -11,7 +11,9 @@ _EVENT_USER = (
     "SELECT user_id, event_type AS movie, event_id AS movie_id, "
     "least(5.0, 1.0 + floor(value / 25.0))::DOUBLE AS rating FROM events"
 )
+# Fixed values, as in ``operators.sampling``.
 _TEMPERATURES = "[1.0::DOUBLE, 0.8::DOUBLE, 0.5::DOUBLE, 0.25::DOUBLE, 0.1::DOUBLE, 0.01::DOUBLE]"
+# The columns of ``schemas``.
 _STATISTICS = (
     "mean_rating",
     "median_rating",
@@ -175,6 +177,7 @@ def _status() -> str:
 
 
 def _requests() -> str:
+    # Fixed value: the prompt of ``operators.prompts``.
     prompt = (
         "'As a Netflix user, please rate the following movie on a scale of 1 to 5.' || chr(10) || 'Movie: ' || movie "
         "|| chr(10) || 'Provide only the numeric rating.'"
@@ -192,10 +195,40 @@ def _knn() -> str:
     gap = " + ".join(f"(q.{f} - t.{f}) * (q.{f} - t.{f})" for f in ("sd_rating", "kurtosis_rating", "skewness_rating"))
     return f"""{_ranked(7)},
 f AS (SELECT *, (class_rank - 1) % 6 AS fold FROM k),
-n AS (SELECT q.user_id, t.ai_label FROM f q JOIN f t ON q.fold = 0 AND t.fold <> 0
+n AS (SELECT q.fold, q.user_id, t.ai_label FROM f q JOIN f t ON t.fold <> q.fold
   QUALIFY row_number() OVER (PARTITION BY q.user_id ORDER BY {gap}, t.user_id) <= 5)
-SELECT user_id, {_r("avg(ai_label)", "score")}, CASE WHEN avg(ai_label) > 0.5 THEN 1.0 ELSE 0.0 END::DOUBLE AS prediction
-FROM n GROUP BY user_id"""
+SELECT fold::INT AS fold, user_id, {_r("avg(ai_label)", "score")}, CASE WHEN avg(ai_label) > 0.5 THEN 1.0 ELSE 0.0 END::DOUBLE AS prediction
+FROM n GROUP BY fold, user_id"""
+
+
+def _wide() -> str:
+    """Moments about each rater's own mean: one-pass sums would cancel on this scale."""
+    source = (
+        "SELECT l_suppkey AS user_id, l_linenumber + CASE WHEN l_suppkey % 3 = 0 AND l_partkey % 5 = 0 "
+        "THEN 1000000.0 ELSE 0.0 END::DOUBLE AS rating FROM lineitem"
+    )
+    names = [s for s in _STATISTICS if s not in ("sd_rating", "kurtosis_rating", "skewness_rating")]
+    plain = _stats(source, "u").replace("WHERE sd_rating IS NOT NULL AND kurtosis_rating IS NOT NULL AND skewness_rating IS NOT NULL", "")
+    return f"""WITH {plain},
+c AS (SELECT user_id, rating - avg(rating) OVER (PARTITION BY user_id) AS d FROM ({source})),
+m AS (SELECT user_id, count(*) AS n, sum(d*d) / count(*) AS m2, sum(d*d*d) / count(*) AS m3, sum(d*d*d*d) / count(*) AS m4
+  FROM c GROUP BY user_id)
+SELECT user_id, {", ".join(_r(s) for s in names)}, {_r("sqrt(m2 * n / (n - 1))", "sd_rating")},
+  {_r("m4 / (m2 * m2) - 3", "kurtosis_rating")}, {_r("m3 / (m2 * sqrt(m2))", "skewness_rating")}
+FROM u JOIN m USING (user_id) WHERE n > 1 AND m2 > 0"""
+
+
+def _scored_rows(*models: str) -> str:
+    """What must hold of the scores of fitted models: each balanced row once, in its own fold."""
+    parts = [
+        f"SELECT '{m}' AS model, fold, user_id, ai_label::DOUBLE AS label, true AS agrees, true AS bounded FROM b" for m in models
+    ]
+    return f"{_balanced()} {' UNION ALL '.join(parts)}"
+
+
+def _curve() -> str:
+    return f"""{_balanced()}, sizes AS (SELECT held_out, count(*) AS n FROM b, range(6) g(held_out) WHERE fold <> held_out GROUP BY 1)
+SELECT step::INT AS step, min(n * step // 10)::BIGINT AS n_train, true AS bounded FROM sizes, range(1, 11) t(step) GROUP BY 1"""
 
 
 def _vif(a: str, b: str, c: str) -> str:
@@ -233,6 +266,9 @@ def oracle_sql() -> dict[str, str]:
         "q_assign_temperature": f"SELECT user_id, {_temperature()} AS temperature FROM (SELECT DISTINCT user_id FROM ({_CUSTOMER}))",
         "q_requests": _requests(),
         "q_json_valid": f"WITH {_answer_lines()} SELECT movie_id, is_valid FROM j",
+        "q_quarantine": f"WITH {_answer_lines()} SELECT movie_id, line AS value FROM x WHERE NOT json_valid(line)",
+        "q_rejected_ids": f"SELECT count(DISTINCT user_id) AS rejected FROM ({_CUSTOMER}) WHERE user_id % 7 = 0",
+        "q_user_stats_wide": _wide(),
         "q_parse_responses": f"WITH {_answer_lines()} SELECT movie, user_id, movie_id, temperature, rating FROM n WHERE rating IS NOT NULL",
         "q_parse_audit": f"WITH {_answer_lines()} SELECT {_status()} AS status, count(*) AS n FROM n GROUP BY 1",
         "q_user_stats": f"WITH {_stats(_SUPPLIER, 'u')} SELECT user_id, {_ROUNDED_STATISTICS} FROM u",
@@ -299,4 +335,17 @@ SELECT feature, ai_label, point::INT AS point, {_r("x")}, {_r("density")}, {_r(f
         "q_score_combined": f"SELECT 'Combined' AS user_id, {', '.join(_r(f) for f in core)}, 'ok' AS status "
         f"FROM (SELECT {_moments('rating')} FROM ({_EVENT_USER}))",
         "q_knn": _knn(),
+        "q_gbt_oof": _scored_rows("boosted_trees"),
+        "q_rf_oof": _scored_rows("random_forest"),
+        "q_svm_oof": _scored_rows("support_vectors"),
+        "q_lr_oof": _scored_rows("logistic_regression"),
+        "q_oof": _scored_rows("random_forest", "logistic_regression"),
+        "q_importance": f"SELECT unnest({list(core)}) AS feature, true AS bounded, true AS whole",
+        "q_model_compare": "SELECT unnest(['boosted_trees', 'random_forest', 'support_vectors', 'logistic_regression', "
+        "'nearest_neighbours']) AS model, true AS above_floor",
+        "q_learning_curve": _curve(),
+        "q_score": f"WITH s AS (SELECT user_id, {_moments('rating')} FROM ({_CUSTOMER}) GROUP BY user_id), "
+        "v AS (SELECT *, sd_rating IS NOT NULL AND kurtosis_rating IS NOT NULL AS ok FROM s) "
+        "SELECT user_id, CASE WHEN ok THEN 'ok' ELSE 'undefined_features' END AS status, "
+        "CASE WHEN ok THEN true END AS agrees, CASE WHEN ok THEN true END AS bounded FROM v",
     }

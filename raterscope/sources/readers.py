@@ -47,6 +47,12 @@ def read_ratings_csv(
     return reader.schema(T.StructType(fields)).csv(path).select(*wanted)
 
 
+def split_corrupt(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From a table read with ``keep_corrupt``: its good rows, and the raw text of the others."""
+    bad = F.col(CORRUPT).isNotNull()
+    return df.filter(~bad).drop(CORRUPT), df.filter(bad).select(F.col(CORRUPT).alias("line"))
+
+
 def read_upload_csv(spark: SparkSession, path: str) -> DataFrame:
     """CSV of unknown columns, named by its header, all read as text.
 

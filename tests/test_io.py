@@ -1,3 +1,4 @@
+import os
 from datetime import date, datetime
 from types import SimpleNamespace
 
@@ -7,7 +8,8 @@ from raterscope.errors import MissingColumnsError
 from raterscope.functions.labels import encode_id, label_name
 from raterscope.operators import cleaning
 from raterscope.schemas import STATISTICS, SYNTHETIC_RATINGS, USER_STATISTICS
-from raterscope.session import _shared_folder, cut_lineage, get_session, shuffle_partitions_for
+from raterscope.plans import jobs
+from raterscope.session import cut_lineage, get_session, intermediate_tables, shared_folder, shuffle_partitions_for
 from raterscope.sources import models, readers, writers
 
 
@@ -90,17 +92,42 @@ def test_session_is_shared_and_lineage_is_cut(spark, ratings):
 
 
 def test_shared_folder_where_none_is_named(spark):
-    def session(master):
-        made = []
-        context = SimpleNamespace(
-            master=master, getCheckpointDir=lambda: made[-1] if made else None, setCheckpointDir=made.append
-        )
-        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: None), sparkContext=context)
-
-    local = session("local[2]")
-    assert _shared_folder(local) == _shared_folder(local)
-    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        _shared_folder(session("yarn"))
+    def session(**named):
+        conf = SimpleNamespace(get=lambda key, default=None: named.get(key.split(".")[-2], default))
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(getCheckpointDir=lambda: named.get("context")))
+
+    assert shared_folder(session(checkpoint="hdfs://c/", warehouse="hdfs://w")) == "hdfs://c"
+    assert shared_folder(session(context="hdfs://x", warehouse="hdfs://w")) == "hdfs://x"
+    assert shared_folder(session(warehouse="hdfs://w/")) == "hdfs://w/_intermediate"
+
+
+def test_a_stage_leaves_nothing_behind(spark, ratings):
+    table = ratings({1: [1, 2, 3]})
+    with intermediate_tables(spark):
+        inside = cut_lineage(table)
+        path = inside.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:").replace("//", "/")
+        assert os.path.isdir(path)
+    assert not os.path.exists(path)
+    assert cut_lineage(table).count() == 3
+
+
+def test_no_line_is_lost_silently(spark, tmp_path):
+    (tmp_path / "r.csv").write_text('user_id,movie,movie_id,rating\n1,"a\nb",2,3\n1,c,3,4\nx,d,4,5\n,e,5,1\n2,f,6,2\n')
+    out = jobs.qualify(spark, str(tmp_path / "r.csv"), str(tmp_path / "o"), k=5, min_count=1, rejects=str(tmp_path / "bad"), multi_line=True)
+    assert tuple(out.first()) == (3, 2)
+    assert [r["line"] for r in spark.read.parquet(str(tmp_path / "bad")).collect()] == ["x,d,4,5"]
+    back = readers.read_ratings_csv(spark, str(tmp_path / "o"))
+    assert sorted(r["movie"] for r in back.collect()) == ["a b", "c", "f"]
+
+
+def test_rejected_raters_are_kept(spark, tmp_path):
+    values = ",".join(STATISTICS)
+    for name, ids in (("h", ("1", "12.0")), ("m", ("2", "9" * 19))):
+        lines = [f"{i},{','.join(['1'] * len(STATISTICS))}" for i in ids]
+        (tmp_path / name).write_text("\n".join([f"user_id,{values}", *lines]) + "\n")
+    counts = jobs.labelled_table(spark, str(tmp_path / "h"), str(tmp_path / "m"), str(tmp_path / "o"), None, rejects=str(tmp_path / "bad"))
+    assert {tuple(r) for r in counts.collect()} == {(0, 1), (1, 1)}
+    assert spark.read.parquet(str(tmp_path / "bad")).count() == 2
 
 
 def test_column_checks(ratings):

@@ -219,3 +219,35 @@ def test_all_stages_from_file_to_file(spark, tmp_path):
     together = jobs.score(spark, path, at["machine"], at["combined"], "user_id", "rating", combine_all=True)
     assert together.first()["Prediction"] == "AI"
     assert spark.read.parquet(f"{at['combined']}/distribution").count() > 0
+
+
+def test_ties_leave_no_leaf_empty_or_overfull(spark):
+    """Sixty percent of the points share the largest value of the widest feature."""
+    rng = np.random.default_rng(3)
+    points = rng.normal(size=(4000, 3))
+    points[:, 0] = np.where(rng.random(4000) < 0.6, 50.0, rng.uniform(0, 49, 4000))
+    tree = knn._build_tree(points[::4], 5)
+    sizes = np.bincount(tree.leaf(points))
+    assert len(sizes) == 32 and sizes.min() > 0 and sizes.max() < 4000 / 8
+    columns = "sd_rating double, kurtosis_rating double, skewness_rating double"
+    train = [(i, i % 2, *map(float, p)) for i, p in enumerate(points[:600])]
+    query = [(i, *map(float, p)) for i, p in enumerate(points[600:650])] + [(99, 49.9, 0.0, 0.0)]
+    rows = knn.nearest_neighbours(
+        spark.createDataFrame(train, f"user_id long, ai_label int, {columns}"),
+        spark.createDataFrame(query, f"user_id long, {columns}"), k=5, leaf_rows=30,
+    ).collect()
+    got = {}
+    for row in sorted(rows, key=lambda r: r["rank"]):
+        got.setdefault(row["user_id"], []).append(row["neighbour"])
+    assert got == brute_neighbours(train, query, 5)
+
+
+def test_first_user_of_text_ids(spark):
+    from raterscope.operators.distributions import first_user_histogram
+
+    def first(*ids):
+        rows = [(i, float(n)) for n, i in enumerate(ids, 1)]
+        return first_user_histogram(spark.createDataFrame(rows, "user_id string, rating double")).first()["bin"]
+
+    assert first("10", "2", "30") == 2
+    assert first("10", "2", "x") == 1

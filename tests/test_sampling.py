@@ -151,3 +151,9 @@ def test_learning_subsets(classes):
         assert len(mine) == size and all(r["fold"] != fold and r["train_size"] == size for r in mine)
         for step in range(1, 11):
             assert sum(r["first_step"] <= step for r in mine) == step * size // 10
+
+
+def test_rows_without_a_user_are_not_sampled(spark):
+    rows = [(None, i, 1.0) for i in range(5)] + [(1, i, 1.0) for i in range(3)]
+    table = spark.createDataFrame(rows, "user_id long, movie_id long, rating double")
+    assert {r["user_id"] for r in sampling.sample_per_user(table, 10, ["movie_id"]).collect()} == {1}

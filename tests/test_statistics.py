@@ -169,3 +169,43 @@ def test_one_shuffle_in_the_levels_plan(spark, folder):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and plan.count("FileScan") == 1
     assert "SortAggregate" not in plan and "Window" not in plan
+
+
+@pytest.mark.parametrize("scale", [1e-3, 1.0, 1e5, 1e10])
+def test_both_plans_agree_on_any_scale(ratings, scale):
+    """Far levels, negative ones and half steps: sums about the middle of the scale would cancel."""
+    rng = np.random.default_rng(int(scale) % 97)
+    levels = [round(x, 1) * scale for x in (-2.5, -1.0, 0.0, 0.5, 1.0, 1.5, 2.0)] + [1_000_001.0 * scale]
+    by_user = {u: [levels[i] for i in rng.integers(0, 7 + (u % 3 == 0), size=rng.integers(2, 40))] for u in range(1, 40)}
+    by_user[99] = [levels[-1], levels[-1], levels[0]]
+    table = ratings(by_user)
+    one = {r["user_id"]: r for r in S.user_statistics(table, levels=levels).collect()}
+    other = {r["user_id"]: r for r in S.user_statistics(table).collect()}
+    assert one.keys() == other.keys()
+    for user, row in one.items():
+        for name in S.STATISTICS:
+            assert row[name] == pytest.approx(other[user][name], rel=1e-9, abs=1e-9 * scale), (user, name)
+
+
+def test_near_levels_far_from_zero(ratings):
+    table = ratings({1: [1e8 + 1, 1e8 + 2, 1e8 + 2, 1e8 + 5, 1e8 + 5]})
+    row = S.user_statistics(table, levels=[1e8 + n for n in range(1, 6)]).first()
+    assert row["sd_rating"] == pytest.approx(1.870829, abs=1e-6)
+    assert row["kurtosis_rating"] == pytest.approx(-1.724490, abs=1e-6)
+
+
+def test_levels_must_be_finite(ratings):
+    with pytest.raises(ValueError, match="finite"):
+        S.user_statistics(ratings({1: [1, 2]}), levels=[1, float("inf")])
+    assert S.discover_levels(ratings({1: [1, 2, float("inf")]})) is None
+
+
+def test_rows_without_a_rating_are_ignored_in_both_plans(ratings):
+    table = ratings({1: [1, 2, None, 5]})
+    rows = [S.user_statistics(table, levels=levels, subset=["user_id"]).first() for levels in (None, [1, 2, 5])]
+    assert rows[0]["mean_rating"] == pytest.approx(rows[1]["mean_rating"]) and rows[0]["max_rating"] == rows[1]["max_rating"] == 5
+
+
+def test_histogram_reads_and_shuffles_the_ratings_once(ratings):
+    plan = S.rating_histogram(ratings({1: [1, 1, 2]}))._jdf.queryExecution().toString()
+    assert "LocalTableScan" not in plan and "LogicalRDD" not in plan  # only the written counts are read
