@@ -53,7 +53,7 @@ _LEAF = 16
 BLOCK = 128
 # Rows of block, node, side and id (some 40 bytes each) that are sent to every executor at most.
 SENT_ROWS = 500_000
-_SLICE_BYTES = 4 << 20
+_SLICE_BYTES = 2 << 20
 
 
 def required_overlap(sizes, percent: int):

@@ -38,19 +38,20 @@ from .text import slices
 
 CAPACITY = 2048
 END_ID = 0
-_SLICE_BYTES = 4 << 20
-# Splitting off punctuation after a letter never changes tokens: the tokenizer itself splits there.
-_PUNCTUATED = re.compile(r"(.*[A-Za-z])([.,;:!?()]+)", re.DOTALL)
+_SLICE_BYTES = 2 << 20
+# Between a letter or digit and punctuation the tokenizer itself splits: a space there changes nothing.
+_PUNCTUATION = re.compile(r"(?<=[^\W_])([.,;:!?]+)(?=\s)")
 
 
 class CachedTokenizer:
     """Token ids of texts from the library, asked once for each distinct stretch without white space.
 
     Only for tokenizers that drop white space and split at it; their tokens never reach across it. The
-    memory of known stretches is bounded and begun anew when full.
+    stretches of recent texts are remembered, and those met again are kept longer; both memories are
+    bounded and begun anew when full.
     """
 
-    ENTRIES = 600_000
+    ENTRIES = 150_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -59,30 +60,51 @@ class CachedTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        probe = [self.tokenizer.encode(t, add_special_tokens=False).ids for t in ("a b", " a \n b ", "a\n\nb")]
-        if probe[1:] != probe[:1] * 2:
+        probe = [self.tokenizer.encode(t, add_special_tokens=False).ids for t in ("a b", " a \n b ", "a\n\nb", "a , b", "a, b")]
+        if probe[1:3] != probe[:1] * 2 or probe[3] != probe[4]:
             raise ValueError("this tokenizer keeps white space; stretches between it cannot be asked for alone")
-        self.known: dict[str, bytes] = {"": b""}
-
-    def _learn(self, stretches: set[str]) -> None:
-        parts = {s: m.groups() for s in stretches if (m := _PUNCTUATED.fullmatch(s))}
-        asked = {p for pair in parts.values() for p in pair} | {s for s in stretches if s not in parts}
-        fresh = [s for s in asked if s not in self.known]
-        for text, found in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            self.known[text] = np.array(found.ids, "<u4").tobytes()
-        for text, (head, tail) in parts.items():
-            self.known[text] = self.known[head] + self.known[tail]
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[number for token, number in vocabulary.items() if token.endswith("</w>")]] = True
+        self.kept: dict[str, bytes] = {"": b""}
+        self.recent: dict[str, bytes] = {}
+
+    def _asked(self, stretches: list[str]) -> dict[str, bytes]:
+        """Ids of each stretch. Plain words are asked for in one text: each ends with a token that ends a word."""
+        words = [s for s in stretches if s.isalpha() and max(s) < "\u0250"]
+        found: dict[str, bytes] = {}
+        if words:
+            ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+            ends = (np.flatnonzero(self.ends_word[ids]) + 1) * 4
+            if len(ends) == len(words):
+                data, places = ids.tobytes(), ends.tolist()
+                found = {w: data[i:j] for w, i, j in zip(words, [0, *places], places)}
+        rest = [s for s in stretches if s not in found]
+        for text, encoded in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            found[text] = np.array(encoded.ids, "<u4").tobytes()
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        wanted = set().union(*cut)
-        missing = wanted - self.known.keys()
-        if missing:
-            if len(self.known) + 2 * len(missing) > self.ENTRIES:
-                self.known, missing = {"": b""}, wanted - {""}
-            self._learn(missing)
-        return [b"".join(map(self.known.__getitem__, stretches)) for stretches in cut]
+        cut = [_PUNCTUATION.sub(r" \1", t).replace("\n", " ").split(" ") for t in texts]
+        missing = set().union(*cut).difference(self.kept)
+        again = [s for s in missing if s in self.recent]
+        if len(self.kept) + len(again) > self.ENTRIES:
+            self.kept = {"": b""}
+            missing = set().union(*cut).difference(self.kept)
+            again = [s for s in missing if s in self.recent]
+        for stretch in again:
+            self.kept[stretch] = self.recent.pop(stretch)
+        fresh = self._asked(list(missing.difference(again)))
+        if len(self.recent) + len(fresh) > self.ENTRIES:
+            self.recent = {}
+        self.recent |= fresh
+        # While this slice is put together its fresh stretches stand among the kept ones.
+        self.kept |= fresh
+        found = [b"".join(map(self.kept.__getitem__, stretches)) for stretches in cut]
+        for stretch in fresh:
+            del self.kept[stretch]
+        return found
 
 
 @lru_cache(maxsize=2)

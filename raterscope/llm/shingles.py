@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import xxhash
 
-# An odd multiplier, its inverse modulo 2**64, and factors for the places in a shingle.
-_P = np.uint64(0x9E3779B97F4A7C15)
-_P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+# An odd multiplier; its powers by the place of a byte in its word.
+_LONG_WORD = 64
+_P = 0x9E3779B97F4A7C15
+_POWERS = np.array([pow(_P, i, 1 << 64) for i in range(_LONG_WORD)], np.uint64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-# Longer words are hashed one by one: the sums below are only good for short ones.
-_LONG_WORD = 64
-_powers: dict[str, np.ndarray] = {}
+_SEPARATOR = re.compile(rb"[\x20\x09-\x0D]")
+# Bytes looked at together: what a very long text takes does not grow with it.
+_PIECE = 1 << 20
 
 
 def mix(values: np.ndarray) -> np.ndarray:
@@ -22,31 +25,42 @@ def mix(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(31))
 
 
-def _power(base: np.uint64, count: int, name: str) -> np.ndarray:
-    """base ** 0, 1, ... modulo 2**64."""
-    known = _powers.get(name)
-    if known is None or len(known) < count:
-        exponents = np.full(max(count, 1 << 16), base, np.uint64)
-        exponents[0] = 1
-        known = _powers[name] = np.multiply.accumulate(exponents)
-    return known[:count]
+def _piece_hashes(stream: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start of every word of a byte stream that neither begins nor ends within a word.
 
-
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word (``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased) and the number of words of each text."""
-    stream = np.frombuffer(b"".join(t + b"\n" for t in texts).lower(), np.uint8)
+    A sum over the bytes for words up to 64 bytes; longer words are hashed one by one.
+    """
     inside = ~_SPACE[stream]
-    edges = np.flatnonzero(np.diff(np.concatenate([[False], inside]).view(np.int8)))
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).view(np.int8)))
     starts, ends = edges[0::2], edges[1::2]
+    if not len(starts):
+        return np.zeros(0, np.uint64), starts
     lengths = ends - starts
-    powers = _power(_P, len(stream), "p")
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((stream.astype(np.uint64) + np.uint64(1)) * powers, dtype=np.uint64)])
-    hashes = (sums[ends] - sums[starts]) * _power(_P_INVERSE, len(stream), "inverse")[starts] + lengths.astype(np.uint64)
+    place = np.flatnonzero(inside)
+    in_word = place - np.repeat(starts, lengths)
+    values = (stream[place].astype(np.uint64) + np.uint64(1)) * _POWERS[np.minimum(in_word, _LONG_WORD - 1)]
+    first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    hashes = np.add.reduceat(values, first) + lengths.astype(np.uint64)
     for i in np.flatnonzero(lengths > _LONG_WORD).tolist():
         hashes[i] = xxhash.xxh64_intdigest(stream[starts[i] : ends[i]].tobytes())
+    return mix(hashes), starts
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word (``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased) and the number of words of each text."""
+    data = b"".join(t + b"\n" for t in texts).lower()
+    hashes, starts, begin = [], [], 0
+    while begin < len(data):
+        cut = _SEPARATOR.search(data, begin + _PIECE)
+        end = cut.end() if cut else len(data)
+        found, places = _piece_hashes(np.frombuffer(data, np.uint8, end - begin, begin))
+        hashes.append(found)
+        starts.append(places + begin)
+        begin = end
     closes = np.cumsum([len(t) + 1 for t in texts])
-    counts = np.diff(np.concatenate([[0], np.searchsorted(starts, closes)]))
-    return mix(hashes), counts
+    all_starts = np.concatenate([np.zeros(0, np.int64), *starts])
+    counts = np.diff(np.concatenate([[0], np.searchsorted(all_starts, closes)]))
+    return np.concatenate([np.zeros(0, np.uint64), *hashes]), counts
 
 
 def shingle_sets(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:

@@ -30,12 +30,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import alphanumeric_words, byte_texts
+from ..session import cut_lineage
+from .text import alphanumeric_words, byte_texts, slices
 
 # Rows that the classifier is fitted on at most.
 MAX_ROWS = 12_000
 FEATURE_BITS = 20
 PREFIXES = (3, 4, 5, 6)
+_SLICE_BYTES = 4 << 20
 # Threshold of the predicted label.
 THRESHOLD = 0.5
 
@@ -82,7 +84,7 @@ def word_features(word: bytes) -> tuple[int, ...]:
 def _feature_set(words: set[bytes]) -> set[int]:
     fresh = words.difference(_known)
     if fresh:
-        if len(_known) + len(fresh) > 300_000:
+        if len(_known) + len(fresh) > 100_000:
             _known.clear()
             fresh = words
         _known.update({w: word_features(w) for w in fresh})
@@ -119,7 +121,7 @@ class Model:
     For each word met, the weighted features it has are remembered: for most words there are none.
     """
 
-    WORDS = 500_000
+    WORDS = 200_000
 
     def __init__(self, keys: np.ndarray, weights: np.ndarray, bias: float):
         self.keys, self.weights, self.bias = keys, weights, bias
@@ -242,15 +244,20 @@ def training_rows(
 ) -> DataFrame:
     """Labelled rows to learn from: text and label, at most ``max_rows``, half of each class where there are enough.
 
-    The draw is made on ids alone, by the order of a hash; only the drawn ids then meet their texts.
+    The draw is made on ids alone, by the order of a hash; only the drawn ids then meet their texts. Runs jobs.
     """
-    spark_rows = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
-    known = spark_rows.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label"))
-    known = known.join(docs.select(F.col(id_col).alias("id")).distinct(), "id", "left_semi")
-    order = [F.xxhash64(F.col("id").cast("string")), F.col("id")]
+    labelled = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
+    known = labelled.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label"))
+    known = cut_lineage(known.join(docs.select(F.col(id_col).alias("id")).distinct(), "id", "left_semi"))
+    sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    order = F.xxhash64(F.col("id").cast("string"))
     drawn = None
     for label in (1, 0):
-        part = known.filter(F.col("label") == label).orderBy(*order).limit(max_rows // 2)
+        # A share of the hash range holds about a fifth more than wanted: what is sorted stays bounded.
+        share = min(1.0, 1.2 * (max_rows // 2) / max(sizes.get(label, 0), 1))
+        border = min(int(share * 2**64) - 2**63, 2**63 - 1)
+        part = known.filter((F.col("label") == label) & (order <= F.lit(border)))
+        part = part.orderBy(order, "id").limit(max_rows // 2)
         drawn = part if drawn is None else drawn.unionByName(part)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     # max_rows ids: bounded by that parameter.
@@ -279,6 +286,7 @@ def train(
         # The order of rows must not matter to the last digit.
         order = sorted(range(len(texts)), key=lambda i: (texts[i], toxic[i]))
         model = fit([texts[i] for i in order], [toxic[i] for i in order])
+        _known.clear()
         yield pa.RecordBatch.from_arrays(
             [pa.array([model.keys.tobytes()]), pa.array([model.weights.tobytes()]), pa.array([model.bias])], ["keys", "weights", "bias"]
         )
@@ -295,7 +303,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """The id, score and predicted label of every text. No shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "text", _SLICE_BYTES):
             scores = np.array([model.score(t) for t in byte_texts(batch.column(1))], np.float64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(scores), pa.array((scores >= THRESHOLD).astype(np.int32))], [id_col, "score", "predicted"]
@@ -313,7 +321,7 @@ def keep_civil(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_
     plain = docs.select(*[F.col(f.name).alias(f"c{i}") for i, f in enumerate(fields)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, f"c{place}", _SLICE_BYTES):
             civil = [model.score(t) < THRESHOLD for t in byte_texts(batch.column(place).cast(pa.string()))]
             yield batch.filter(pa.array(civil, pa.bool_()))
 
