@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 _SLOTS = 1024
+# Rows, of all groups together, that the slot borders are taken from.
+_BORDER_SAMPLE = 1_000_000
 # Number of splitters at or below the value: binary search, one array element per halving step.
 # Never null, and said so: a null check before the join would repeat the search.
 _SLOT_OF = (
@@ -63,18 +65,23 @@ def totals_before(
     """Add ``<value>_before`` (sum over strictly smaller ``order``) and ``<value>_total`` per group.
 
     ``df`` must be unique on ``by`` and ``order``, which must not be null. Slot borders are
-    approximate quantiles, so each of the 1024 slots of a group holds about a thousandth of its
-    rows for any distribution. Groups are folds and models, a handful with one array of borders
-    each: that table is small by construction, and is broadcast. The input is written once, as
-    the borders, the slot totals and the rows each read it.
+    approximate quantiles of a hashed sample, so each of the 1024 slots of a group holds about a
+    thousandth of its rows for any distribution; they balance the slots and do not affect results.
+    Groups are folds and models, a handful with one array of borders each: that table is small by
+    construction, and is broadcast. The input is written once, as the borders, the slot totals and
+    the rows each read it. Runs two jobs.
     """
     by, columns = list(by), df.columns
     df = cut_lineage(df)
     fractions = ", ".join(f"{i / _SLOTS!r}D" for i in range(1, _SLOTS))
-    borders = df.groupBy(*by).agg(
-        F.expr(f"percentile_approx({order}, array({fractions}), {20 * _SLOTS}) AS _splitters"),
-        *[F.sum(v).alias(f"{v}_total") for v in values],
+    share = min(1.0, _BORDER_SAMPLE / max(df.count(), 1))
+    drawn = df.filter(F.pmod(F.xxhash64(*by, order), F.lit(1 << 30)) < int(share * (1 << 30)))
+    # The sample bounds what one task merges, however many rows a group has.
+    splitters = drawn.groupBy(*by).agg(
+        F.expr(f"percentile_approx({order}, array({fractions}), {20 * _SLOTS}) AS _splitters")
     )
+    totals = df.groupBy(*by).agg(*[F.sum(v).alias(f"{v}_total") for v in values])
+    borders = totals.join(splitters, by, "left")
     slotted = df.join(F.broadcast(borders), by).withColumn("_slot", F.expr(_SLOT_OF.format(value=order)))
     sums = slotted.groupBy(*by, "_slot").agg(*[F.sum(v).alias(f"_{v}_slot") for v in values])
     earlier = Window.partitionBy(*by).orderBy("_slot")
