@@ -43,6 +43,8 @@ _LONG = 160
 _WORD = re.compile(r"\s*\S{1,80}")
 # Bytes of text of one id range.
 RANGE_BYTES = 4 << 20
+# Ranges at most: their borders and first ids pass through the driver. Beyond a terabyte ranges grow instead.
+MAX_RANGES = 1 << 18
 _OUT_ROWS = 500
 
 
@@ -180,8 +182,7 @@ def _streams(docs: DataFrame, id_col: str, text_col: str, range_bytes: int) -> D
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    # Ranges are bounded in bytes; how many there are grows with the table, but not their borders' error.
-    n = max(1, -(-total // range_bytes))
+    n = min(MAX_RANGES, max(1, -(-total // range_bytes)))
     borders = []
     if n > 1:
         wanted = [i / n for i in range(1, n)]

@@ -13,7 +13,8 @@ So there are many: documents that could be linked are brought together in famili
 2. A set of n n-grams can only reach the threshold with sets that share one of its first
    ``n - required overlap + 1`` n-grams, in any order that is the same for all. The order here is by
    rarity among the n-grams of the lowest hashes, and then by hash, so that
-   passages in very many documents come last and link next to nobody.
+   passages in very many documents come last and link next to nobody. Those that a small sample
+   shows to be popular come last uncounted, so that no task gathers them.
 3. Nodes that share such an n-gram are one family (connected components of a star at each n-gram).
    A link cannot cross families.
 4. Families are searched in blocks of bounded size. First every block of a family is searched
@@ -51,6 +52,8 @@ GROUPS = 64
 _LEAF = 16
 # Nodes of a block: what a task holds of a family at a time.
 BLOCK = 128
+# Rows of the sample that tells which n-grams are popular.
+SAMPLE_ROWS = 4000
 # Rows of block, node, side and id (some 40 bytes each) that are sent to every executor at most.
 SENT_ROWS = 500_000
 _SLICE_BYTES = 2 << 20
@@ -195,13 +198,29 @@ def _links_of(rows: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     return cut_lineage(dealt.mapInArrow(partial(_search, width, percent), "a long, b long"))
 
 
+def _popular(grams: DataFrame) -> DataFrame:
+    """N-grams in at least one of a hundred sets of a sample: at most some 100 for each n-gram of a set.
+
+    They only settle the order of n-grams, so the sample decides how fast the search is, not what it finds. Runs jobs.
+    """
+    share = min(1.0, SAMPLE_ROWS / max(grams.count(), 1))
+    drawn = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) < int(share * (1 << 30))
+    each = grams.filter(F.col("node").isNotNull() & drawn).select("node", F.explode("grams").alias("gram")).distinct()
+    counts = each.groupBy("gram").agg(F.count(F.lit(1)).alias("c"))
+    return cut_lineage(counts.filter(F.col("c") >= SAMPLE_ROWS // 100).select("gram"))
+
+
 def _families(grams: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """node and family of all nodes that share an n-gram of their prefixes with another. Runs jobs."""
     each = grams.filter("node is not null").select("node", F.explode("grams").alias("gram"))
+    popular = F.broadcast(_popular(grams))
+    rare = each.join(popular, "gram", "left_anti")
     # Copies of a set fall together where their n-grams meet; what is counted are sets.
-    each = each.repartition("gram").groupBy("gram", "node").agg(F.lit(1).alias("one")).drop("one")
-    counted = each.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("gram")))
-    shared = cut_lineage(counted.filter("k > 1"))
+    rare = rare.repartition("gram").groupBy("gram", "node").agg(F.lit(1).alias("one")).drop("one")
+    counted = rare.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("gram")))
+    # Popular n-grams stand last in the order, uncounted: they never meet in one task.
+    common = each.join(popular, "gram", "left_semi").distinct().withColumn("k", F.lit(1 << 62))
+    shared = cut_lineage(counted.filter("k > 1").unionByName(common.select("gram", "node", "k")))
     by_node = Window.partitionBy("node")
     ranked = shared.withColumns(
         {"rank": F.row_number().over(by_node.orderBy("k", "gram")), "n_shared": F.count(F.lit(1)).over(by_node)}

@@ -93,7 +93,8 @@ def _feature_set(words: set[bytes]) -> set[int]:
 
 def features(text: bytes) -> np.ndarray:
     """Sorted hashed features of a text."""
-    return np.array(sorted(_feature_set(set(alphanumeric_words(text)))), np.int64)
+    found = _feature_set(set(alphanumeric_words(text)))
+    return np.sort(np.fromiter(found, np.int32, len(found)))
 
 
 def counterfactuals(text: bytes) -> list[tuple[tuple[int, ...], tuple[int, ...]]]:
@@ -185,14 +186,16 @@ def fit(
         rate = (labels.sum() + 0.5) / (len(labels) + 1)
         return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(rate / (1 - rate))))
     rows = [features(t) for t in texts]
-    seen, counts = np.unique(np.concatenate(rows), return_counts=True)
-    among_toxic = np.zeros(len(seen))
-    np.add.at(among_toxic, np.searchsorted(seen, np.concatenate([r for r, y in zip(rows, labels) if y])), 1)
+    counts, among_toxic = np.zeros((2, _MASK + 1))
+    for row, label in zip(rows, toxic, strict=True):
+        counts[row] += 1
+        among_toxic[row] += label
     n, positive = len(labels), labels.sum()
     apart = (among_toxic * (n - positive) - (counts - among_toxic) * positive) ** 2 * n
     chi2 = apart / np.maximum(counts * (n - counts) * positive * (n - positive), 1)
-    columns = seen[(counts >= least_rows) & (chi2 >= least_chi2)]
-    rows = [r[np.isin(r, columns, assume_unique=True)] for r in rows]
+    used = (counts >= least_rows) & (chi2 >= least_chi2)
+    columns = np.flatnonzero(used)
+    rows = [r[used[r]] for r in rows]
     table = Rows(rows, columns)
     pairs = [pair for t in texts for pair in counterfactuals(t)]
     keep = lambda side: np.array([f for f in side if len(columns) and columns[min(np.searchsorted(columns, f), len(columns) - 1)] == f], np.int64)
@@ -226,8 +229,8 @@ def fit(
         pull = (momentum - 1) / after
         look, look_bias = new + pull * (new - weights), new_bias + pull * (new_bias - bias)
         weights, bias, momentum = new, new_bias, after
-    used = weights != 0
-    return Model(columns[used], weights[used], float(bias))
+    held = weights != 0
+    return Model(columns[held], weights[held], float(bias))
 
 
 def _key(value) -> "F.Column":
