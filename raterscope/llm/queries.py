@@ -119,7 +119,12 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scan": SECRET_SQL, "op10_shards": sharding.ORACLE.format(limit=SHARD_BYTES)}
+    return {
+        "op1_secret_scan": SECRET_SQL,
+        "op5_decontamination": CONTAMINATION_SQL,
+        "op7_ngram_jaccard": COMPONENTS_SQL,
+        "op10_shards": sharding.ORACLE.format(limit=SHARD_BYTES),
+    }
 
 
 def _secret_sql() -> str:
@@ -155,3 +160,36 @@ FROM texts t LEFT JOIN doc USING (doc_id)"""
 
 
 SECRET_SQL = _secret_sql()
+
+# Only A-Z become lower case; lower() would change other letters, too.
+_ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALPHANUMERIC = f"regexp_extract_all({_ASCII_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_SPACED = f"regexp_extract_all({_ASCII_LOWER}, '[^\\x20\\x09-\\x0D]+')"
+
+# Windows of the items, joined to all windows of as many words of the documents.
+CONTAMINATION_SQL = f"""
+WITH d AS (SELECT doc_id, {_ALPHANUMERIC} AS w FROM documents),
+b AS (SELECT item_id, {_ALPHANUMERIC} AS w FROM benchmark),
+i AS (SELECT item_id, least(13, len(w)) AS k, w FROM b WHERE len(w) > 0),
+iw AS (SELECT DISTINCT item_id, k, w[s:s + k - 1] AS win FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS s FROM i)),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS s FROM d),
+dw AS (SELECT doc_id, s, k, w[s:s + k - 1] AS win FROM p, (SELECT DISTINCT k FROM iw) WHERE s + k - 1 <= len(w)),
+hit AS (SELECT DISTINCT doc_id, s, k, item_id FROM dw JOIN iw USING (k, win)),
+word AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + k)) AS place FROM hit) GROUP BY doc_id),
+item AS (SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS name FROM hit) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * n_hit >= len(w) AS contaminated
+FROM d LEFT JOIN word USING (doc_id) LEFT JOIN item USING (doc_id)"""
+
+# Overlaps by a join on shingles, and what each document reaches over the links.
+COMPONENTS_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_SPACED} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS gram
+  FROM (SELECT *, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (gram) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM o JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 90 * (a.n + b.n - c)),
+r(x, y) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.y) AS component_id
+FROM d JOIN r ON r.x = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY 1, 2"""
