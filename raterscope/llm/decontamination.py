@@ -34,7 +34,7 @@ from .text import alphanumeric_words, byte_texts, slices
 WINDOW = 13
 # Text bytes of the benchmark that one block may hold; larger ones are searched for in several passes.
 BLOCK_BYTES = 16 << 20
-_SHARD_BYTES = 4 << 20
+_SHARD_BYTES = 1 << 20
 
 
 class Block:

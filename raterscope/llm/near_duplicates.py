@@ -56,7 +56,7 @@ BLOCK = 128
 SAMPLE_ROWS = 4000
 # Rows of block, node, side and id (some 40 bytes each) that are sent to every executor at most.
 SENT_ROWS = 500_000
-_SLICE_BYTES = 2 << 20
+_SLICE_BYTES = 1 << 20
 
 
 def required_overlap(sizes, percent: int):

@@ -38,7 +38,7 @@ from .text import slices
 
 CAPACITY = 2048
 END_ID = 0
-_SLICE_BYTES = 2 << 20
+_SLICE_BYTES = 1 << 20
 # Between a letter or digit and punctuation the tokenizer itself splits: a space there changes nothing.
 _PUNCTUATION = re.compile(r"(?<=[^\W_])([.,;:!?]+)(?=\s)")
 
@@ -51,7 +51,7 @@ class CachedTokenizer:
     bounded and begun anew when full.
     """
 
-    ENTRIES = 150_000
+    ENTRIES = 100_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"

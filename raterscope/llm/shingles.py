@@ -15,7 +15,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _SEPARATOR = re.compile(rb"[\x20\x09-\x0D]")
 # Bytes looked at together: what a very long text takes does not grow with it.
-_PIECE = 1 << 20
+_PIECE = 1 << 18
 
 
 def mix(values: np.ndarray) -> np.ndarray:

@@ -34,10 +34,10 @@ from ..session import cut_lineage
 from .text import alphanumeric_words, byte_texts, slices
 
 # Rows that the classifier is fitted on at most.
-MAX_ROWS = 12_000
+MAX_ROWS = 8_000
 FEATURE_BITS = 20
 PREFIXES = (3, 4, 5, 6)
-_SLICE_BYTES = 4 << 20
+_SLICE_BYTES = 1 << 20
 # Threshold of the predicted label.
 THRESHOLD = 0.5
 
@@ -122,7 +122,7 @@ class Model:
     For each word met, the weighted features it has are remembered: for most words there are none.
     """
 
-    WORDS = 200_000
+    WORDS = 100_000
 
     def __init__(self, keys: np.ndarray, weights: np.ndarray, bias: float):
         self.keys, self.weights, self.bias = keys, weights, bias
@@ -132,6 +132,10 @@ class Model:
     def __reduce__(self):
         return Model, (self.keys, self.weights, self.bias)
 
+    def forget(self) -> None:
+        """Drop the remembered words: the worker that ran a task goes on to other work."""
+        self._weighted.clear()
+
     def score(self, text: bytes) -> float:
         words = set(alphanumeric_words(text))
         known = self._weighted
@@ -311,6 +315,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(scores), pa.array((scores >= THRESHOLD).astype(np.int32))], [id_col, "score", "predicted"]
             )
+        model.forget()
 
     narrow = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     return narrow.mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, score double, predicted int")
@@ -327,5 +332,6 @@ def keep_civil(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_
         for batch in slices(batches, f"c{place}", _SLICE_BYTES):
             civil = [model.score(t) < THRESHOLD for t in byte_texts(batch.column(place).cast(pa.string()))]
             yield batch.filter(pa.array(civil, pa.bool_()))
+        model.forget()
 
     return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
