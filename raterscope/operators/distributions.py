@@ -140,7 +140,9 @@ def feature_density(
     )
     last = F.when(F.col("_h").isNull(), F.lit(0)).otherwise(F.lit(points - 1))
     grid = shapes.withColumn("point", F.explode(F.sequence(F.lit(0), last)))
-    density = F.col("_sum") / (F.col("_n") * F.col("_h") * F.sqrt(F.lit(2.0) * F.pi()))
+    # A grid point that no value reaches has density 0; only a constant feature has none.
+    total = F.when(F.col("_h").isNotNull(), F.coalesce("_sum", F.lit(0.0)))
+    density = total / (F.col("_n") * F.col("_h") * F.sqrt(F.lit(2.0) * F.pi()))
     return grid.join(summed, ["feature", label, "point"], "left").select(
         "feature",
         label,

@@ -127,6 +127,21 @@ def test_density_equals_direct_sum(features):
     assert len(constant) == 1 and constant[0]["density"] is None
 
 
+def test_density_is_zero_between_far_clusters(spark):
+    rng = np.random.default_rng(3)
+    values = np.append(rng.uniform(0, 1, 2000), 100.0)
+    df = spark.createDataFrame([(0, float(v)) for v in values], "ai_label int, a double")
+    rows = sorted(distributions.feature_density(df, ["a"]).collect(), key=lambda r: r["point"])
+    h = values.std(ddof=1) * len(values) ** -0.2
+    assert np.diff(np.sort(values)).max() > 78 * h
+    assert len(rows) == 200
+    for row in rows:
+        want = np.exp(-0.5 * ((row["x"] - values) / h) ** 2).sum() / (len(values) * h * math.sqrt(2 * math.pi))
+        assert row["density"] == pytest.approx(want)
+        assert row["scaled"] == pytest.approx(want * len(values) * np.ptp(values) / 30)
+    assert 0.0 in [r["density"] for r in rows]
+
+
 def test_variance_inflation(spark):
     rng = np.random.default_rng(1)
     a, b, d, noise = rng.normal(size=(4, 200))
