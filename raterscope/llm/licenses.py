@@ -1,20 +1,18 @@
 """License scans by a positional index of rare words.
 
-The index holds, for every word of the license templates, the templates and positions it has (its
-postings). Two passes over the texts, no text is shuffled:
+The index holds, for each license template, the word of its key phrases with the highest inverse document
+frequency, and the positions it has there (its postings). Two passes over the texts, no text is shuffled:
 
 1. Document frequencies of the template words, counted over all texts: a few hundred sums.
-2. For each text, the template words in it with the highest inverse document frequency are looked up.
-   Every posting votes for the start ``place in the text - position in the template``; votes of
-   different words that agree on template and start are one alignment. The best alignments of a
-   template are verified word by word, and a template's label is given only where all its key phrases
-   stand, too, at their places.
+2. In each text, every place of such a word gives an alignment of its template, with the start
+   ``place in the text - position in the template``. A template's label is given only where all its key
+   phrases stand at their places, so no other alignment can count, whatever else the text holds. All
+   alignments are verified word by word. A template without key phrases is aligned at each of its words.
 
 Base phrases are found at every place where their words stand consecutively, whatever the index says.
 
 Defined results: null counts as empty; repeated rows and null ids keep their rows; ties between
-alignments go to the earlier start, ties between words of equal frequency to the smaller word; an empty
-table gives an empty result; columns other than the id and the text are not read.
+alignments go to the earlier start; an empty table gives an empty result; columns other than the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -99,11 +97,9 @@ TEMPLATES = (
     Template("proprietary", "Proprietary and confidential. Unauthorized copying of this file is strictly prohibited", ("unauthorized copying",)),
 )
 
-# Of a text's template words, so many distinct ones of the highest inverse frequency vote ...
-RARE_WORDS = 24
-# ... and an alignment is verified if it has so many votes of distinct words.
-LEAST_VOTES = 2
-# A template is found where so much of it stands, in addition to its key phrases.
+# A template is found where so many distinct words of it ...
+LEAST_WORDS = 2
+# ... and so much of it stand, in addition to its key phrases.
 LEAST_COVERAGE = 0.5
 
 
@@ -112,20 +108,23 @@ def _words(text: str) -> tuple[bytes, ...]:
 
 
 class Index:
-    """Postings of the templates, the order of their words by rarity, and the base phrases."""
+    """The word to look up for each template, the rarity of all template words, and the base phrases."""
 
     def __init__(self, templates: tuple[Template, ...], frequencies: dict[bytes, int], n_docs: int):
         self.templates = [(t.label, _words(t.text), tuple(_words(k) for k in t.keys)) for t in templates]
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        for number, (_, words, _) in enumerate(self.templates):
-            for position, word in enumerate(words):
-                self.postings[word].append((number, position))
-        self.idf = {w: math.log((1 + n_docs) / (1 + frequencies.get(w, 0))) for w in self.postings}
+        known = {w for _, words, _ in self.templates for w in words}
+        self.idf = {w: math.log((1 + n_docs) / (1 + frequencies.get(w, 0))) for w in known}
         # Where each key phrase stands in its template.
         self.key_places = [
             [(key, next(i for i in range(len(words)) if words[i : i + len(key)] == key)) for key in keys]
             for _, words, keys in self.templates
         ]
+        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        for number, (_, words, _) in enumerate(self.templates):
+            mandatory = [(w, place + i) for key, place in self.key_places[number] for i, w in enumerate(key)]
+            rarest = [min(mandatory, key=lambda x: (-self.idf[x[0]], x))] if mandatory else [(w, i) for i, w in enumerate(words)]
+            for word, position in rarest:
+                self.postings[word].append((number, position))
         self.total = [sum(self.idf[w] for w in words) for _, words, _ in self.templates]
         self.base: dict[bytes, list[tuple[tuple[bytes, ...], str]]] = defaultdict(list)
         for phrase, label in BASE_PHRASES.items():
@@ -134,7 +133,7 @@ class Index:
         self.watched = self.postings.keys() | self.base.keys()
 
     def places(self, words: list[bytes]) -> list[tuple[int, bytes]]:
-        """Positions of template and base words in the text."""
+        """Positions of looked-up and base words in the text."""
         watched = self.watched
         return [(i, w) for i, w in enumerate(words) if w in watched]
 
@@ -146,33 +145,28 @@ class Index:
                     hits.append((i, label))
         return hits
 
-    def alignments(self, places: list[tuple[int, bytes]]) -> Counter:
-        """Votes for (template, start), of each of the text's rarest template words once."""
-        rare = sorted({w for _, w in places if w in self.postings}, key=lambda w: (-self.idf[w], w))[:RARE_WORDS]
-        chosen = set(rare)
-        votes: set[tuple[int, int, bytes]] = set()
-        for i, word in places:
-            if word in chosen:
-                votes.update((number, i - position, word) for number, position in self.postings[word])
-        return Counter((number, start) for number, start, _ in votes)
+    def alignments(self, places: list[tuple[int, bytes]]) -> set[tuple[int, int]]:
+        """Each (start, template) at which the template's looked-up word stands in the text."""
+        return {(i - position, number) for i, word in places for number, position in self.postings.get(word, ())}
 
     def verified(self, words: list[bytes], number: int, start: int) -> float:
-        """Share of the template, by inverse frequency, that stands at this start; 0 if a key phrase does not."""
+        """Share of the template, by inverse frequency, that stands at this start; 0 if a key phrase or enough words do not."""
         template = self.templates[number][1]
         for key, place in self.key_places[number]:
             at = start + place
             if at < 0 or tuple(words[at : at + len(key)]) != key:
                 return 0.0
-        held = sum(self.idf[w] for i, w in enumerate(template) if 0 <= start + i < len(words) and words[start + i] == w)
+        standing = [w for i, w in enumerate(template) if 0 <= start + i < len(words) and words[start + i] == w]
+        if len(set(standing)) < min(LEAST_WORDS, len(set(template))):
+            return 0.0
+        held = sum(self.idf[w] for w in standing)
         return min(1.0, held / self.total[number]) if self.total[number] > 0 else 1.0
 
     def found(self, words: list[bytes], places: list[tuple[int, bytes]]) -> dict[str, tuple[float, int, int]]:
         """For each label its best coverage, with the start and end of that place."""
         best: dict[str, tuple[float, int, int]] = {}
-        for (number, start), votes in sorted(self.alignments(places).items(), key=lambda x: (x[0][1], x[0][0])):
-            label, template, keys = self.templates[number]
-            if votes < min(LEAST_VOTES, len(set(template))):
-                continue
+        for start, number in sorted(self.alignments(places)):
+            label, template, _ = self.templates[number]
             coverage = self.verified(words, number, start)
             if coverage >= LEAST_COVERAGE and coverage > best.get(label, (0.0,))[0]:
                 best[label] = (coverage, max(start, 0), start + len(template))

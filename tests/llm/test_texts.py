@@ -185,6 +185,25 @@ def test_templates(spark):
     assert place["start"] == 50 and 0.5 <= place["coverage"] <= 1
 
 
+def test_every_template_of_a_text_with_many_notices(spark):
+    long = {t.label: t.text for t in licenses.TEMPLATES if t.label in ("mit", "bsd") and len(t.text) > 60}
+    short = ["Licensed under the Apache License, Version 2.0", "Licensed under CC BY 4.0", "Licensed under the GNU Lesser General Public License"]
+    texts = {
+        1: " oov ".join([*long.values(), *short]),
+        2: " oov ".join(t.text for t in licenses.TEMPLATES),
+        3: " oov ".join(t.text for t in reversed(licenses.TEMPLATES)),
+    }
+    # The words of the short notices are frequent elsewhere.
+    texts |= {i: "licensed under the version of cc by apache gnu license, lesser 2 0 general 4 public" for i in range(4, 40)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.scan(docs).collect()}
+    assert {"mit", "bsd", "apache-2.0", "cc-by-4.0", "lgpl"} <= set(got[1]["labels"].split(","))
+    everything = {t.label for t in licenses.TEMPLATES}
+    for i in (2, 3):
+        assert everything <= set(got[i]["labels"].split(","))
+        assert all(p["coverage"] == pytest.approx(1) for p in got[i]["places"]) and len(got[i]["places"]) == len(everything)
+
+
 def test_rounds_and_one_task_give_the_same_components(spark, monkeypatch):
     from raterscope.llm import components
 
