@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import partial
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -200,16 +201,18 @@ def _matched(narrow: DataFrame, blocks: Iterator[Block], window: int) -> DataFra
     """The table with ``n_words`` and ``matches`` in place of the text."""
     rest = narrow.drop("text")
     spans = f"matches {_SPANS_SQL}"
-    first, *others = blocks
-    if not others:
-        return narrow.mapInArrow(partial(_search, first), _schema(rest, "n_words long", spans))
-    # Matches depend on the text alone: each block's are found by digest, and joined to all texts.
+    waiting = list(islice(blocks, 2))
+    if len(waiting) == 1:
+        return narrow.mapInArrow(partial(_search, waiting[0]), _schema(rest, "n_words long", spans))
+    # Matches depend on the text alone: each block's are found by digest, and joined to all texts. They are
+    # written before the next block is read, so that the driver holds two blocks at most.
     digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest")
     found = None
-    for block in [first, *others]:
-        part = narrow.select(digest, "text").mapInArrow(partial(_search, block), f"digest binary, n_words long, {spans}")
-        part = part.filter(F.size("matches") > 0).groupBy("digest").agg(F.first("matches").alias("matches"))
+    while waiting:
+        part = narrow.select(digest, "text").mapInArrow(partial(_search, waiting.pop(0)), f"digest binary, n_words long, {spans}")
+        part = cut_lineage(part.filter(F.size("matches") > 0).groupBy("digest").agg(F.first("matches").alias("matches")))
         found = part if found is None else found.unionByName(part)
+        waiting = waiting or list(islice(blocks, 1))
     merged = found.groupBy("digest").agg(F.array_distinct(F.flatten(F.collect_list("matches"))).alias("matches"))
     merged = cut_lineage(merged)
     addressed = narrow.select(*rest.columns, digest, "text")

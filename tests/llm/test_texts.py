@@ -1,5 +1,7 @@
+import gc
 import hashlib
 import random
+import weakref
 from collections import Counter
 
 import brute
@@ -154,6 +156,25 @@ def test_awkward_fingerprints(awkward, empty):
     assert merkle.fingerprints(awkward).count() == awkward.count()
 
 
+def test_benchmark_blocks_are_searched_one_after_the_other(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"oov a{i} b{i} c{i} oov") for i in range(40)], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(i, f"a{i} b{i} c{i}") for i in range(40)], "item_id long, text string")
+    built, held = [], []
+
+    def watched(*args, plain=decontamination.benchmark_blocks):
+        for block in plain(*args):
+            built.append(weakref.ref(block))
+            gc.collect()
+            held.append(sum(r() is not None for r in built))
+            yield block
+            del block
+
+    monkeypatch.setattr(decontamination, "benchmark_blocks", watched)
+    found = decontamination.find_matches(docs, benchmark, block_bytes=100)
+    assert len(built) > 3 and max(held) <= 2
+    assert {r["doc_id"]: [m["item"] for m in r["matches"]] for r in found.collect()} == {i: [str(i)] for i in range(40)}
+
+
 # --- licenses ------------------------------------------------------------------------------
 
 
