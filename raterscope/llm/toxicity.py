@@ -34,7 +34,7 @@ from ..session import cut_lineage
 from .text import alphanumeric_words, byte_texts, slices
 
 # Rows that the classifier is fitted on at most.
-MAX_ROWS = 8_000
+MAX_ROWS = 12_000
 FEATURE_BITS = 20
 PREFIXES = (3, 4, 5, 6)
 _SLICE_BYTES = 1 << 20
@@ -167,8 +167,14 @@ class Rows:
         return np.bincount(self.columns, np.repeat(values, self.lengths), size)
 
 
-def fit(
-    texts: list[bytes],
+def fit(texts: list[bytes], toxic: list[int], **settings) -> Model:
+    """``fit_features`` on the given texts."""
+    return fit_features([features(t) for t in texts], [p for t in texts for p in counterfactuals(t)], toxic, **settings)
+
+
+def fit_features(
+    rows: list[np.ndarray],
+    pairs: list[tuple[tuple[int, ...], tuple[int, ...]]],
     toxic: list[int],
     l1: float = 2e-5,
     l2: float = 1e-6,
@@ -177,7 +183,7 @@ def fit(
     least_chi2: float = 10.83,
     steps: int = 500,
 ) -> Model:
-    """Minimise mean log loss + l1 |w| + l2 |w|^2 / 2 + counterfactual * mean squared change of the score.
+    """From the features of each text and the counterfactuals of all, minimise mean log loss + l1 |w| + l2 |w|^2 / 2 + counterfactual * mean squared change of the score.
 
     By accelerated proximal gradient steps, each feature scaled by how often it occurs. Features in
     fewer than ``least_rows`` rows are left out, and so are those that are not tied to the label at the
@@ -189,7 +195,6 @@ def fit(
     if labels.min() == labels.max():
         rate = (labels.sum() + 0.5) / (len(labels) + 1)
         return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(rate / (1 - rate))))
-    rows = [features(t) for t in texts]
     counts, among_toxic = np.zeros((2, _MASK + 1))
     for row, label in zip(rows, toxic, strict=True):
         counts[row] += 1
@@ -201,7 +206,6 @@ def fit(
     columns = np.flatnonzero(used)
     rows = [r[used[r]] for r in rows]
     table = Rows(rows, columns)
-    pairs = [pair for t in texts for pair in counterfactuals(t)]
     keep = lambda side: np.array([f for f in side if len(columns) and columns[min(np.searchsorted(columns, f), len(columns) - 1)] == f], np.int64)
     lost, won = Rows([keep(a) for a, _ in pairs], columns), Rows([keep(b) for _, b in pairs], columns)
     size, n = len(columns), len(labels)
@@ -286,13 +290,17 @@ def train(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, toxic = [], []
-        for batch in batches:
-            texts += byte_texts(batch.column(0))
-            toxic += batch.column(1).to_pylist()
+        # Of each text only its features are held, and a digest to sort by.
+        digests, rows, pairs, toxic = [], [], [], []
+        for batch in slices(batches, "text", _SLICE_BYTES):
+            for text, label in zip(byte_texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+                digests.append(xxhash.xxh3_128_digest(text))
+                rows.append(features(text))
+                pairs.append(counterfactuals(text))
+                toxic.append(label)
         # The order of rows must not matter to the last digit.
-        order = sorted(range(len(texts)), key=lambda i: (texts[i], toxic[i]))
-        model = fit([texts[i] for i in order], [toxic[i] for i in order])
+        order = sorted(range(len(rows)), key=lambda i: (digests[i], toxic[i]))
+        model = fit_features([rows[i] for i in order], [p for i in order for p in pairs[i]], [toxic[i] for i in order])
         _known.clear()
         yield pa.RecordBatch.from_arrays(
             [pa.array([model.keys.tobytes()]), pa.array([model.weights.tobytes()]), pa.array([model.bias])], ["keys", "weights", "bias"]

@@ -68,3 +68,21 @@ def test_long_texts_add_no_noise():
     model = toxicity.fit([t.encode() for _, t in docs], [y for _, y in labels])
     clean = [t for (_, t), (_, y) in zip(docs, labels, strict=True) if not y]
     assert model.score(" ".join(clean[:200]).replace("muslims", "").encode()) < 0.5
+
+
+def test_up_to_twelve_thousand_rows_are_learned_from(spark):
+    docs = spark.range(16_000).selectExpr("id AS doc_id", "concat('w', id, ' ', if(id % 2 = 0, 'vile', 'kind')) AS text")
+    labels = docs.selectExpr("doc_id", "int(doc_id % 2 = 0) AS toxic")
+    learned = docs.filter(~toxicity.held_out(docs["doc_id"])).count()
+    drawn = toxicity.training_rows(docs, labels, toxicity.MAX_ROWS, "doc_id", "text", "toxic").count()
+    assert drawn == min(learned, 12_000) > 8_000
+
+
+def test_rows_hashed_in_slices_give_the_same_model(spark, monkeypatch):
+    rows = [(i, f"w{i % 7} {'vile women' if i % 2 else 'kind men'} w{i % 5}", i % 2) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    drawn = toxicity.training_rows(df.select("doc_id", "text"), df.select("doc_id", "toxic"), 12_000, "doc_id", "text", "toxic").collect()
+    whole = toxicity.fit([r["text"].encode() for r in drawn], [r["label"] for r in drawn])
+    for r in rows[:40]:
+        assert abs(model.score(r[1].encode()) - whole.score(r[1].encode())) < 1e-6
