@@ -303,13 +303,8 @@ def _later_blocks(members: DataFrame, parts: DataFrame, percent: int) -> DataFra
     return outer.unionByName(cross)
 
 
-def components(
-    docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """The id, ``n_shingles`` and ``component_id`` of every row: the smallest id that links reach. Runs jobs.
-
-    Two texts are linked if 100 * intersection >= percent * union of their sets of ``width`` words.
-    """
+def _resolved(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """id, n, node, root (a node of the component) and component of every row. Runs jobs."""
     if not 0 < percent <= 100 or width < 1:
         raise ValueError("percent must be within 1 to 100, and width at least 1")
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -330,21 +325,55 @@ def components(
     linked = connected_components(first.unionByName(second)) if not second.isEmpty() else parts
     named = linked.join(nodes.select("node", "id"), "node")
     least = cut_lineage(named.groupBy("root").agg(F.min("id").alias("component")))
-    of_node = nodes.select("node", F.col("id").alias("own")).join(linked.join(least, "root").select("node", "component"), "node", "left")
-    of_node = cut_lineage(of_node.select("node", F.coalesce("component", "own").alias("component")))
-    result = sets.select("id", "n", "node").join(of_node, "node", "left")
-    return result.select(
+    of_node = nodes.select("node", F.col("id").alias("own")).join(linked.join(least, "root"), "node", "left")
+    of_node = of_node.select("node", F.coalesce("root", "node").alias("root"), F.coalesce("component", "own").alias("component"))
+    return sets.select("id", "n", "node").join(cut_lineage(of_node), "node", "left")
+
+
+def components(
+    docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The id, ``n_shingles`` and ``component_id`` of every row: the smallest id that links reach. Runs jobs.
+
+    Two texts are linked if 100 * intersection >= percent * union of their sets of ``width`` words.
+    """
+    return _resolved(docs, width, percent, id_col, text_col).select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")
     )
 
 
+def _with_nodes(width: int, place: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with the node of the text at ``place`` as a last column."""
+    for batch in slices(batches, f"c{place}", _SLICE_BYTES):
+        values, offsets = shingle_sets(byte_texts(batch.column(place).cast(pa.string())), width)
+        sets = [values[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        nodes = [xxhash.xxh3_64_intdigest(own.tobytes(), seed=len(own)) - (1 << 63) if len(own) else None for own in sets]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.int64())], [*batch.schema.names, "node"])
+
+
 def keep_one_of_each(
     docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """The given table with one document of each component: that with the smallest id, in all its rows.
+    """The given table with one row of each component: of the smallest id, and there of the smallest node.
 
-    Rows with a null id, and texts without words, stay. Runs the jobs of ``components``.
+    Rows are removed by id and text, so another text of the same id stays. Rows with a null id, and
+    texts without words, stay. Runs jobs.
     """
-    found = components(docs, width, percent, id_col, text_col)
-    gone = found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(cut_lineage(gone), docs[id_col] == F.col("__gone"), "left_anti")
+    found = cut_lineage(_resolved(docs, width, percent, id_col, text_col).filter("id is not null").select("id", "node", "root"))
+    least = found.filter("node is not null").groupBy("root").agg(F.min(F.struct("id", "node")).alias("kept"))
+    gone = found.join(least, "root").filter(F.struct("id", "node") != F.col("kept")).select("id", "node").distinct()
+    gone = cut_lineage(gone)
+    # Only of ids with several rows must the texts be told apart.
+    several = cut_lineage(found.groupBy("id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("id"))
+    plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    own, place = f"c{docs.columns.index(id_col)}", docs.columns.index(text_col)
+    away = gone.select("id").unionByName(several).distinct()
+    single = plain.join(away, plain[own] == away["id"], "left_anti")
+    repeated = plain.join(several, plain[own] == several["id"], "left_semi")
+    fields = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields), "node long"])
+    repeated = repeated.mapInArrow(partial(_with_nodes, width, place), fields)
+    left = repeated.join(gone, (repeated[own] == gone["id"]) & (repeated["node"] == gone["node"]), "left_anti")
+    first = F.min_by(F.struct(*plain.columns), F.xxhash64(F.col(f"c{place}").cast("string"))).alias("row")
+    one = left.filter("node is not null").groupBy(own, "node").agg(first).select("row.*")
+    wordless = left.filter("node is null").drop("node")
+    return single.unionByName(one).unionByName(wordless).toDF(*docs.columns)

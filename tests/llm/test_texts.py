@@ -109,6 +109,16 @@ def test_awkward_components(awkward, empty):
     assert near_duplicates.components(empty).count() == 0
 
 
+def test_rows_are_removed_by_id_and_text(spark):
+    copied = "a passage of enough words that stands under several ids of the table as it is"
+    clean = "quite another text that nobody else has and that must therefore stay in the table"
+    rows = [(1, copied), (2, copied), (2, clean), (3, clean + " alone three"), (3, clean + " alone three"), (4, ""), (4, ""), (None, copied)]
+    rows += [(5, "one more lonely text that is repeated under its id"), (5, "one more lonely text that is repeated under its id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = Counter(tuple(r) for r in near_duplicates.keep_one_of_each(docs, 5, 90).collect())
+    assert kept == Counter([(1, copied), (2, clean), (3, clean + " alone three"), (4, ""), (4, ""), (None, copied), rows[-1]])
+
+
 # --- fingerprints --------------------------------------------------------------------------
 
 
