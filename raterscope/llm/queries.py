@@ -9,7 +9,21 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, licenses, merkle, near_duplicates, packing, secrets, sharding, token_counts, toxicity, warc
+from . import (
+    conversations,
+    decontamination,
+    extraction,
+    licenses,
+    merkle,
+    near_duplicates,
+    packing,
+    secrets,
+    sharding,
+    token_counts,
+    toxicity,
+    vector_codes,
+    warc,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -97,6 +111,23 @@ def op10_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, folder, "documents"), SHARD_BYTES)
 
 
+def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """Code and error of every vector, under codebooks fitted on all of them."""
+    return vector_codes.compress(_table(spark, folder, "embeddings"))
+
+
+def op12_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    pages = _table(spark, folder, "pages")
+    return extraction.extract(pages, extraction.train(pages))
+
+
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults and cheapest repair of every damaged conversation."""
+    damaged = conversations.damage(_table(spark, folder, "conversations"))
+    return conversations.repaired_digests(damaged).withColumnRenamed("conv", "conv_id")
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     """All stages of the corpus pipeline."""
     return corpus_pipeline.run(spark, folder)
@@ -114,6 +145,9 @@ def queries() -> dict[str, Query]:
         op8_license_scan,
         op9_toxicity,
         op10_shards,
+        op11_vector_codes,
+        op12_html_extraction,
+        op13_conversation_repair,
         pipeline,
     )}
 
@@ -124,6 +158,8 @@ def oracle_sql() -> dict[str, str]:
         "op5_decontamination": CONTAMINATION_SQL,
         "op7_ngram_jaccard": COMPONENTS_SQL,
         "op10_shards": sharding.ORACLE.format(limit=SHARD_BYTES),
+        "op11_vector_codes": vector_codes.ORACLE,
+        "op13_conversation_repair": conversations.ORACLE,
     }
 
 

@@ -15,7 +15,7 @@ DATA = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_same_result_as_sql(spark, name):
     duck = duckdb.connect()
-    for table in ("documents", "pages", "benchmark", "labels"):
+    for table in ("documents", "pages", "benchmark", "labels", "embeddings", "conversations"):
         duck.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
     cursor = duck.execute(queries.oracle_sql()[name])
     columns = [d[0] for d in cursor.description]
@@ -26,7 +26,7 @@ def test_same_result_as_sql(spark, name):
 
 @pytest.mark.parametrize("name", sorted(n for n in queries.queries() if n not in queries.oracle_sql() and n != "pipeline"))
 def test_one_row_for_each_of_the_table(spark, name):
-    table = "pages" if name.startswith("op3_") else "documents"
+    table = "pages" if name.startswith(("op3_", "op12_")) else "documents"
     key = "page_id" if table == "pages" else "doc_id"
     rows = queries.queries()[name](spark, DATA)
     ids = {r[key] for r in rows.collect()}
