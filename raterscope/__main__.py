@@ -37,6 +37,8 @@ def _parser() -> argparse.ArgumentParser:
     requests = stage("request_file", "ratings_path", "out")
     requests.add_argument("--n-users", type=int, default=4000)
     requests.add_argument("--seed", type=int, default=42)
+    requests.add_argument("--multi-line", action="store_true", help="titles hold line breaks")
+    requests.add_argument("--rejects", help="folder for lines that do not fit")
     answers = stage("answer_file", "prefix", "out", "audit_out")
     answers.add_argument("--min-rating", type=float)
     answers.add_argument("--max-rating", type=float)
@@ -49,7 +51,7 @@ def _parser() -> argparse.ArgumentParser:
     labelled.add_argument("--n-human", type=_count, default=4000, help="a number, or: all")
     labelled.add_argument("--seed", type=int, default=42)
     labelled.add_argument("--codec", default="uncompressed")
-    labelled.add_argument("--rejects", help="folder for raters whose id cannot carry the label")
+    labelled.add_argument("--rejects", help="folder for raters that are left out")
     labelled.add_argument("--features", nargs="+", default=STATISTICS, choices=STATISTICS)
     train = stage("train", "dataset_path", "out", "models_folder")
     train.add_argument("--rounds", type=int, default=100)

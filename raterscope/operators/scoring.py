@@ -1,4 +1,4 @@
-"""Scoring of new rating tables with a fitted pipeline."""
+"""Scoring of new rating tables with a fitted model."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..errors import NoDataError
 from ..functions.labels import label_name
 from ..schemas import CORE_FEATURES
+from .boosting import BoostedModel
 from .cleaning import default_columns, only_user, require_columns
 from .statistics import combined_features, core_features
 from .validation import score_column
@@ -40,7 +41,7 @@ def score_stats(features: DataFrame, user_col: str = "user_id") -> DataFrame:
     )
 
 
-def apply_model(model: PipelineModel, features: DataFrame, user_col: str = "user_id") -> DataFrame:
+def apply_model(model: PipelineModel | BoostedModel, features: DataFrame, user_col: str = "user_id") -> DataFrame:
     """Class name and probability of being a machine; null where the features are undefined."""
     scored = model.transform(features)
     valid = F.col("status") == OK
@@ -53,7 +54,7 @@ def apply_model(model: PipelineModel, features: DataFrame, user_col: str = "user
 
 
 def score_raters(
-    model: PipelineModel,
+    model: PipelineModel | BoostedModel,
     ratings: DataFrame,
     user_col: str | None = None,
     rating_col: str | None = None,
@@ -74,14 +75,14 @@ def score_raters(
 
 
 def score_combined(
-    model: PipelineModel, ratings: DataFrame, user_col: str | None = None, rating_col: str | None = None
+    model: PipelineModel | BoostedModel, ratings: DataFrame, user_col: str | None = None, rating_col: str | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Prediction and statistics of all ratings taken as one rater."""
     rated, shown = as_upload(ratings, user_col, rating_col)
     return _results(model, with_status(combined_features(rated), NO_VALID_RATINGS), shown)
 
 
-def _results(model: PipelineModel, features: DataFrame, shown: str) -> tuple[DataFrame, DataFrame]:
+def _results(model: PipelineModel | BoostedModel, features: DataFrame, shown: str) -> tuple[DataFrame, DataFrame]:
     tables = apply_model(model, features), score_stats(features)
     return tuple(t.withColumnRenamed("user_id", shown) for t in tables)
 

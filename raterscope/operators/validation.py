@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..schemas import CORE_FEATURES
 from ..session import cut_lineage
+from .boosting import BoostedModel, BoostedTrees, score_many
 from .classifiers import Builder
 from .cleaning import is_number
 from .evaluation import mean_fold_auc, roc_auc
@@ -58,12 +59,14 @@ def prepare_folds(
     return FoldedTable(narrow.coalesce(wanted), rows)
 
 
-def score_column(model: PipelineModel, columns: Sequence[str]):
+def score_column(model: PipelineModel | BoostedModel, columns: Sequence[str]):
     """Probability of class 1, or the margin for models without probabilities."""
+    if isinstance(model, BoostedModel):
+        return F.col("score")
     return vector_to_array("probability" if "probability" in columns else "rawPrediction")[1]
 
 
-def _scored(model: PipelineModel, rows: DataFrame, user_col: str, label: str) -> DataFrame:
+def _scored(model: PipelineModel | BoostedModel, rows: DataFrame, user_col: str, label: str) -> DataFrame:
     out = model.transform(rows)
     return out.select(
         user_col,
@@ -84,15 +87,26 @@ def _union(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _training_rows(table: FoldedTable, label: str, fold: str, features: Sequence[str]) -> DataFrame:
+    """Each row once for every fold that it helps to train."""
+    folds = F.array(*[F.lit(f).cast("int") for f in sorted(table.fold_rows)])
+    rows = table.df.withColumn("held_out", F.explode(folds)).filter(F.col("held_out") != F.col(fold))
+    return rows.select(F.col(label).alias("label"), *features, "held_out", F.lit(1).alias("first_step"))
+
+
 def fit_folds(
     table: FoldedTable,
-    build: Builder,
+    build: Builder | BoostedTrees,
     features: Sequence[str] = CORE_FEATURES,
     label: str = "ai_label",
     fold: str = "fold",
     parallelism: int = 3,
-) -> dict[int, PipelineModel]:
-    """One model per fold, trained on the other folds. Fits run in driver threads."""
+) -> dict[int, PipelineModel | BoostedModel]:
+    """One model per fold, trained on the other folds: boosted trees all together, others in driver threads."""
+    if isinstance(build, BoostedTrees):
+        rows = _training_rows(table, label, fold, features)
+        models = build.fit_many(rows, features, sorted(table.fold_rows), 1, table.n_rows)
+        return {held_out: model for (held_out, _), model in models.items()}
 
     def fit(held_out: int) -> tuple[int, PipelineModel]:
         pipeline = build(label, features, table.n_rows - table.fold_rows[held_out])
@@ -103,7 +117,7 @@ def fit_folds(
 
 def out_of_fold(
     table: FoldedTable,
-    models: Mapping[int, PipelineModel],
+    models: Mapping[int, PipelineModel | BoostedModel],
     name: str,
     label: str = "ai_label",
     user_col: str = "user_id",
@@ -120,7 +134,7 @@ def out_of_fold(
 
 
 def cross_validate(
-    table: FoldedTable, build: Builder, name: str, parallelism: int = 3, **columns
+    table: FoldedTable, build: Builder | BoostedTrees, name: str, parallelism: int = 3, **columns
 ) -> DataFrame:
     """Fit on all folds and return the out-of-fold scores."""
     features = columns.pop("features", CORE_FEATURES)
@@ -153,14 +167,20 @@ def cross_validate_knn(
 
 
 def feature_importance(
-    models: Mapping[int, PipelineModel], spark, features: Sequence[str] = CORE_FEATURES
+    models: Mapping[int, PipelineModel | BoostedModel], spark, features: Sequence[str] = CORE_FEATURES
 ) -> DataFrame:
-    """Importance of each feature averaged over the folds' tree models, largest first."""
-    rows = [
-        (held_out, feature, float(value))
-        for held_out, model in models.items()
-        for feature, value in zip(features, model.stages[-1].featureImportances.toArray())
-    ]
+    """Importance of each feature averaged over the folds' tree models, largest first.
+
+    Of boosted trees, the mean gain of a feature's splits as a share of all features'.
+    """
+
+    def shares(model) -> Sequence[float]:
+        if isinstance(model, BoostedModel):
+            own = model.importance()
+            return [own[f] for f in features]
+        return model.stages[-1].featureImportances.toArray()
+
+    rows = [(held_out, f, float(x)) for held_out, model in models.items() for f, x in zip(features, shares(model), strict=True)]
     table = spark.createDataFrame(rows, "fold int, feature string, importance double")
     return table.groupBy("feature").agg(F.avg("importance").alias("importance")).orderBy(
         F.desc("importance"), "feature"
@@ -182,9 +202,57 @@ def mean_auc_by_model(scored: DataFrame) -> DataFrame:
     return mean_fold_auc(scored, ["model"]).orderBy(F.desc("mean_fold_auc"), "model")
 
 
+def fit_curve(
+    table: FoldedTable,
+    build: BoostedTrees,
+    steps: int = 10,
+    features: Sequence[str] = CORE_FEATURES,
+    label: str = "ai_label",
+    user_col: str = "user_id",
+    fold: str = "fold",
+    seed: int = 42,
+    whole: bool = False,
+) -> tuple[dict[tuple[int, int], BoostedModel], DataFrame]:
+    """Boosted models of every fold and step, grown together, and their training rows.
+
+    The last step's are the folds' models. With ``whole`` the model of the last step of fold -1 is the one
+    trained on every row.
+    """
+    subsets = _subsets(table, steps, features, label, user_col, seed)
+    rows, folds = subsets.select("label", *features, "held_out", "first_step"), sorted(table.fold_rows)
+    if whole:
+        every = table.df.select(F.col(label).alias("label"), *features, F.lit(-1).alias("held_out"), F.lit(steps).alias("first_step"))
+        rows, folds = rows.unionByName(every), [-1, *folds]
+    return build.fit_many(rows, features, folds, steps, table.n_rows), subsets
+
+
+def _subsets(table: FoldedTable, steps: int, features: Sequence[str], label: str, user_col: str, seed: int) -> DataFrame:
+    folds = len(table.fold_rows)
+    rows = learning_subsets(table.df, steps, [user_col], seed, folds).select(
+        user_col, F.col(label).alias("label"), *features, "held_out", "train_size", "first_step"
+    )
+    return cut_lineage(rows).coalesce(max(1, -(-table.n_rows * folds // ROWS_PER_PARTITION)))
+
+
+def curve_scores(
+    table: FoldedTable,
+    models: Mapping[tuple[int, int], BoostedModel],
+    subsets: DataFrame,
+    features: Sequence[str] = CORE_FEATURES,
+    label: str = "ai_label",
+    fold: str = "fold",
+) -> DataFrame:
+    """Scores of every model on the rows it was trained on and on those of its fold, in one pass."""
+    seen = subsets.select("label", *features, "held_out", "first_step", F.lit("train").alias("part"))
+    unseen = table.df.select(
+        F.col(label).alias("label"), *features, F.col(fold).alias("held_out"), F.lit(1).alias("first_step"), F.lit("held_out").alias("part")
+    )
+    return score_many(seen.unionByName(unseen), models, features)
+
+
 def learning_curve(
     table: FoldedTable,
-    build: Builder,
+    build: Builder | BoostedTrees,
     steps: int = 10,
     features: Sequence[str] = CORE_FEATURES,
     label: str = "ai_label",
@@ -194,12 +262,11 @@ def learning_curve(
     parallelism: int = 3,
 ) -> DataFrame:
     """Mean AUC on training rows and on held-out rows for ``steps`` growing training sizes."""
+    if isinstance(build, BoostedTrees):
+        models, subsets = fit_curve(table, build, steps, features, label, user_col, fold, seed)
+        return curve_areas(cut_lineage(curve_scores(table, models, subsets, features, label, fold)))
     folds = sorted(table.fold_rows)
-    subsets = cut_lineage(
-        learning_subsets(table.df, steps, [user_col], seed, len(folds)).select(
-            user_col, label, *features, "held_out", "train_size", "first_step"
-        )
-    ).coalesce(max(1, -(-table.n_rows * len(folds) // ROWS_PER_PARTITION)))
+    subsets = _subsets(table, steps, features, label, user_col, seed).withColumnRenamed("label", label)
 
     def fit(job: tuple[int, int]) -> DataFrame:
         held_out, step = job
@@ -214,7 +281,11 @@ def learning_curve(
         )
 
     jobs = [(f, s) for s in range(1, steps + 1) for f in folds]
-    scored = cut_lineage(_union(_in_threads(fit, jobs, parallelism, table.df.sparkSession)))
+    return curve_areas(cut_lineage(_union(_in_threads(fit, jobs, parallelism, table.df.sparkSession))))
+
+
+def curve_areas(scored: DataFrame) -> DataFrame:
+    """Training rows and mean areas of every step, from its scores."""
     areas = roc_auc(scored, ["step", "part", "fold"])
     per_fold = areas.groupBy("step", "fold").agg(
         F.max(F.when(F.col("part") == "train", F.col("n_pos") + F.col("n_neg"))).alias("n"),
@@ -227,7 +298,10 @@ def learning_curve(
 
 
 def final_fit(
-    table: FoldedTable, build: Builder, features: Sequence[str] = CORE_FEATURES, label: str = "ai_label"
-) -> PipelineModel:
+    table: FoldedTable, build: Builder | BoostedTrees, features: Sequence[str] = CORE_FEATURES, label: str = "ai_label"
+) -> PipelineModel | BoostedModel:
     """The model trained on every row."""
+    if isinstance(build, BoostedTrees):
+        rows = table.df.select(F.col(label).alias("label"), *features, F.lit(-1).alias("held_out"), F.lit(1).alias("first_step"))
+        return build.fit_many(rows, features, [-1], 1, table.n_rows)[-1, 1]
     return build(label, features, table.n_rows).fit(table.df)

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +24,7 @@ from ..operators import (
     statistics,
     validation,
 )
-from ..schemas import CORE_FEATURES, PLOT_FEATURES, RATINGS, STATISTICS, SYNTHETIC_RATINGS
+from ..schemas import PLOT_FEATURES, RATINGS, STATISTICS, SYNTHETIC_RATINGS
 from ..session import cut_lineage, intermediate_tables
 from ..sources import models, readers, writers
 
@@ -65,17 +65,25 @@ def qualify(
 
 
 def request_file(
-    spark: SparkSession, ratings_path: str, out: str, n_users: int = 4000, seed: int = 42
+    spark: SparkSession,
+    ratings_path: str,
+    out: str,
+    n_users: int = 4000,
+    seed: int = 42,
+    rejects: str | None = None,
+    multi_line: bool = False,
 ) -> DataFrame:
     """Write the model requests for ``n_users`` random raters; raises if there are fewer.
 
-    Each run writes its own folder below ``out``, named by the time. Returns the lines written.
+    Each run writes its own folder below ``out``, named by the time. Lines that do not fit the schema are
+    counted and, with ``rejects``, kept there. Returns the lines written.
     """
-    ratings = readers.read_ratings_csv(spark, ratings_path)
-    sampling.require_users(ratings, n_users)
-    requests = prompts.build_requests(prompts.sample_requests(ratings, n_users, seed=seed))
     path = f"{out.rstrip('/')}/requests_{writers.run_id()}"
-    writers.write_ndjson(prompts.request_lines(requests), path)
+    with intermediate_tables(spark):
+        ratings = _ratings(spark, ratings_path, rejects, multi_line=multi_line)
+        sampling.require_users(ratings, n_users)
+        requests = prompts.build_requests(prompts.sample_requests(ratings, n_users, seed=seed))
+        writers.write_ndjson(prompts.request_lines(requests), path)
     return readers.read_ndjson(spark, path)
 
 
@@ -138,18 +146,25 @@ def labelled_table(
 ) -> DataFrame:
     """Join both statistics tables to the labelled dataset; returns class counts.
 
-    Rows whose id cannot carry the label are counted and, with ``rejects``, kept there.
+    Rows whose id cannot carry the label, or with a cell that is there but is no number, are left out, counted and,
+    with ``rejects``, kept there as text: with their label and the reason. An empty cell is an undefined statistic and stays.
     """
-    human = readers.read_stats_csv(spark, human_path, features)
-    machine = readers.read_stats_csv(spark, machine_path, features)
-    lost = dataset.rejected_rows(human, 0).unionByName(dataset.rejected_rows(machine, 1))
-    n = lost.count()
-    if n:
-        _LOG.warning("%d raters have an id that cannot carry the label", n)
-    if rejects is not None:
-        writers.write_parquet(lost, rejects)
-    both = dataset.labelled_dataset(human, machine, n_human, seed, features)
-    writers.write_parquet(both, out, codec)
+    with intermediate_tables(spark):
+        good, bad = [], []
+        for label, path in enumerate((human_path, machine_path)):
+            raw = cut_lineage(readers.read_stats_text(spark, path, features))
+            fitting, broken = readers.split_broken_cells(raw)
+            good.append(fitting)
+            lost = dataset.rejected_rows(fitting, label).select(*[F.col(c).cast("string") for c in raw.columns])
+            reasons = ((broken, "no_number"), (lost, "id_too_long"))
+            bad += [rows.select(*raw.columns, F.lit(label).alias("ai_label"), F.lit(why).alias("reason")) for rows, why in reasons]
+        left_out = cut_lineage(reduce(DataFrame.unionByName, bad))
+        for row in left_out.groupBy("reason").count().collect():
+            _LOG.warning("%d raters left out: %s", row["count"], row["reason"])
+        if rejects is not None:
+            writers.write_parquet(left_out, rejects)
+        both = dataset.labelled_dataset(*good, n_human, seed, features)
+        writers.write_parquet(both, out, codec)
     return dataset.class_counts(readers.read_dataset(spark, out))
 
 
@@ -169,39 +184,46 @@ def train(
 
     Every table a report needs is written below ``out``.
     """
-    raw = readers.read_dataset(spark, dataset_path)
-    writers.write_parquet(splits.balanced_folds(raw, k=folds, seed=seed), f"{out}/balanced")
-    balanced = readers.read_dataset(spark, f"{out}/balanced")
-    table = validation.prepare_folds(balanced)
-    chosen = classifiers.builders(rounds, trees, svm_iterations)
-
-    fitted = validation.fit_folds(table, chosen["boosted_trees"])
-    others = {name: build for name, build in chosen.items() if name != "boosted_trees"}
-    scored = validation.out_of_fold(table, fitted, "boosted_trees").unionByName(
-        validation.compare_models(table, others)
-    )
-    writers.write_parquet(scored, f"{out}/out_of_fold")
-    scored = readers.read_dataset(spark, f"{out}/out_of_fold")
-    plotted = [f for f in PLOT_FEATURES if f in balanced.columns]
-    reports = {
-        "class_counts": dataset.class_counts(balanced),
-        "class_means": dataset.class_means(balanced),
-        "variance_inflation": dataset.variance_inflation(balanced),
-        "feature_histograms": distributions.feature_histogram(balanced, plotted),
-        "feature_densities": distributions.feature_density(balanced, plotted),
-        "importance": validation.feature_importance(fitted, spark),
-        "report": evaluation.average_report(scored, ["model"]),
-        "confusion": evaluation.confusion_matrix(scored, ["model"]),
-        "auc_by_fold": evaluation.roc_auc(scored, ["model", "fold"]),
-        "auc_pooled": evaluation.pooled_auc(scored, ["model"]),
-        "auc_mean": validation.mean_auc_by_model(scored),
-        "roc": evaluation.roc_points(scored, ["model"]),
-    }
-    if curve_steps:
-        reports["learning_curve"] = validation.learning_curve(table, chosen["boosted_trees"], curve_steps)
-    for name, report in reports.items():
-        writers.write_parquet(report, f"{out}/{name}")
-    final = validation.final_fit(table, chosen["boosted_trees"], CORE_FEATURES)
+    with intermediate_tables(spark):
+        raw = readers.read_dataset(spark, dataset_path)
+        writers.write_parquet(splits.balanced_folds(raw, k=folds, seed=seed), f"{out}/balanced")
+        balanced = readers.read_dataset(spark, f"{out}/balanced")
+        table = validation.prepare_folds(balanced)
+        chosen = classifiers.builders(rounds, trees, svm_iterations)
+
+        # Folds, steps of the curve and the final model grow together.
+        steps = max(curve_steps, 1)
+        grown, subsets = validation.fit_curve(table, chosen["boosted_trees"], steps, seed=seed, whole=True)
+        final = grown.pop((-1, steps))
+        grown = {key: model for key, model in grown.items() if key[0] >= 0}
+        fitted = {fold: model for (fold, step), model in grown.items() if step == steps}
+        others = {name: build for name, build in chosen.items() if name != "boosted_trees"}
+        scored = validation.out_of_fold(table, fitted, "boosted_trees").unionByName(
+            validation.compare_models(table, others)
+        )
+        writers.write_parquet(scored, f"{out}/out_of_fold")
+        scored = readers.read_dataset(spark, f"{out}/out_of_fold")
+        plotted = [f for f in PLOT_FEATURES if f in balanced.columns]
+        reports = {
+            "class_counts": dataset.class_counts(balanced),
+            "class_means": dataset.class_means(balanced),
+            "variance_inflation": dataset.variance_inflation(balanced),
+            "feature_histograms": distributions.feature_histogram(balanced, plotted),
+            "feature_densities": distributions.feature_density(balanced, plotted),
+            "importance": validation.feature_importance(fitted, spark),
+            "report": evaluation.average_report(scored, ["model"]),
+            "confusion": evaluation.confusion_matrix(scored, ["model"]),
+            "auc_by_fold": evaluation.roc_auc(scored, ["model", "fold"]),
+            "auc_pooled": evaluation.pooled_auc(scored, ["model"]),
+            "auc_mean": validation.mean_auc_by_model(scored),
+            "roc": evaluation.roc_points(scored, ["model"]),
+            "splits": final.ledger(spark).filter("feature is not null"),
+        }
+        if curve_steps:
+            curve = cut_lineage(validation.curve_scores(table, grown, subsets))
+            reports["learning_curve"] = validation.curve_areas(curve)
+        for name, report in reports.items():
+            writers.write_parquet(report, f"{out}/{name}")
     return models.save_model(final, models_folder)
 
 
@@ -219,17 +241,18 @@ def score(
 
     With ``combine_all`` all ratings count as one rater and ``target_user`` is ignored.
     """
-    model: PipelineModel = models.load_model(model_path)
-    ratings = readers.read_upload_csv(spark, ratings_path)
-    if combine_all:
-        predictions, stats = scoring.score_combined(model, ratings, user_col, rating_col)
-    else:
-        predictions, stats = scoring.score_raters(model, ratings, user_col, rating_col, target_user)
-    renamed = predictions.withColumnRenamed("Probability AI", "Probability_AI")
-    writers.write_parquet(renamed, f"{out}/predictions")
-    writers.write_parquet(stats, f"{out}/statistics")
-    histogram = _rating_distribution(ratings, user_col, rating_col, target_user, combine_all)
-    writers.write_parquet(histogram, f"{out}/distribution")
+    model = models.load_model(model_path)
+    with intermediate_tables(spark):
+        ratings = readers.read_upload_csv(spark, ratings_path)
+        if combine_all:
+            predictions, stats = scoring.score_combined(model, ratings, user_col, rating_col)
+        else:
+            predictions, stats = scoring.score_raters(model, ratings, user_col, rating_col, target_user)
+        renamed = predictions.withColumnRenamed("Probability AI", "Probability_AI")
+        writers.write_parquet(renamed, f"{out}/predictions")
+        writers.write_parquet(stats, f"{out}/statistics")
+        histogram = _rating_distribution(ratings, user_col, rating_col, target_user, combine_all)
+        writers.write_parquet(histogram, f"{out}/distribution")
     return readers.read_dataset(spark, f"{out}/predictions")
 
 

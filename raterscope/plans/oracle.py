@@ -335,12 +335,10 @@ SELECT feature, ai_label, point::INT AS point, {_r("x")}, {_r("density")}, {_r(f
         "q_score_combined": f"SELECT 'Combined' AS user_id, {', '.join(_r(f) for f in core)}, 'ok' AS status "
         f"FROM (SELECT {_moments('rating')} FROM ({_EVENT_USER}))",
         "q_knn": _knn(),
-        "q_gbt_oof": _scored_rows("boosted_trees"),
         "q_rf_oof": _scored_rows("random_forest"),
         "q_svm_oof": _scored_rows("support_vectors"),
         "q_lr_oof": _scored_rows("logistic_regression"),
         "q_oof": _scored_rows("random_forest", "logistic_regression"),
-        "q_importance": f"SELECT unnest({list(core)}) AS feature, true AS bounded, true AS whole",
         "q_model_compare": "SELECT unnest(['boosted_trees', 'random_forest', 'support_vectors', 'logistic_regression', "
         "'nearest_neighbours']) AS model, true AS above_floor",
         "q_learning_curve": _curve(),

@@ -5,6 +5,11 @@ from __future__ import annotations
 from datetime import date
 
 from pyspark.ml import PipelineModel
+from pyspark.sql import SparkSession
+
+from ..operators.boosting import BoostedModel
+
+Model = PipelineModel | BoostedModel
 
 
 def model_name(prefix: str = "rater_model", day: date | None = None) -> str:
@@ -12,13 +17,20 @@ def model_name(prefix: str = "rater_model", day: date | None = None) -> str:
     return f"{prefix}_{(day or date.today()).isoformat()}"
 
 
-def save_model(model: PipelineModel, folder: str, prefix: str = "rater_model", day: date | None = None) -> str:
+def save_model(model: Model, folder: str, prefix: str = "rater_model", day: date | None = None) -> str:
     """Save under a dated name in ``folder`` and return the path."""
     path = f"{folder.rstrip('/')}/{model_name(prefix, day)}"
-    model.write().overwrite().save(path)
+    if isinstance(model, BoostedModel):
+        model.save(SparkSession.active(), path)
+    else:
+        model.write().overwrite().save(path)
     return path
 
 
-def load_model(path: str) -> PipelineModel:
-    """Load a pipeline saved by :func:`save_model`."""
+def load_model(path: str) -> Model:
+    """Load a model saved by :func:`save_model`: a folder of nodes, or a pipeline."""
+    spark = SparkSession.active()
+    nodes = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/nodes")
+    if nodes.getFileSystem(spark._jsc.hadoopConfiguration()).exists(nodes):
+        return BoostedModel.load(spark, path.rstrip("/"))
     return PipelineModel.load(path)

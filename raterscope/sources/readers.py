@@ -70,10 +70,30 @@ def read_stats_csv(
     The two sources may hold the columns in different order, so the cells are read as text by
     name and then cast.
     """
+    return split_broken_cells(read_stats_text(spark, path, features), keep_all=True)[0]
+
+
+def read_stats_text(spark: SparkSession, path: str, features: Sequence[str] = STATISTICS) -> DataFrame:
+    """The same cells as they are written, as text."""
     named = read_upload_csv(spark, path)
-    wanted = [USER_STATISTICS[name] for name in ("user_id", *features)]
-    require_columns(named, [f.name for f in wanted])
-    return named.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in wanted])
+    wanted = ["user_id", *features]
+    require_columns(named, wanted)
+    return named.select(*wanted)
+
+
+def split_broken_cells(text: DataFrame, keep_all: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Typed rows whose cells are numbers or empty, and the text of the other rows.
+
+    With ``keep_all`` all rows are typed, and cells that are no numbers become null.
+    """
+    kinds = {name: USER_STATISTICS[name].dataType for name in text.columns}
+    typed = {name: F.col(name).try_cast(kind) for name, kind in kinds.items()}
+    broken = F.lit(False)
+    for name, value in typed.items():
+        broken = broken | ((F.trim(name) != "") & value.isNull())
+    broken = F.coalesce(broken, F.lit(False))
+    good = text if keep_all else text.filter(~broken)
+    return good.select(*[value.alias(name) for name, value in typed.items()]), text.filter(broken)
 
 
 def read_dataset(spark: SparkSession, path: str) -> DataFrame:

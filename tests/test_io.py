@@ -153,3 +153,27 @@ def test_labels_and_ids(spark):
     rows = df.select(label_name("label").alias("n"), encode_id("id", 1).alias("e")).collect()
     assert [r["n"] for r in rows] == ["Human", "AI", "Unknown", "Unknown"]
     assert [r["e"] for r in rows] == [121, None, None, -31]
+
+
+def test_no_cell_of_statistics_is_lost_silently(spark, tmp_path, caplog):
+    names = ["user_id", *STATISTICS]
+    for side, cells in {"human": ["1", "2", "3"], "machine": ["4", "5", str(10**18 * 9)]}.items():
+        lines = [",".join([i, *["1.5"] * 10]) for i in cells]
+        (tmp_path / f"{side}.csv").write_text("\n".join([",".join(names), *lines]) + "\n")
+    broken = (tmp_path / "human.csv").read_text().replace("2,1.5", "2,oops").replace("3,1.5", "3,")
+    (tmp_path / "human.csv").write_text(broken + "x" + ",1" * 10 + "\n")
+    at = {n: str(tmp_path / n) for n in ("human.csv", "machine.csv", "out", "rejects")}
+    jobs.labelled_table(spark, at["human.csv"], at["machine.csv"], at["out"], n_human=None, rejects=at["rejects"])
+    kept = {r["user_id"]: r["mean_rating"] for r in spark.read.parquet(at["out"]).collect()}
+    assert kept == {10: 1.5, 30: None, 41: 1.5, 51: 1.5}
+    lost = {(r["user_id"], r["mean_rating"], r["reason"], r["ai_label"]) for r in spark.read.parquet(at["rejects"]).collect()}
+    assert lost == {("2", "oops", "no_number", 0), ("x", "1", "no_number", 0), (str(10**18 * 9), "1.5", "id_too_long", 1)}
+    assert "2 raters left out: no_number" in caplog.text and "1 raters left out: id_too_long" in caplog.text
+
+
+def test_requests_report_bad_lines(spark, tmp_path, caplog):
+    lines = [f"{u},film,{m},3.5" for u in range(3) for m in range(4)] + ["x,film,1,3"]
+    (tmp_path / "r.csv").write_text("\n".join(["user_id,movie,movie_id,rating", *lines]) + "\n")
+    made = jobs.request_file(spark, str(tmp_path / "r.csv"), str(tmp_path / "out"), 3, rejects=str(tmp_path / "bad"))
+    assert made.count() == 12 and "1 lines of" in caplog.text
+    assert [r["line"] for r in spark.read.parquet(str(tmp_path / "bad")).collect()] == ["x,film,1,3"]

@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from raterscope.errors import MissingColumnsError, NoDataError
 from raterscope.operators import classifiers, evaluation, knn, scoring, splits, validation
 from raterscope.plans import jobs
 from raterscope.schemas import CORE_FEATURES
+from raterscope.session import shared_folder
 from raterscope.sources import models
 
 
@@ -209,9 +212,14 @@ def test_all_stages_from_file_to_file(spark, tmp_path):
     assert made["n_users"] == 30
     classes = jobs.labelled_table(spark, at["human_stats"], at["machine_stats"], at["dataset"])
     assert {r["ai_label"]: r["n"] for r in classes.collect()} == {0: 40, 1: 30}
+    before = set(os.listdir(shared_folder(spark)))
     path = jobs.train(
-        spark, at["dataset"], at["report"], at["models"], rounds=2, trees=3, svm_iterations=3, folds=3, curve_steps=0
+        spark, at["dataset"], at["report"], at["models"], rounds=2, trees=3, svm_iterations=3, folds=3, curve_steps=2
     )
+    assert set(os.listdir(shared_folder(spark))) == before
+    curve = spark.read.parquet(f"{at['report']}/learning_curve").collect()
+    assert {r["step"] for r in curve} == {1, 2}
+    assert spark.read.parquet(f"{at['report']}/splits").count() > 0
     aucs = spark.read.parquet(f"{at['report']}/auc_mean").collect()
     assert len(aucs) == 5 and all(r["mean_fold_auc"] > 0.9 for r in aucs)
     scores = jobs.score(spark, path, at["sample"], at["scores"], "user_id", "rating")
