@@ -189,8 +189,9 @@ def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, window:
 
 def _narrow(docs: DataFrame, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
     """The columns to carry, under names of their own, and the text last."""
-    kept = [docs[c].alias(f"keep{i}") for i, c in enumerate(keep)]
-    return docs.select(docs[id_col].alias("id"), *kept, docs[text_col].cast("string").alias("text"))
+    named = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    kept = [named(c).alias(f"keep{i}") for i, c in enumerate(keep)]
+    return docs.select(named(id_col).alias("id"), *kept, named(text_col).cast("string").alias("text"))
 
 
 def _schema(df: DataFrame, *more: str) -> str:
@@ -283,4 +284,4 @@ def remove_contaminated(
     """The given table without contaminated texts: the same columns, nulls included."""
     blocks = benchmark_blocks(benchmark, item_col, text_col, window, block_bytes)
     judged = judge(_matched(_narrow(docs, id_col, text_col, docs.columns), blocks, window), ratio)
-    return judged.filter(~F.col("contaminated")).select(*[F.col(f"keep{i}").alias(c) for i, c in enumerate(docs.columns)])
+    return judged.filter(~F.col("contaminated")).select(*[f"keep{i}" for i in range(len(docs.columns))]).toDF(*docs.columns)

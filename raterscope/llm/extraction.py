@@ -319,10 +319,18 @@ def train_on(pages: list[str], drawn: int = DRAWN, epochs: int = EPOCHS) -> Labe
 
 
 def train(table: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE) -> Labeller:
-    """``train_on`` in one task, on at most ``sample`` pages and the first 64 KB of each. Runs a job."""
-    order = F.xxhash64(_named(id_col).cast("string"), F.length(_named(html_col).cast("string")))
-    page = F.substring(_named(html_col).cast("string"), 1, 1 << 16).alias("page")
-    drawn = table.select(order.alias("order"), page).filter("page is not null").orderBy("order", "page").limit(sample)
+    """``train_on`` in one task, on at most ``sample`` pages and the first 64 KB of each. Runs jobs.
+
+    The draw is made on ids alone; only the drawn ids then meet their pages, and of rows with the same id one is used.
+    """
+    order = F.xxhash64(_named(id_col).cast("string"))
+    # A share of the hash range that holds about twice the sample: what is sorted stays bounded.
+    share = min(1.0, 2 * sample / max(table.count(), 1))
+    keys = table.select(order.alias("key")).filter(F.col("key") <= F.lit(min(int(share * 2**64) - 2**63, 2**63 - 1)))
+    keys = keys.distinct().orderBy("key").limit(sample)
+    pages = table.select(order.alias("key"), F.substring(_named(html_col).cast("string"), 1, 1 << 16).alias("page"))
+    # ``sample`` keys: bounded by that parameter.
+    drawn = pages.filter("page is not null").join(F.broadcast(keys), "key").groupBy("key").agg(F.min("page").alias("page"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pages = sorted(p for batch in batches for p in batch.column(0).to_pylist())

@@ -5,7 +5,6 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +18,7 @@ from . import (
     packing,
     secrets,
     sharding,
+    stages,
     token_counts,
     toxicity,
     vector_codes,
@@ -27,8 +27,8 @@ from . import (
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-# Shards for training readers: small enough to be read by one task.
-SHARD_BYTES = 16 << 20
+# Shards for training readers: small enough that a reader holds several.
+SHARD_BYTES = 256 << 10
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -130,7 +130,7 @@ def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
 
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     """All stages of the corpus pipeline."""
-    return corpus_pipeline.run(spark, folder)
+    return stages.run(spark, folder)
 
 
 def queries() -> dict[str, Query]:

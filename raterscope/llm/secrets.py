@@ -238,9 +238,12 @@ def mask(
     ledger = ledger or BlobLedger(spark, new_folder(spark, "secret-ledger"))
     addressed = _addressed(docs, id_col, text_col)
     update_ledger(cut_lineage(addressed.select("path", "row", "blob")), addressed, ledger, rules)
-    found = findings_by_blob(ledger, rules).withColumnsRenamed({"blob": "__blob", "findings": "__findings"})
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    joined = docs.withColumn("__blob", F.unhex(F.sha2(text, 256))).join(found, "__blob", "left")
+    found = findings_by_blob(ledger, rules)
+    # The columns go by their places, so that none of them can have a name that is used here.
+    place = docs.columns.index(text_col)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    text = F.coalesce(F.col(f"c{place}").cast("string"), F.lit(""))
+    joined = plain.withColumn("blob", F.unhex(F.sha2(text, 256))).join(found, "blob", "left")
 
     def step(state: Column, f: Column) -> Column:
         fresh = f["start"] >= state["at"]
@@ -251,7 +254,6 @@ def mask(
         )
 
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    masked = F.aggregate("__findings", begin, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    return joined.withColumn(text_col, F.when(F.col("__findings").isNotNull(), masked).otherwise(F.col(text_col))).select(
-        *docs.columns
-    )
+    masked = F.aggregate("findings", begin, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    shown = F.when(F.col("findings").isNotNull(), masked).otherwise(F.col(f"c{place}")).alias(f"c{place}")
+    return joined.select(*[shown if i == place else F.col(c) for i, c in enumerate(plain.columns)]).toDF(*docs.columns)

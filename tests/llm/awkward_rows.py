@@ -17,12 +17,12 @@ AWKWARD = [
     (10, "   \n\t ", "en"),
 ]
 # Extra columns whose names operators use for themselves.
-SCHEMA = "doc_id long, text string, lang string, id string, node long, n_words int, spans string, block long, digest string"
+SCHEMA = "doc_id long, text string, lang string, id string, node long, n_words int, spans string, block long, digest string, __blob string, __findings int, `a.b` string"
 
 
 @pytest.fixture(scope="session")
 def awkward(spark):
-    rows = [(i, t, lang, "x", 1, 2, "y", 3, "z") for i, t, lang in AWKWARD]
+    rows = [(i, t, lang, "x", 1, 2, "y", 3, "z", "blob", 4, "dot") for i, t, lang in AWKWARD]
     return spark.createDataFrame(rows, SCHEMA).repartition(3)
 
 

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from awkward_rows import awkward, empty  # noqa: F401
 from pyspark.sql import functions as F
-from raterscope.llm import decontamination, near_duplicates, queries
+from raterscope.llm import decontamination, near_duplicates, queries, stages
 
 DATA = "/root/testdata/sf0.001"
 
@@ -36,8 +36,8 @@ def test_one_row_for_each_of_the_table(spark, name):
 @pytest.fixture(scope="module")
 def tables(spark, awkward, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("tables"))
-    more = [(100 + i, f"civil words number {i} and so on " * 3, "en", "x", 1, 2, "y", 3, "z") for i in range(60)]
-    more += [(200 + i, f"civil words number {i} and so on scoundrel " * 3, "en", "x", 1, 2, "y", 3, "z") for i in range(60)]
+    more = [(100 + i, f"civil words number {i} and so on " * 3, "en", "x", 1, 2, "y", 3, "z", "blob", 4, "dot") for i in range(60)]
+    more += [(200 + i, f"civil words number {i} and so on scoundrel " * 3, "en", "x", 1, 2, "y", 3, "z", "blob", 4, "dot") for i in range(60)]
     docs = awkward.unionByName(spark.createDataFrame(more, awkward.schema)).withColumn("n_chars", F.length("text"))
     docs.write.parquet(f"{folder}/documents.parquet")
     labels = [(100 + i, 0) for i in range(60)] + [(200 + i, 1) for i in range(60)]
@@ -63,6 +63,7 @@ def test_stages(spark, tables):
     assert gone == Counter({None: 1})
     assert ids["secrets"] == ids["decontamination"]
     masked, = [r for r in kept["secrets"] if r["doc_id"] == 1]
+    assert (masked["__blob"], masked["__findings"], masked["a.b"]) == ("blob", 4, "dot")
     assert "[secret]" in masked["text"] and masked["n_chars"] == len(masked["text"])
     assert set(ids["packing"]) == set(ids["secrets"])
 
@@ -79,7 +80,7 @@ def test_stages_agree_with_their_operators(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     found = near_duplicates.components(docs)
     wanted = {r["component_id"] for r in found.collect()}
-    assert {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, DATA).collect()} == wanted
+    assert {r["doc_id"] for r in stages.drop_near_duplicates(spark, docs, DATA).collect()} == wanted
     benchmark = spark.read.parquet(f"{DATA}/benchmark.parquet")
     bad = decontamination.judge(decontamination.find_matches(docs, benchmark)).filter("contaminated").count()
-    assert corpus_pipeline.drop_contaminated(spark, docs, DATA).count() == docs.count() - bad
+    assert stages.drop_contaminated(spark, docs, DATA).count() == docs.count() - bad
