@@ -1,81 +1,5 @@
-"""Corpus pipeline: from raw documents to packed training sequences.
+"""Corpus pipeline: from raw documents to packed training sequences. The stages are in ``raterscope.llm.stages``."""
 
-Each stage takes (spark, docs, sf_dir), works on everything that the one before kept, and is written as
-Parquet before the next begins. All but the last return the columns of ``documents``:
+from raterscope.llm.stages import ORACLE_SQL, STAGES, run
 
-1. toxicity: documents predicted toxic go.
-2. near duplicates: of documents that are at least 80 percent alike in five-word sets, one stays.
-3. decontamination: documents with benchmark passages in one word of twenty or more go.
-4. secrets: found secrets are masked in the text; ``n_chars`` follows the text. Documents stay.
-5. packing: the rest becomes token pieces placed in sequences of 2048.
-
-``ORACLE_SQL`` is None: a learned score and a tokenizer cannot be expressed in SQL. The stages are tested
-against brute force in ``tests/llm``.
-"""
-
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from raterscope.llm import decontamination, near_duplicates, packing, secrets, toxicity
-from raterscope.session import cut_lineage
-
-ORACLE_SQL = None
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _small_batches(spark: SparkSession) -> None:
-    """Batches of documents between Spark and Python: some megabytes, where the default makes tens of them."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-
-
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _small_batches(spark)
-    return toxicity.keep_civil(docs, _table(spark, sf_dir, "labels"))
-
-
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _small_batches(spark)
-    return near_duplicates.keep_one_of_each(docs, width=5, percent=80)
-
-
-def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _small_batches(spark)
-    return decontamination.remove_contaminated(docs, _table(spark, sf_dir, "benchmark"))
-
-
-def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    masked = secrets.mask(docs)
-    if "n_chars" not in docs.columns:
-        return masked
-    kind = docs.schema["n_chars"].dataType
-    length = F.when(F.col("text").isNotNull(), F.length("text")).otherwise(F.col("n_chars"))
-    return masked.withColumn("n_chars", length.cast(kind))
-
-
-def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
-    _small_batches(spark)
-    return packing.pack(docs, str(public_tokenizers.path("word_bpe_49k.json")))
-
-
-STAGES = [
-    ("toxicity", drop_toxic),
-    ("near_duplicates", drop_near_duplicates),
-    ("decontamination", drop_contaminated),
-    ("secrets", mask_secrets),
-    ("packing", pack_sequences),
-]
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again."""
-    docs = _table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = cut_lineage(stage(spark, docs, sf_dir))
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
