@@ -276,6 +276,28 @@ def training_rows(
     return joined.groupBy("id", "label").agg(F.max("text").alias("text")).select("text", "label")
 
 
+_HASHED = "digest binary, features array<int>, pairs array<struct<lost:array<int>,won:array<int>>>, label int"
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A digest to sort by, features, counterfactuals and label of each text."""
+    side = pa.list_(pa.int32())
+    pair = pa.struct([("lost", side), ("won", side)])
+    for batch in slices(batches, "text", _SLICE_BYTES):
+        texts = byte_texts(batch.column(0))
+        pairs = [[{"lost": a, "won": b} for a, b in counterfactuals(t)] for t in texts]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary()),
+                pa.array([features(t) for t in texts], side),
+                pa.array(pairs, pa.list_(pair)),
+                batch.column(1),
+            ],
+            ["digest", "features", "pairs", "label"],
+        )
+    _known.clear()
+
+
 def train(
     docs: DataFrame,
     labels: DataFrame,
@@ -290,25 +312,20 @@ def train(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Of each text only its features are held, and a digest to sort by.
-        digests, rows, pairs, toxic = [], [], [], []
-        for batch in slices(batches, "text", _SLICE_BYTES):
-            for text, label in zip(byte_texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                digests.append(xxhash.xxh3_128_digest(text))
-                rows.append(features(text))
-                pairs.append(counterfactuals(text))
-                toxic.append(label)
+        held = [row for batch in batches for row in zip(*[c.to_pylist() for c in batch.columns], strict=True)]
         # The order of rows must not matter to the last digit.
-        order = sorted(range(len(rows)), key=lambda i: (digests[i], toxic[i]))
-        model = fit_features([rows[i] for i in order], [p for i in order for p in pairs[i]], [toxic[i] for i in order])
-        _known.clear()
+        held.sort(key=lambda row: (row[0], row[3]))
+        rows = [np.array(row[1], np.int32) for row in held]
+        pairs = [(tuple(p["lost"]), tuple(p["won"])) for row in held for p in row[2]]
+        model = fit_features(rows, pairs, [row[3] for row in held])
         yield pa.RecordBatch.from_arrays(
             [pa.array([model.keys.tobytes()]), pa.array([model.weights.tobytes()]), pa.array([model.bias])], ["keys", "weights", "bias"]
         )
 
     rows = training_rows(docs, labels, max_rows, id_col, text_col, label_col)
-    found = rows.select("text", F.col("label").cast("int").alias("label")).coalesce(1)
-    model = found.mapInArrow(run, "keys binary, weights binary, bias double").first()
+    # Texts are hashed by many tasks; the one that fits holds their features.
+    hashed = rows.select("text", F.col("label").cast("int").alias("label")).mapInArrow(_hashed, _HASHED)
+    model = hashed.repartition(1).mapInArrow(run, "keys binary, weights binary, bias double").first()
     if model is None:
         return fit([], [])
     return Model(np.frombuffer(model["keys"], np.int64), np.frombuffer(model["weights"], np.float64), model["bias"])
@@ -334,7 +351,7 @@ def keep_civil(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_
     model = train(docs, labels, max_rows, id_col, text_col)
     fields = docs.schema.fields
     place = docs.columns.index(text_col)
-    plain = docs.select(*[F.col(f.name).alias(f"c{i}") for i, f in enumerate(fields)])
+    plain = docs.toDF(*[f"c{i}" for i in range(len(fields))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, f"c{place}", _SLICE_BYTES):

@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import pytest
 from awkward_rows import awkward, empty  # noqa: F401
+from pyspark.sql import functions as F
 from raterscope.llm import toxicity
 
 
@@ -27,7 +28,7 @@ def test_held_out_accuracy(spark):
     docs, labels = corpus()
     d, y = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
     model = toxicity.train(d, y)
-    got = {r["doc_id"]: r for r in toxicity.score(d, model).withColumn("held", toxicity.held_out(d["doc_id"])).collect()}
+    got = {r["doc_id"]: r for r in toxicity.score(d, model).withColumn("held", toxicity.held_out(F.col("doc_id"))).collect()}
     held = [i for i, _ in docs if zlib.crc32(str(i).encode()) % 5 == 0]
     assert {i for i in got if got[i]["held"]} == set(held)
     assert np.mean([got[i]["predicted"] == dict(labels)[i] for i in held]) > 0.98
