@@ -47,6 +47,13 @@ def _parser() -> argparse.ArgumentParser:
     statistics.add_argument("--features", nargs="+", default=STATISTICS, choices=STATISTICS)
     statistics.add_argument("--levels", nargs="+", type=_level, help="the rating scale, or: discover")
     statistics.add_argument("--rejects", help="folder for lines that do not fit")
+    delivery = stage("add_delivery", "ratings_path", "state", "delivery")
+    delivery.add_argument("--levels", nargs="+", type=float, default=(1, 2, 3, 4, 5), help="the rating scale")
+    delivery.add_argument("--synthetic", action="store_true", help="columns of machine ratings")
+    delivery.add_argument("--rejects", help="folder for lines that do not fit")
+    delivered = stage("delivered_statistics", "state", "out")
+    delivered.add_argument("--levels", nargs="+", type=float, default=(1, 2, 3, 4, 5), help="the rating scale")
+    delivered.add_argument("--features", nargs="+", default=STATISTICS, choices=STATISTICS)
     labelled = stage("labelled_table", "human_path", "machine_path", "out")
     labelled.add_argument("--n-human", type=_count, default=4000, help="a number, or: all")
     labelled.add_argument("--seed", type=int, default=42)
@@ -56,7 +63,7 @@ def _parser() -> argparse.ArgumentParser:
     train = stage("train", "dataset_path", "out", "models_folder")
     train.add_argument("--rounds", type=int, default=100)
     train.add_argument("--trees", type=int, default=100)
-    train.add_argument("--svm-iterations", type=int, default=100)
+    train.add_argument("--svm-iterations", type=int, default=20)
     train.add_argument("--folds", type=int, default=6)
     train.add_argument("--seed", type=int, default=42)
     train.add_argument("--curve-steps", type=int, default=10)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,8 +55,9 @@ def audit_answers(
     column: str = "value",
     min_rating: float | None = None,
     max_rating: float | None = None,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """Echoed fields, rating and ``status`` of every line; no line is lost.
+    """Echoed fields, rating and ``status`` of every line; no line is lost. ``carry`` names columns to keep beside them.
 
     The first part of the first candidate must hold the rating as text. ``no_response`` covers
     an absent or empty answer at any level, ``malformed`` text that is no JSON object or whose
@@ -63,7 +66,7 @@ def audit_answers(
     is ``bad_id``. Only the ``ok`` rows carry a rating; all others carry the raw line, and the file
     it came from where ``lines`` has ``file_path``, so that the table doubles as their quarantine.
     """
-    origin = [c for c in ("file_path",) if c in lines.columns]
+    origin = [*[c for c in ("file_path",) if c in lines.columns], *carry]
     parsed = _with_json(lines.select(column, *origin), column)
 
     def field(path: str, kind: str = "string") -> Column:

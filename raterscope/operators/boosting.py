@@ -236,6 +236,11 @@ class BoostedTrees:
         cuts = [np.unique(np.array(found[i] or [0.0], np.float64)) for i in range(len(features))]
         return [c[1:] if len(c) > 1 else c for c in cuts]
 
+    def fit_together(self, rows: DataFrame, features: Sequence[str], folds: Sequence[int], n_rows: int) -> dict[int, BoostedModel]:
+        """A model for each fold, trained on the rows with ``held_out`` = fold."""
+        models = self.fit_many(rows.withColumn("first_step", F.lit(1)), features, folds, 1, n_rows)
+        return {fold: model for (fold, _), model in models.items()}
+
     def fit_many(
         self, rows: DataFrame, features: Sequence[str], held_out: Sequence[int], steps: int, n_rows: int
     ) -> dict[tuple[int, int], BoostedModel]:

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import NoDataError
 from ..functions.labels import label_name
 from ..schemas import CORE_FEATURES
-from .boosting import BoostedModel
 from .cleaning import default_columns, only_user, require_columns
 from .statistics import combined_features, core_features
-from .validation import score_column
+from .validation import Model, score_column
 
 OK = "ok"
 UNDEFINED_FEATURES = "undefined_features"
@@ -41,7 +39,7 @@ def score_stats(features: DataFrame, user_col: str = "user_id") -> DataFrame:
     )
 
 
-def apply_model(model: PipelineModel | BoostedModel, features: DataFrame, user_col: str = "user_id") -> DataFrame:
+def apply_model(model: Model, features: DataFrame, user_col: str = "user_id") -> DataFrame:
     """Class name and probability of being a machine; null where the features are undefined."""
     scored = model.transform(features)
     valid = F.col("status") == OK
@@ -54,7 +52,7 @@ def apply_model(model: PipelineModel | BoostedModel, features: DataFrame, user_c
 
 
 def score_raters(
-    model: PipelineModel | BoostedModel,
+    model: Model,
     ratings: DataFrame,
     user_col: str | None = None,
     rating_col: str | None = None,
@@ -75,14 +73,14 @@ def score_raters(
 
 
 def score_combined(
-    model: PipelineModel | BoostedModel, ratings: DataFrame, user_col: str | None = None, rating_col: str | None = None
+    model: Model, ratings: DataFrame, user_col: str | None = None, rating_col: str | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Prediction and statistics of all ratings taken as one rater."""
     rated, shown = as_upload(ratings, user_col, rating_col)
     return _results(model, with_status(combined_features(rated), NO_VALID_RATINGS), shown)
 
 
-def _results(model: PipelineModel | BoostedModel, features: DataFrame, shown: str) -> tuple[DataFrame, DataFrame]:
+def _results(model: Model, features: DataFrame, shown: str) -> tuple[DataFrame, DataFrame]:
     tables = apply_model(model, features), score_stats(features)
     return tuple(t.withColumnRenamed("user_id", shown) for t in tables)
 

@@ -73,15 +73,59 @@ def user_statistics(
         levels = discover_levels(df, rating_col)
     clean = _rated(drop_incomplete(df, subset), user_col, rating_col)
     if levels:
-        if not all(math.isfinite(v) for v in levels):
-            raise ValueError("levels must be finite")
-        return _from_levels(clean, user_col, sorted(float(v) for v in levels), features, drop_undefined)
+        return statistics_of_counts(_counted(clean, user_col, _scale(levels)), levels, features, user_col, drop_undefined)
     stats = _from_values(clean, user_col, features)
     return stats.dropna("any") if drop_undefined else stats
 
 
-def _from_levels(
-    clean: DataFrame, user_col: str, levels: list[float], features: Sequence[str], drop_undefined: bool
+def _scale(levels: Sequence[float]) -> list[float]:
+    if not all(math.isfinite(v) for v in levels):
+        raise ValueError("levels must be finite")
+    return sorted(float(v) for v in levels)
+
+
+def _count_names(levels: Sequence[float]) -> list[str]:
+    return [f"_n{i}" for i in range(len(levels))]
+
+
+def _counted(clean: DataFrame, user_col: str, levels: list[float]) -> DataFrame:
+    """``_n`` and the number of each level for every rater; a rating off the scale stops the job."""
+    counts = _count_names(levels)
+    grouped = clean.groupBy(user_col).agg(
+        F.count(F.lit(1)).alias("_n"),
+        *[F.expr(f"count_if(_rating = {v!r}D) AS {c}") for v, c in zip(levels, counts)],
+    )
+    off_scale = f"raise_error('rating outside the declared levels {levels}')"
+    return grouped.filter(f"CASE WHEN {' + '.join(counts)} = _n THEN true ELSE {off_scale} END")
+
+
+def level_counts(
+    df: DataFrame,
+    levels: Sequence[float],
+    user_col: str = "user_id",
+    rating_col: str = "rating",
+    subset: Sequence[str] | None = None,
+) -> DataFrame:
+    """What all statistics of a rater follow from, and what adds up over deliveries: its ratings on each level.
+
+    One narrow row for each rater, however many ratings it has: ``_n`` and ``_n0``, ``_n1``, ... by ascending level.
+    """
+    require_columns(df, [user_col, rating_col])
+    return _counted(_rated(drop_incomplete(df, subset), user_col, rating_col), user_col, _scale(levels))
+
+
+def add_counts(tables: Sequence[DataFrame], user_col: str = "user_id") -> DataFrame:
+    """The level counts of several deliveries as those of all their ratings."""
+    every = reduce(DataFrame.unionByName, tables)
+    return every.groupBy(user_col).agg(*[F.sum(c).alias(c) for c in every.columns if c != user_col])
+
+
+def statistics_of_counts(
+    counted: DataFrame,
+    levels: Sequence[float],
+    features: Sequence[str] = STATISTICS,
+    user_col: str = "user_id",
+    drop_undefined: bool = True,
 ) -> DataFrame:
     """Statistics from level counts alone.
 
@@ -89,14 +133,8 @@ def _from_levels(
     wide scale, and only whole numbers are shuffled. Undefined raters are recognised by their
     counts: a filter on the finished formulas would be pushed below them and repeat them.
     """
-    values = [f"{v!r}D" for v in levels]
-    counts = [f"_n{i}" for i in range(len(levels))]
-    grouped = clean.groupBy(user_col).agg(
-        F.count(F.lit(1)).alias("_n"),
-        *[F.expr(f"count_if(_rating = {v}) AS {c}") for v, c in zip(values, counts)],
-    )
-    off_scale = f"raise_error('rating outside the declared levels {levels}')"
-    checked = grouped.filter(f"CASE WHEN {' + '.join(counts)} = _n THEN true ELSE {off_scale} END")
+    levels = _scale(levels)
+    values, counts, checked = [f"{v!r}D" for v in levels], _count_names(levels), counted
     largest = f"greatest({', '.join(counts)})" if len(counts) > 1 else counts[0]
     varied = f"{largest} < _n"
     if drop_undefined and {"kurtosis_rating", "skewness_rating"} & set(features):

@@ -19,10 +19,15 @@ from .boosting import BoostedModel, BoostedTrees, score_many
 from .classifiers import Builder
 from .cleaning import is_number
 from .evaluation import mean_fold_auc, roc_auc
+from .kernel import KernelModel, KernelSvm
 from .knn import knn_classify
 from .splits import learning_subsets
 
 ROWS_PER_PARTITION = 100_000
+# Estimators that fit the models of all folds together, and their models.
+Together = BoostedTrees | KernelSvm
+NativeModel = BoostedModel | KernelModel
+Model = PipelineModel | NativeModel
 
 
 @dataclass(frozen=True)
@@ -59,14 +64,14 @@ def prepare_folds(
     return FoldedTable(narrow.coalesce(wanted), rows)
 
 
-def score_column(model: PipelineModel | BoostedModel, columns: Sequence[str]):
+def score_column(model: Model, columns: Sequence[str]):
     """Probability of class 1, or the margin for models without probabilities."""
-    if isinstance(model, BoostedModel):
+    if isinstance(model, NativeModel):
         return F.col("score")
     return vector_to_array("probability" if "probability" in columns else "rawPrediction")[1]
 
 
-def _scored(model: PipelineModel | BoostedModel, rows: DataFrame, user_col: str, label: str) -> DataFrame:
+def _scored(model: Model, rows: DataFrame, user_col: str, label: str) -> DataFrame:
     out = model.transform(rows)
     return out.select(
         user_col,
@@ -91,22 +96,20 @@ def _training_rows(table: FoldedTable, label: str, fold: str, features: Sequence
     """Each row once for every fold that it helps to train."""
     folds = F.array(*[F.lit(f).cast("int") for f in sorted(table.fold_rows)])
     rows = table.df.withColumn("held_out", F.explode(folds)).filter(F.col("held_out") != F.col(fold))
-    return rows.select(F.col(label).alias("label"), *features, "held_out", F.lit(1).alias("first_step"))
+    return rows.select(F.col(label).alias("label"), *features, "held_out")
 
 
 def fit_folds(
     table: FoldedTable,
-    build: Builder | BoostedTrees,
+    build: Builder | Together,
     features: Sequence[str] = CORE_FEATURES,
     label: str = "ai_label",
     fold: str = "fold",
     parallelism: int = 3,
-) -> dict[int, PipelineModel | BoostedModel]:
-    """One model per fold, trained on the other folds: boosted trees all together, others in driver threads."""
-    if isinstance(build, BoostedTrees):
-        rows = _training_rows(table, label, fold, features)
-        models = build.fit_many(rows, features, sorted(table.fold_rows), 1, table.n_rows)
-        return {held_out: model for (held_out, _), model in models.items()}
+) -> dict[int, Model]:
+    """One model per fold, trained on the other folds: all together where the estimator can, else in driver threads."""
+    if isinstance(build, Together):
+        return build.fit_together(_training_rows(table, label, fold, features), features, sorted(table.fold_rows), table.n_rows)
 
     def fit(held_out: int) -> tuple[int, PipelineModel]:
         pipeline = build(label, features, table.n_rows - table.fold_rows[held_out])
@@ -117,7 +120,7 @@ def fit_folds(
 
 def out_of_fold(
     table: FoldedTable,
-    models: Mapping[int, PipelineModel | BoostedModel],
+    models: Mapping[int, Model],
     name: str,
     label: str = "ai_label",
     user_col: str = "user_id",
@@ -134,7 +137,7 @@ def out_of_fold(
 
 
 def cross_validate(
-    table: FoldedTable, build: Builder | BoostedTrees, name: str, parallelism: int = 3, **columns
+    table: FoldedTable, build: Builder | Together, name: str, parallelism: int = 3, **columns
 ) -> DataFrame:
     """Fit on all folds and return the out-of-fold scores."""
     features = columns.pop("features", CORE_FEATURES)
@@ -298,10 +301,10 @@ def curve_areas(scored: DataFrame) -> DataFrame:
 
 
 def final_fit(
-    table: FoldedTable, build: Builder | BoostedTrees, features: Sequence[str] = CORE_FEATURES, label: str = "ai_label"
-) -> PipelineModel | BoostedModel:
+    table: FoldedTable, build: Builder | Together, features: Sequence[str] = CORE_FEATURES, label: str = "ai_label"
+) -> Model:
     """The model trained on every row."""
-    if isinstance(build, BoostedTrees):
-        rows = table.df.select(F.col(label).alias("label"), *features, F.lit(-1).alias("held_out"), F.lit(1).alias("first_step"))
-        return build.fit_many(rows, features, [-1], 1, table.n_rows)[-1, 1]
+    if isinstance(build, Together):
+        rows = table.df.select(F.col(label).alias("label"), *features, F.lit(-1).alias("held_out"))
+        return build.fit_together(rows, features, [-1], table.n_rows)[-1]
     return build(label, features, table.n_rows).fit(table.df)

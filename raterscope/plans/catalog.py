@@ -268,6 +268,16 @@ def q_user_stats(spark, folder):
     return _rounded(statistics.user_statistics(ratings, levels=views.LEVELS), *STATISTICS)
 
 
+@_query
+def q_user_stats_deliveries(spark, folder):
+    """Statistics from the level counts of two deliveries, each counted by itself."""
+    ratings = views.ratings_by_supplier(spark, folder)
+    halves = [ratings.filter(F.pmod(F.xxhash64("movie_id"), F.lit(2)) == i) for i in (0, 1)]
+    counts = [statistics.level_counts(half, views.LEVELS) for half in halves]
+    found = statistics.statistics_of_counts(statistics.add_counts(counts), views.LEVELS)
+    return _rounded(found, *STATISTICS)
+
+
 @_query
 def q_user_stats_general(spark, folder):
     ratings = views.ratings_by_customer(spark, folder, titles=False)
@@ -435,22 +445,19 @@ def q_knn(spark, folder):
     return _rounded(scored.select("fold", "user_id", "prediction", "score"), "score")
 
 
-def _checked(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
+def _checked(scored: DataFrame) -> DataFrame:
     """Out-of-fold rows with what must hold of every score.
 
-    ``agrees``: the prediction is the side of the threshold on which the score lies. ``bounded``: the
-    score is a probability, or, for margins, a finite number. The fitted values themselves differ
-    between libraries and have no SQL form; ``tests/test_models.py`` checks them.
+    ``agrees``: the prediction is the side of a half on which the score lies. ``bounded``: the score is a
+    probability. The fitted values themselves have no SQL form; ``tests`` checks them against plain versions.
     """
     score = F.col("score")
-    bounded = score.between(0.0, 1.0) if threshold else ~F.isnan(score) & (F.abs(score) < float("inf"))
-    agrees = F.col("prediction") == (score > threshold).cast("double")
-    return scored.select("model", "fold", "user_id", "label", agrees.alias("agrees"), bounded.alias("bounded"))
+    agrees = F.col("prediction") == (score > 0.5).cast("double")
+    return scored.select("model", "fold", "user_id", "label", agrees.alias("agrees"), score.between(0.0, 1.0).alias("bounded"))
 
 
-def _one_model(spark, folder, name, threshold=0.5):
-    scored = validation.cross_validate(_table(spark, folder), _builders()[name], name, _FITS_AT_ONCE)
-    return _checked(scored, threshold)
+def _one_model(spark, folder, name):
+    return _checked(validation.cross_validate(_table(spark, folder), _builders()[name], name, _FITS_AT_ONCE))
 
 
 @_query
@@ -467,7 +474,7 @@ def q_rf_oof(spark, folder):
 
 @_query
 def q_svm_oof(spark, folder):
-    return _one_model(spark, folder, "support_vectors", 0.0)
+    return _one_model(spark, folder, "support_vectors")
 
 
 @_query

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 
@@ -133,6 +134,59 @@ def statistics_table(
     return activity.summarise_output(readers.read_upload_csv(spark, out))
 
 
+def add_delivery(
+    spark: SparkSession,
+    ratings_path: str,
+    state: str,
+    delivery: str,
+    levels: Sequence[float] = (1, 2, 3, 4, 5),
+    synthetic: bool = False,
+    rejects: str | None = None,
+) -> DataFrame:
+    """Add one more ratings file to a folder of level counts; returns raters and ratings of the delivery.
+
+    Only the new file is read. Its counts are written aside and then renamed to ``delivery=<name>``, in one step of the file
+    system: a run that ends before leaves nothing that a reader sees, and is repeated. A delivery that is there already is
+    not counted again. The scale is kept beside the counts, and another one is refused.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    place = path(f"{state.rstrip('/')}/delivery={delivery}")
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(place):
+        with intermediate_tables(spark):
+            ratings = _ratings(spark, ratings_path, rejects, SYNTHETIC_RATINGS if synthetic else RATINGS)
+            counted = statistics.level_counts(ratings, levels).withColumn("levels", F.array(*[F.lit(float(v)) for v in sorted(levels)]))
+            aside = f"{state.rstrip('/')}/_adding-{uuid.uuid4().hex}"
+            writers.write_parquet(counted, aside)
+        if not files.rename(path(aside), place):
+            files.delete(path(aside), True)
+            if not files.exists(place):
+                raise OSError(f"{aside} could not be renamed to {place}")
+    else:
+        _LOG.warning("delivery %s is counted already", delivery)
+    added = spark.read.parquet(place.toString())
+    return added.agg(F.count(F.lit(1)).alias("n_users"), F.coalesce(F.sum("_n"), F.lit(0)).alias("n_rows"))
+
+
+def delivered_statistics(
+    spark: SparkSession,
+    state: str,
+    out: str,
+    levels: Sequence[float] = (1, 2, 3, 4, 5),
+    features: Sequence[str] = STATISTICS,
+) -> DataFrame:
+    """Rater statistics of all deliveries in a folder of ``add_delivery``; returns rows and users written. Reads counts, no ratings."""
+    counted = spark.read.parquet(state)
+    scale = [float(v) for v in sorted(levels)]
+    others = counted.select("levels").distinct().limit(2).collect()
+    if any(list(row["levels"]) != scale for row in others):
+        raise ValueError(f"the deliveries were counted on another scale than {scale}")
+    names = ["user_id", "_n", *[f"_n{i}" for i in range(len(scale))]]
+    found = statistics.statistics_of_counts(statistics.add_counts([counted.select(*names)]), scale, features)
+    writers.write_csv(found, out)
+    return activity.summarise_output(readers.read_upload_csv(spark, out))
+
+
 def labelled_table(
     spark: SparkSession,
     human_path: str,
@@ -175,7 +229,7 @@ def train(
     models_folder: str,
     rounds: int = 100,
     trees: int = 100,
-    svm_iterations: int = 100,
+    svm_iterations: int = 20,
     folds: int = 6,
     seed: int = 42,
     curve_steps: int = 10,

@@ -272,6 +272,7 @@ def oracle_sql() -> dict[str, str]:
         "q_parse_responses": f"WITH {_answer_lines()} SELECT movie, user_id, movie_id, temperature, rating FROM n WHERE rating IS NOT NULL",
         "q_parse_audit": f"WITH {_answer_lines()} SELECT {_status()} AS status, count(*) AS n FROM n GROUP BY 1",
         "q_user_stats": f"WITH {_stats(_SUPPLIER, 'u')} SELECT user_id, {_ROUNDED_STATISTICS} FROM u",
+        "q_user_stats_deliveries": f"WITH {_stats(_SUPPLIER, 'u')} SELECT user_id, {_ROUNDED_STATISTICS} FROM u",
         "q_user_stats_general": f"WITH {_stats(_CUSTOMER, 'u')} SELECT user_id, {_ROUNDED_STATISTICS} FROM u",
         "q_user_stats_core": f"WITH {_stats(_CUSTOMER, 'u')} SELECT user_id, {', '.join(_r(f) for f in core)} FROM u",
         "q_rating_hist": f"WITH h AS (SELECT user_id, rating, count(*) AS rating_count FROM ({_SUPPLIER}) GROUP BY ALL), "

@@ -8,8 +8,8 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import SparkSession
 
 from ..operators.boosting import BoostedModel
-
-Model = PipelineModel | BoostedModel
+from ..operators.kernel import KernelModel
+from ..operators.validation import Model, NativeModel
 
 
 def model_name(prefix: str = "rater_model", day: date | None = None) -> str:
@@ -20,7 +20,7 @@ def model_name(prefix: str = "rater_model", day: date | None = None) -> str:
 def save_model(model: Model, folder: str, prefix: str = "rater_model", day: date | None = None) -> str:
     """Save under a dated name in ``folder`` and return the path."""
     path = f"{folder.rstrip('/')}/{model_name(prefix, day)}"
-    if isinstance(model, BoostedModel):
+    if isinstance(model, NativeModel):
         model.save(SparkSession.active(), path)
     else:
         model.write().overwrite().save(path)
@@ -28,9 +28,10 @@ def save_model(model: Model, folder: str, prefix: str = "rater_model", day: date
 
 
 def load_model(path: str) -> Model:
-    """Load a model saved by :func:`save_model`: a folder of nodes, or a pipeline."""
-    spark = SparkSession.active()
-    nodes = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/nodes")
-    if nodes.getFileSystem(spark._jsc.hadoopConfiguration()).exists(nodes):
-        return BoostedModel.load(spark, path.rstrip("/"))
+    """Load a model saved by :func:`save_model`: tables of nodes or of kernel terms, or a pipeline."""
+    spark, path = SparkSession.active(), path.rstrip("/")
+    for folder, kind in (("nodes", BoostedModel), ("terms", KernelModel)):
+        place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{folder}")
+        if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+            return kind.load(spark, path)
     return PipelineModel.load(path)

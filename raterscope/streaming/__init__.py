@@ -1 +1 @@
-"""Incremental versions of stages that need no state."""
+"""Incremental versions of stages."""

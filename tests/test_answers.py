@@ -4,7 +4,7 @@ import pytest
 
 from raterscope.functions.text import clean_text, strict_double
 from raterscope.operators import answers, prompts, sampling
-from raterscope.streaming.ingest import ingest_answers
+from raterscope.streaming.ingest import ingest_answers, ingest_ratings
 
 
 def envelope(text, **extra):
@@ -128,3 +128,24 @@ def test_streaming_ingest_reads_only_new_files(spark, tmp_path):
     spark.createDataFrame([(envelope("2"),)], "value string").write.mode("append").text(source)
     ingest_answers(spark, source, out, progress, 1, 5).awaitTermination(120)
     assert spark.read.parquet(out).count() == len(SHAPES) + 1
+
+
+def test_an_answer_that_comes_twice_is_one_rating(spark, tmp_path):
+    source, out, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+
+    def deliver(*texts):
+        spark.createDataFrame([(t,) for t in texts], "value string").coalesce(1).write.mode("append").text(source)
+
+    def line(user, movie, text):
+        return json.dumps({"user_id": user, "movie_id": movie, "response": {"candidates": [{"content": {"parts": [{"text": text}]}}]}})
+
+    first = [line(1, 1, "4"), line(1, 2, "5"), line(2, 1, "no"), line(1, 1, "4"), "{broken"]
+    deliver(*first)
+    ingest_ratings(spark, source, out, progress, 1, 5).awaitTermination(120)
+    # The same file once more, a retried request with another answer, and one that had given none.
+    deliver(*first)
+    deliver(line(1, 2, "1"), line(2, 1, "3"))
+    ingest_ratings(spark, source, out, progress, 1, 5).awaitTermination(120)
+    ingest_ratings(spark, source, out, progress, 1, 5).awaitTermination(120)
+    found = spark.read.parquet(out).select("user_id", "movie_id", "rating").collect()
+    assert sorted(map(tuple, found)) == [(1, 1, 4.0), (1, 2, 5.0), (2, 1, 3.0)]

@@ -209,3 +209,36 @@ def test_rows_without_a_rating_are_ignored_in_both_plans(ratings):
 def test_histogram_reads_and_shuffles_the_ratings_once(ratings):
     plan = S.rating_histogram(ratings({1: [1, 1, 2]}))._jdf.queryExecution().toString()
     assert "LocalTableScan" not in plan and "LogicalRDD" not in plan  # only the written counts are read
+
+
+def test_counts_of_deliveries_add_up(spark, ratings, tmp_path, monkeypatch):
+    import random
+
+    from raterscope.operators import statistics
+    from raterscope.plans import jobs
+    from raterscope.sources import readers, writers
+
+    draw = random.Random(1)
+    by_user = {u: [draw.randint(1, 5) for _ in range(draw.randint(1, 30))] for u in range(40)}
+    halves = [{u: r[: len(r) // 2] for u, r in by_user.items()}, {u: r[len(r) // 2 :] for u, r in by_user.items()}]
+    state = str(tmp_path / "state")
+    for i, half in enumerate(halves):
+        writers.write_csv(ratings(half), str(tmp_path / f"r{i}"))
+    jobs.add_delivery(spark, str(tmp_path / "r0"), state, "a")
+    # A run that ends between its write and its commit leaves nothing, and is repeated.
+    with monkeypatch.context() as broken:
+        broken.setattr(writers, "write_parquet", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):
+            jobs.add_delivery(spark, str(tmp_path / "r1"), state, "b")
+    ratings(halves[1]).write.parquet(f"{state}/_adding-left-behind")
+    for _ in range(2):
+        added = jobs.add_delivery(spark, str(tmp_path / "r1"), state, "b").first()
+        assert added["n_rows"] == sum(map(len, halves[1].values()))
+    jobs.delivered_statistics(spark, state, str(tmp_path / "out"))
+    whole = statistics.user_statistics(ratings(by_user), levels=[1, 2, 3, 4, 5])
+    found = {r["user_id"]: tuple(r)[1:] for r in readers.read_stats_csv(spark, str(tmp_path / "out")).collect()}
+    wanted = {r["user_id"]: tuple(r)[1:] for r in whole.collect()}
+    assert found.keys() == wanted.keys()
+    assert all(found[u] == pytest.approx(wanted[u], abs=1e-9) for u in wanted)
+    with pytest.raises(ValueError, match="another scale"):
+        jobs.delivered_statistics(spark, state, str(tmp_path / "no"), levels=[1, 2, 3])
