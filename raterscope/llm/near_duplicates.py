@@ -14,7 +14,8 @@ So there are many: documents that could be linked are brought together in famili
    ``n - required overlap + 1`` n-grams, in any order that is the same for all. The order here is by
    rarity among the n-grams of the lowest hashes, and then by hash, so that
    passages in very many documents come last and link next to nobody. Those that a small sample
-   shows to be popular come last uncounted, so that no task gathers them.
+   shows to be popular come last uncounted: every task knows them, so a node is joined to the first of those in
+   its prefix, and these to each other in a chain, and no task gathers their nodes.
 3. Nodes that share such an n-gram are one family (connected components of a star at each n-gram).
    A link cannot cross families.
 4. Families are searched in blocks of bounded size. First every block of a family is searched
@@ -54,6 +55,8 @@ _LEAF = 16
 BLOCK = 128
 # Rows of the sample that tells which n-grams are popular.
 SAMPLE_ROWS = 4000
+# Popular n-grams that are sent to every task at most.
+POPULAR = 1_000_000
 # Rows of block, node, side and id (some 40 bytes each) that are sent to every executor at most.
 SENT_ROWS = 500_000
 _SLICE_BYTES = 1 << 20
@@ -73,23 +76,91 @@ def _low_share(percent: int) -> float:
     return min(1.0, 1.5 * (100 - percent) / 100 + 0.1)
 
 
-def _sets(width: int, percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, set size, node (hash of the set) and the n-grams that may stand in its prefix."""
+def _node(own: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(own.tobytes(), seed=len(own)) - (1 << 63)
+
+
+def _candidates(own: np.ndarray, percent: int) -> np.ndarray:
+    """The n-grams of a set that may stand in its prefix: those of the lowest hashes."""
     limit = np.uint64(min(int(_low_share(percent) * 2**64), 2**64 - 1))
+    return own[: max(_prefix_length(len(own), percent), int(np.searchsorted(own, limit)))]
+
+
+class _Once:
+    """Tells what a task meets for the first time, as far as it remembers; the shuffle finds the rest."""
+
+    def __init__(self, most: int = 100_000):
+        self.seen: set = set()
+        self.most = most
+
+    def __call__(self, value) -> bool:
+        if value in self.seen:
+            return False
+        if len(self.seen) >= self.most:
+            self.seen.clear()
+        self.seen.add(value)
+        return True
+
+
+def _sets(width: int, percent: int, share: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, set size, node (hash of the set); and for a share of the nodes the n-grams that may stand in its prefix."""
+    border, fresh = int(share * (1 << 30)), _Once()
     for batch in slices(batches, "text", _SLICE_BYTES):
         values, offsets = shingle_sets(byte_texts(batch.column(1)), width)
-        sizes, nodes, parts = [], [], []
+        sizes, nodes, grams = [], [], []
         for begin, end in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
             own = values[begin:end]
-            n = end - begin
-            sizes.append(n)
-            nodes.append(None if not n else xxhash.xxh3_64_intdigest(own.tobytes(), seed=n) - (1 << 63))
-            parts.append(own[: max(_prefix_length(n, percent), int(np.searchsorted(own, limit)))] if n else own)
-        flat = np.concatenate([np.zeros(0, np.uint64), *parts]).view(np.int64)
-        ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-        grams = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+            sizes.append(end - begin)
+            nodes.append(_node(own) if len(own) else None)
+            drawn = len(own) and nodes[-1] % (1 << 30) < border and fresh(nodes[-1])
+            grams.append(_candidates(own, percent).view(np.int64) if drawn else None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), grams], ["id", "n", "node", "grams"]
+            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(grams, pa.list_(pa.int64()))],
+            ["id", "n", "node", "grams"],
+        )
+
+
+# What a row of ``_prefixes`` says: a rare n-gram (key) may stand in the prefix of a node (value); two vertices,
+# nodes or popular n-grams, belong to one family; a node's prefix has room for so many more than its rare n-grams.
+_RARE, _EDGE, _ROOM = 0, 1, 2
+
+
+def _prefixes(width: int, percent: int, popular: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Key, value and kind for every set.
+
+    Popular n-grams come last in the order, so how many of them the prefix takes in is known here. They
+    are joined in a chain, and the node to the first of them: the chain says as much as an edge to each.
+    """
+    fresh, fresh_edge = _Once(), _Once(1_000_000)
+    for batch in slices(batches, "text", _SLICE_BYTES):
+        values, offsets = shingle_sets(byte_texts(batch.column(0)), width)
+        keys, others, edges, rooms = [], [], [], []
+        for begin, end in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            own = values[begin:end]
+            if not len(own) or not fresh(node := _node(own)):
+                continue
+            grams = _candidates(own, percent)
+            if len(popular):
+                at = np.minimum(np.searchsorted(popular, grams), len(popular) - 1)
+                known = popular[at] == grams
+                rare, common = grams[~known], grams[known]
+            else:
+                rare, common = grams, grams[:0]
+            room = _prefix_length(len(own), percent) - len(rare)
+            chain = [node, *common[: max(room, 0)].view(np.int64).tolist()]
+            edges += [edge for edge in zip(chain, chain[1:]) if fresh_edge(edge)]
+            rooms.append((node, room))
+            keys.append(rare.view(np.int64))
+            others.append(np.full(len(rare), node, np.int64))
+        counts = [sum(map(len, keys)), len(edges), len(rooms)]
+        pairs = np.array(edges + rooms, np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.concatenate([*keys, pairs[:, 0]])),
+                pa.array(np.concatenate([*others, pairs[:, 1]])),
+                pa.array(np.repeat(np.array([_RARE, _EDGE, _ROOM], np.int8), counts)),
+            ],
+            ["key", "value", "kind"],
         )
 
 
@@ -146,24 +217,15 @@ def links(nodes: list[int], sets: list[np.ndarray], sides: list[int], percent: i
 
 
 def _search(width: int, percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links within each block; rows come sorted by block: block, node, side, text."""
+    """Links within each block; rows come sorted by block and node: block, node, side, text."""
     held: tuple[list, list, list] = ([], [], [])
     block = None
 
     def found() -> pa.RecordBatch:
         nodes, sides, texts = held
-        kept_nodes, kept_sets, kept_sides, seen = [], [], [], set()
         values, offsets = shingle_sets(texts, width)
-        for i, node in enumerate(nodes):
-            own = values[offsets[i] : offsets[i + 1]]
-            # The text of another row that shares the id is not this node's.
-            if (node, sides[i]) in seen or xxhash.xxh3_64_intdigest(own.tobytes(), seed=len(own)) - (1 << 63) != node:
-                continue
-            seen.add((node, sides[i]))
-            kept_nodes.append(node)
-            kept_sets.append(own)
-            kept_sides.append(sides[i])
-        pairs = links(kept_nodes, kept_sets, kept_sides, percent) if len(kept_nodes) > 1 else []
+        sets = [values[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        pairs = links(nodes, sets, sides, percent) if len(nodes) > 1 else []
         return pa.RecordBatch.from_arrays(
             [pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], ["a", "b"]
         )
@@ -175,6 +237,9 @@ def _search(width: int, percent: int, batches: Iterator[pa.RecordBatch]) -> Iter
                 yield found()
                 held = ([], [], [])
             block = key
+            # Another copy of the same text.
+            if held[0] and held[0][-1] == node and held[1][-1] == side:
+                continue
             held[0].append(node)
             held[1].append(side)
             held[2].append(text)
@@ -182,55 +247,71 @@ def _search(width: int, percent: int, batches: Iterator[pa.RecordBatch]) -> Iter
         yield found()
 
 
+def _with_node(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, text and node of each text that is the task's first of its id and node."""
+    fresh = _Once()
+    for batch in slices(batches, "text", _SLICE_BYTES):
+        values, offsets = shingle_sets(byte_texts(batch.column(1)), width)
+        sets = [values[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        nodes = [_node(own) if len(own) else None for own in sets]
+        first = [node is not None and fresh((i, node)) for i, node in zip(batch.column(0).to_pylist(), nodes, strict=True)]
+        made = pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.int64())], ["id", "text", "node"])
+        yield made.filter(pa.array(first, pa.bool_()))
+
+
 def _links_of(rows: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Verified links of ``rows`` (block, node, side, id), which meet their texts here. Runs jobs.
 
     Few documents are in families. Up to a stated number of rows they are sent to the texts, so that
-    only their texts are shuffled; beyond it both sides are dealt out by id.
+    only their texts are hashed and shuffled; beyond it both sides are dealt out by id and node. A null id is
+    an id like others here.
     """
-    rows = cut_lineage(rows.select("block", "node", "side", "id"))
+    rows = cut_lineage(rows.select("block", "node", "side", F.col("id").alias("of")))
     n = rows.count()
     if not n:
         return rows.select(F.col("node").alias("a"), F.col("node").alias("b"))
-    sent = F.broadcast(rows) if n <= SENT_ROWS else rows.hint("merge")
-    fetched = texts.join(sent, "id").select("block", "node", "side", "text")
-    dealt = fetched.repartition("block").sortWithinPartitions("block")
+    few = n <= SENT_ROWS
+    if few:
+        texts = texts.join(F.broadcast(rows.select("of").distinct()), F.col("id").eqNullSafe(F.col("of")), "left_semi")
+    id_type = texts.schema["id"].dataType.simpleString()
+    named = texts.mapInArrow(partial(_with_node, width), f"id {id_type}, text string, node long").withColumnRenamed("node", "own")
+    sent = F.broadcast(rows) if few else rows.hint("merge")
+    fetched = named.join(sent, F.col("id").eqNullSafe(F.col("of")) & (F.col("own") == F.col("node")))
+    dealt = fetched.select("block", "node", "side", "text").repartition("block").sortWithinPartitions("block", "node", "side")
     return cut_lineage(dealt.mapInArrow(partial(_search, width, percent), "a long, b long"))
 
 
-def _popular(grams: DataFrame) -> DataFrame:
-    """N-grams in at least one of a hundred sets of a sample: at most some 100 for each n-gram of a set.
+def _popular(sets: DataFrame) -> np.ndarray:
+    """N-grams in at least one of a hundred sets of a sample: at most some 100 for each n-gram of a set, and ``POPULAR``.
 
-    They only settle the order of n-grams, so the sample decides how fast the search is, not what it finds. Runs jobs.
+    They only settle the order of n-grams, so the sample decides how fast the search is, not what it finds. Runs a job.
     """
-    share = min(1.0, SAMPLE_ROWS / max(grams.count(), 1))
-    drawn = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) < int(share * (1 << 30))
-    each = grams.filter(F.col("node").isNotNull() & drawn).select("node", F.explode("grams").alias("gram")).distinct()
-    counts = each.groupBy("gram").agg(F.count(F.lit(1)).alias("c"))
-    return cut_lineage(counts.filter(F.col("c") >= SAMPLE_ROWS // 100).select("gram"))
-
-
-def _families(grams: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """node and family of all nodes that share an n-gram of their prefixes with another. Runs jobs."""
-    each = grams.filter("node is not null").select("node", F.explode("grams").alias("gram"))
-    popular = F.broadcast(_popular(grams))
-    rare = each.join(popular, "gram", "left_anti")
-    # Copies of a set fall together where their n-grams meet; what is counted are sets.
-    rare = rare.repartition("gram").groupBy("gram", "node").agg(F.lit(1).alias("one")).drop("one")
-    counted = rare.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("gram")))
-    # Popular n-grams stand last in the order, uncounted: they never meet in one task.
-    common = each.join(popular, "gram", "left_semi").distinct().withColumn("k", F.lit(1 << 62))
-    shared = cut_lineage(counted.filter("k > 1").unionByName(common.select("gram", "node", "k")))
+    each = sets.filter("grams is not null").select("node", F.explode("grams").alias("gram")).distinct()
+    counts = each.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= SAMPLE_ROWS // 100)
+    found = counts.orderBy(F.desc("c"), "gram").limit(POPULAR).select("gram").toArrow().column("gram").to_numpy()
+    return np.sort(found.astype(np.int64).view(np.uint64))
+
+
+def _families(texts: DataFrame, popular: np.ndarray, width: int, percent: int) -> DataFrame:
+    """Vertices (node) and family (root) of all nodes that share an n-gram of their prefixes with another. Runs jobs."""
+    each = texts.select("text").mapInArrow(partial(_prefixes, width, percent, popular), "key long, value long, kind byte")
+    # Copies of a set fall together where their n-grams meet; what is counted are sets. Nothing is written before.
+    each = each.repartition("key").groupBy("key", "value", "kind").agg(F.lit(1).alias("one")).drop("one")
+    counted = each.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("key", "kind")))
+    shared = cut_lineage(counted.filter((F.col("kind") != _RARE) | (F.col("k") > 1)))
     by_node = Window.partitionBy("node")
-    ranked = shared.withColumns(
+    rare = shared.filter(F.col("kind") == _RARE).select(F.col("key").alias("gram"), F.col("value").alias("node"), "k")
+    ranked = rare.withColumns(
         {"rank": F.row_number().over(by_node.orderBy("k", "gram")), "n_shared": F.count(F.lit(1)).over(by_node)}
     )
     # Unshared n-grams come first in the order: what they leave of the prefix is filled with shared ones.
-    room = F.col("prefix") - (F.col("n_grams") - F.col("n_shared"))
-    kept = cut_lineage(ranked.join(nodes, "node").filter(F.col("rank") <= room).select("gram", "node"))
+    rooms = shared.filter(F.col("kind") == _ROOM).select(F.col("key").alias("node"), F.col("value").alias("room"))
+    kept = ranked.join(rooms, "node").filter(F.col("rank") <= F.col("room") + F.col("n_shared"))
+    kept = cut_lineage(kept.select("gram", "node"))
     hubs = cut_lineage(kept.groupBy("gram").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("c")).filter("c > 1"))
     edges = kept.join(hubs, "gram").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    return connected_components(edges.distinct()).withColumnRenamed("root", "family")
+    chained = shared.filter(F.col("kind") == _EDGE).select(F.col("key").alias("a"), F.col("value").alias("b"))
+    return connected_components(edges.unionByName(chained).distinct())
 
 
 def _block(*parts: Column | str) -> Column:
@@ -309,15 +390,15 @@ def _resolved(docs: DataFrame, width: int, percent: int, id_col: str, text_col:
         raise ValueError("percent must be within 1 to 100, and width at least 1")
     id_type = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
+    share = min(1.0, SAMPLE_ROWS / max(texts.count(), 1))
     schema = f"id {id_type}, n long, node long, grams array<long>"
-    sets = cut_lineage(texts.mapInArrow(partial(_sets, width, percent), schema))
-    nodes = sets.filter("node is not null").groupBy("node").agg(
-        F.min("id").alias("id"), F.max("n").alias("n"), F.max(F.size("grams")).alias("n_grams")
-    )
-    nodes = cut_lineage(nodes.withColumn("prefix", F.expr(f"n - (({percent} * n + 99) div 100) + 1")))
-    families = _families(sets, nodes.select("node", "n_grams", "prefix"), percent)
-    sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
-    members = cut_lineage(families.join(nodes.select("node", "id", "n"), "node").join(cut_lineage(sizes), "family"))
+    sets = cut_lineage(texts.mapInArrow(partial(_sets, width, percent, share), schema))
+    popular = _popular(sets)
+    nodes = cut_lineage(sets.filter("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.max("n").alias("n")))
+    # Without the n-grams among the vertices; a family goes by its smallest node.
+    found = cut_lineage(_families(texts, popular, width, percent).join(nodes, "node"))
+    anchors = found.groupBy("root").agg(F.min("node").alias("family"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    members = cut_lineage(found.join(cut_lineage(anchors), "root").drop("root"))
     first = _links_of(_first_blocks(members), texts, width, percent)
     parts = connected_components(first)
     large = members.filter(F.col("size") > BLOCK)
@@ -347,7 +428,7 @@ def _with_nodes(width: int, place: int, batches: Iterator[pa.RecordBatch]) -> It
     for batch in slices(batches, f"c{place}", _SLICE_BYTES):
         values, offsets = shingle_sets(byte_texts(batch.column(place).cast(pa.string())), width)
         sets = [values[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-        nodes = [xxhash.xxh3_64_intdigest(own.tobytes(), seed=len(own)) - (1 << 63) if len(own) else None for own in sets]
+        nodes = [_node(own) if len(own) else None for own in sets]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.int64())], [*batch.schema.names, "node"])
 
 

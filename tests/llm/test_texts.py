@@ -99,6 +99,51 @@ def test_small_blocks_lose_no_link(spark, monkeypatch):
     assert got == brute.components(rows, 3, 90)
 
 
+@pytest.mark.parametrize("sent_rows", [500_000, 0])
+def test_links_over_rows_without_an_id(spark, monkeypatch, sent_rows):
+    """1 and 3 are linked over the middle only, whose id is null; both ways of fetching texts see it."""
+    monkeypatch.setattr(near_duplicates, "SENT_ROWS", sent_rows)
+    words = [f"w{i}" for i in range(200)]
+    chain = [words[:], words[:], words[:]]
+    chain[1][:3] = ["x1", "x2", "x3"]
+    chain[2][:3] = ["x1", "x2", "x3"]
+    chain[2][-4:] = ["y1", "y2", "y3", "y4"]
+    rows = [(i, " ".join(w)) for i, w in zip((1, None, 3), chain)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    direct = brute.components([(1, rows[0][1]), (3, rows[2][1])], 3, 94)
+    assert {c for _, _, c in direct} == {1, 3}
+    assert {(r["doc_id"], r["component_id"]) for r in near_duplicates.components(docs, 3, 94).collect()} == {(1, 1), (None, 1), (3, 1)}
+    more = docs.unionByName(spark.createDataFrame([(i, t) for i, t in near_copies()], docs.schema))
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_duplicates.components(more, 3, 94).filter("doc_id > 3").collect()}
+    assert got == {r for r in brute.components(near_copies(), 3, 94) if r[0] > 3}
+
+
+def test_one_id_with_a_third_of_all_rows(spark):
+    near = [(i, t) for i, t in near_copies() if i > 3]
+    rows = near + [(7, t) for _, t in near[:: 2]] + [(8, near[0][1])] * 300
+    got = near_duplicates.components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()
+    assert len(got) == len(rows)
+    # Every row apart, to know which are linked; then each group goes by its smallest id.
+    apart = {i: c for i, _, c in brute.components([(10_000 + i, t) for i, (_, t) in enumerate(rows)], 3, 90)}
+    least = {}
+    for place, (own, _) in enumerate(rows):
+        group = apart[10_000 + place]
+        least[group] = min(own, least.get(group, own))
+    wanted = Counter((own, least[apart[10_000 + place]]) for place, (own, _) in enumerate(rows))
+    assert Counter((r["doc_id"], r["component_id"]) for r in got) == wanted
+
+
+def test_popular_openings_lose_no_link(spark, monkeypatch):
+    """All n-grams of the opening are popular, so some prefixes consist of them."""
+    monkeypatch.setattr(near_duplicates, "SAMPLE_ROWS", 500)
+    random.seed(4)
+    opening = " ".join(f"o{i}" for i in range(60))
+    rows = [(i, opening + " " + " ".join(random.choice("abcdefgh") * 3 for _ in range(random.choice([0, 2, 4])))) for i in range(400)]
+    rows += [(500 + i, f"{opening} " + " ".join(f"u{i} v{j}" for j in range(30))) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(r) for r in near_duplicates.components(docs, 3, 90).collect()} == brute.components(rows, 3, 90)
+
+
 def test_awkward_components(awkward, empty):
     rows = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_duplicates.components(awkward, 3, 90).collect()}
     assert {(2, 0, 2), (3, 0, 3), (10, 0, 10), (8, 1, 8), (None, 0, None)} <= rows
