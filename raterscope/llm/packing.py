@@ -24,9 +24,10 @@ import os
 import re
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,19 +40,28 @@ from .text import slices
 CAPACITY = 2048
 END_ID = 0
 _SLICE_BYTES = 1 << 20
-# Between a letter or digit and punctuation the tokenizer itself splits: a space there changes nothing.
-_PUNCTUATION = re.compile(r"(?<=[^\W_])([.,;:!?]+)(?=\s)")
+# Latin letters below U+0250 stay as they are composed, and their lower case is one letter, but for that of U+0130.
+_LATIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,;:!?]*)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself where it is printable, else the next free one."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 class CachedTokenizer:
     """Token ids of texts from the library, asked once for each distinct stretch without white space.
 
-    Only for tokenizers that drop white space and split at it; their tokens never reach across it. The
-    stretches of recent texts are remembered, and those met again are kept longer; both memories are
-    bounded and begun anew when full.
+    Only for tokenizers that drop white space and split at it; their tokens never reach across it. Latin words, alone or
+    before marks like commas, go to the library's model directly: normalising and splitting leave them whole, but for
+    their lower case. (The one such letter whose lower case is two characters is left to the library, and
+    so is every other stretch.) Stretches are remembered in two generations: when the younger is full it becomes
+    the older one, from which what is met again comes back.
     """
 
-    ENTRIES = 100_000
+    ENTRIES = 120_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -60,50 +70,69 @@ class CachedTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        probe = [self.tokenizer.encode(t, add_special_tokens=False).ids for t in ("a b", " a \n b ", "a\n\nb", "a , b", "a, b")]
+        probe = [self._whole(t) for t in ("a b", " a \n b ", "a\n\nb", "a , b", "a, b")]
         if probe[1:3] != probe[:1] * 2 or probe[3] != probe[4]:
             raise ValueError("this tokenizer keeps white space; stretches between it cannot be asked for alone")
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends_word[[number for token, number in vocabulary.items() if token.endswith("</w>")]] = True
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
+        del self.letters[0x20]
+        words = ["a", "Word", "Straße", "ÀÉîõÜ", "naïveté", "ŁódźŸ", "ǅungla", "x" * 50]
+        whole = [self._whole(w) for w in words]
+        self.bare = self._words(words) == whole and all(self._whole(f"{w},").startswith(ids) for w, ids in zip(words, whole))
         self.kept: dict[str, bytes] = {"": b""}
-        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _words(self, words: Iterable[str]) -> list[bytes]:
+        """Ids of Latin words, straight from the model: spelled in the letters that stand for their bytes."""
+        spelled = " ".join(words).lower().encode().decode("latin-1").translate(self.letters).split(" ")
+        tokenize = self.model.tokenize
+        ids = [[token.id for token in tokenize(word)] for word in spelled]
+        data = np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
+        ends = [0, *accumulate([4 * len(own) for own in ids])]
+        return [data[i:j] for i, j in zip(ends, ends[1:])]
 
     def _asked(self, stretches: list[str]) -> dict[str, bytes]:
-        """Ids of each stretch. Plain words are asked for in one text: each ends with a token that ends a word."""
-        words = [s for s in stretches if s.isalpha() and max(s) < "\u0250"]
+        """Ids of each stretch."""
         found: dict[str, bytes] = {}
-        if words:
-            ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
-            ends = (np.flatnonzero(self.ends_word[ids]) + 1) * 4
-            if len(ends) == len(words):
-                data, places = ids.tobytes(), ends.tolist()
-                found = {w: data[i:j] for w, i, j in zip(words, [0, *places], places)}
-        rest = [s for s in stretches if s not in found]
+        words: dict[str, int] = {}
+        waiting, rest, plain = [], [], _LATIN.fullmatch
+        for stretch in stretches:
+            match = plain(stretch) if self.bare else None
+            if not match:
+                rest.append(stretch)
+                continue
+            word, marks = match.groups()
+            if marks:
+                if marks not in self.marks:
+                    if len(self.marks) > 10_000:
+                        self.marks = {}
+                    self.marks[marks] = self._whole(marks)
+                if ids := self.kept.get(word) or self.older.get(word):
+                    found[stretch] = ids + self.marks[marks]
+                    continue
+            waiting.append((stretch, words.setdefault(word, len(words)), marks))
+        ids = self._words(words) if words else []
+        for stretch, place, marks in waiting:
+            found[stretch] = ids[place] + self.marks[marks] if marks else ids[place]
         for text, encoded in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             found[text] = np.array(encoded.ids, "<u4").tobytes()
         return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        cut = [_PUNCTUATION.sub(r" \1", t).replace("\n", " ").split(" ") for t in texts]
+        cut = [t.replace("\n", " ").split(" ") for t in texts]
         missing = set().union(*cut).difference(self.kept)
-        again = [s for s in missing if s in self.recent]
-        if len(self.kept) + len(again) > self.ENTRIES:
-            self.kept = {"": b""}
-            missing = set().union(*cut).difference(self.kept)
-            again = [s for s in missing if s in self.recent]
-        for stretch in again:
-            self.kept[stretch] = self.recent.pop(stretch)
-        fresh = self._asked(list(missing.difference(again)))
-        if len(self.recent) + len(fresh) > self.ENTRIES:
-            self.recent = {}
-        self.recent |= fresh
-        # While this slice is put together its fresh stretches stand among the kept ones.
-        self.kept |= fresh
-        found = [b"".join(map(self.kept.__getitem__, stretches)) for stretches in cut]
-        for stretch in fresh:
-            del self.kept[stretch]
+        again = missing.intersection(self.older)
+        self.kept.update(zip(again, map(self.older.__getitem__, again)))
+        self.kept |= self._asked(list(missing - again))
+        known = self.kept.__getitem__
+        found = [b"".join(map(known, stretches)) for stretches in cut]
+        if len(self.kept) > self.ENTRIES:
+            self.older, self.kept = self.kept, {"": b""}
         return found
 
 

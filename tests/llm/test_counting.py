@@ -119,3 +119,33 @@ def test_written_shards(spark, tmp_path):
     directory = sharding.write_shards(docs, str(tmp_path / "out"), 1000)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == 500 and back.select("__shard").distinct().count() == directory.count()
+
+
+def test_ids_where_normalising_changes_letters():
+    """Capital dotted I, decomposed letters, letters that compose or decompose, whose lower case differs in length: before every mark."""
+    import sys
+    import unicodedata
+
+    import numpy as np
+
+    library, machine = Tokenizer.from_file(str(WORDS)), packing.CachedTokenizer(str(WORDS))
+    assert machine.bare
+    odd = [chr(c) for c in range(sys.maxunicode) if not 0xD800 <= c < 0xE000 and (len(chr(c).lower()) != 1 or unicodedata.normalize("NFC", chr(c)) != chr(c))]
+    latin = [chr(c) for c in range(0xC0, 0x250)]
+    letters = odd[::7] + latin + ["İ", "İ", "é", "Å", "क़", "יִ", "Σ", "ª", "µ"]
+    made = ["Bugün PARTİ. Sonra", "PARTİ, ", "don't we'll I'D, x's. 'S", "a.b, c.́ d!? e:", "<|endoftext|>, x<|endoftext|>. <|startoftext|>"]
+    made += [f"ab{c}{m} c {c}{m}\n{c}z" for c in letters for m in (".", ",", ";", ":", "!", "?", "...", "")]
+    expected = [e.ids for e in library.encode_batch(made, add_special_tokens=False)]
+    for _ in range(2):
+        assert [np.frombuffer(b, "<u4").tolist() for b in machine.encode(made)] == expected
+
+
+def test_every_piece_has_a_place_of_its_own(spark):
+    """``place`` against the pieces put one by one where their run says, on any number of partitions."""
+    random.seed(3)
+    docs = spark.createDataFrame([(i, " ".join(random.choices("abcdefg", k=random.choice([0, 1, 3, 9, 40, 90])))) for i in range(700)], "doc_id long, text string")
+    for parts in (1, 6):
+        rows = packing.pack(docs.repartition(parts), str(WORDS), capacity=64).collect()
+        taken = Counter((r["sequence_id"], r["offset"] + i) for r in rows for i in range(r["length"]))
+        assert max(taken.values()) == 1 and all(0 <= at < 64 for _, at in taken)
+        assert len({s for s, _ in taken}) == sum(m.bins for m in packing.best_fit(Counter(r["length"] for r in rows), 64) if m.offset == 0)
