@@ -85,3 +85,26 @@ def license_places(text):
     hits = [(i, label) for i in range(len(own)) for p, label in phrases.items() if tuple(own[i : i + len(p)]) == p]
     starts = [i for i, _ in hits]
     return (len(own), len(hits), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in hits})))
+
+
+def license_templates(text, templates, idf):
+    """Best (coverage, start, end) of each label: every template tried at every start."""
+    own, best, tried = words(text), {}, []
+    for t in templates:
+        template = words(t.text)
+        places = [(next(i for i in range(len(template)) if template[i : i + len(key)] == key), key) for key in map(words, t.keys)]
+        tried.append((t, template, [(place + i, w) for place, key in places for i, w in enumerate(key)]))
+    for start in range(-max(len(template) for _, template, _ in tried), len(own)):
+        for t, template, mandatory in tried:
+            at = lambda i: own[start + i] if 0 <= start + i < len(own) else None
+            whole = all(at(i) == w for i, w in mandatory)
+            if not whole:
+                continue
+            standing = [w for i, w in enumerate(template) if at(i) == w]
+            if len(set(standing)) < min(2, len(set(template))):
+                continue
+            total = sum(idf[w] for w in template)
+            coverage = min(1.0, sum(idf[w] for w in standing) / total) if total > 0 else 1.0
+            if coverage >= 0.5 and coverage > best.get(t.label, (0.0,))[0]:
+                best[t.label] = (coverage, max(start, 0), start + len(template))
+    return best

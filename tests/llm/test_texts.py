@@ -280,6 +280,40 @@ def test_every_template_of_a_text_with_many_notices(spark):
         assert all(p["coverage"] == pytest.approx(1) for p in got[i]["places"]) and len(got[i]["places"]) == len(everything)
 
 
+def test_templates_at_every_start(spark):
+    """Labels, coverages and places against every template tried at every start; some templates have no key phrase."""
+    import math
+
+    random.seed(12)
+    templates = licenses.TEMPLATES + (
+        licenses.Template("keyless", "the quick brown fox of this license jumps over the copyright notice", ()),
+        licenses.Template("short", "license notice", ()),
+        licenses.Template("clash", "general public license notice", ("general", "license")),
+    )
+    texts = [""]
+    for _ in range(120):
+        parts = []
+        for _ in range(random.randint(1, 4)):
+            cut = brute.words(random.choice(templates).text)
+            a, b = sorted((random.randint(0, len(cut)), random.randint(0, len(cut)))) if random.random() < 0.5 else (0, len(cut))
+            piece = [w if random.random() > random.choice([0, 0, 0.05, 0.4]) else random.choice(["oov", "license", "the", "of"]) for w in cut[a:b]]
+            parts.append(" ".join(piece))
+        texts.append(random.choice([" ", " license the ", " "]).join(parts))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held = Counter(w for t in texts for w in set(brute.words(t)))
+    idf = {w: math.log((1 + len(texts)) / (1 + held[w])) for t in templates for w in brute.words(t.text)}
+    found = 0
+    for r in licenses.scan(docs, templates=templates).collect():
+        expected = brute.license_templates(texts[r["doc_id"]], templates, idf)
+        got = {p["label"]: (p["coverage"], p["start"], p["end"]) for p in r["places"]}
+        assert {k: v[1:] for k, v in got.items()} == {k: v[1:] for k, v in expected.items()}
+        assert all(got[k][0] == pytest.approx(expected[k][0]) for k in got)
+        assert set(r["labels"].split(",")) - {""} == got.keys() | (set(r["base_labels"].split(",")) - {""})
+        assert r["score"] == pytest.approx(1.0 if r["n_base"] else max((c for c, _, _ in got.values()), default=0.0))
+        found += len(got)
+    assert found > 100
+
+
 def test_rounds_and_one_task_give_the_same_components(spark, monkeypatch):
     from raterscope.llm import components
 
