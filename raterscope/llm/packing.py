@@ -1,17 +1,18 @@
 """Best-fit packing of tokenized documents into sequences of a fixed number of tokens.
 
-Rounds go from the longest pieces to the shortest. In a round the pieces of the length at hand meet the
-gaps sorted by size: each is matched with its successor, the smallest gap that holds it; pieces that
-want the same gap are told apart by their rank; gaps are updated, and the next round begins. Pieces
-without a gap open new sequences. This is best-fit decreasing, exactly.
+Bulk-synchronous rounds. Pieces and gaps are sorted by size and cut into ranges of sizes, one task each. A
+task sweeps its pieces from the longest down and matches each with its successor, the smallest gap of its range
+that holds it; a gap that was filled goes on with what is left of it. Pieces of several ranges that find no gap in their
+own want the same larger gaps: the next round joins neighbouring ranges, and the longest of them is served first.
+In the last round, of one range, what is still without a gap opens sequences. Classes of lengths follow each other, each
+half as long as the one before, so that the gaps which long pieces leave are there when shorter ones come.
 
 Both sort orders are held as runs. Lengths and gaps are whole numbers up to the capacity, and pieces of
 one length are interchangeable, as are sequences with the same gap, so a run of equal pieces is matched
-with a run of equal gaps at once. The sweep over the runs therefore depends on the capacity, never on
-the number of documents: its input is one count for each length (2,048 numbers), its result a list of
-matched runs. What does grow is ranking the pieces within their length, and that is distributed: each
-length is cut into about the square root of its count of hash buckets, which are ranked on their own
-and shifted by the buckets before them. A piece's sequence and offset follow from its rank.
+with a run of equal gaps at once. The tables that the rounds read and write therefore depend on the capacity, never on
+the number of documents: they start with one row for each length. What does grow is ranking the pieces within their
+length, and that is distributed: each length is cut into about the square root of its count of hash buckets, which are
+ranked on their own and shifted by the buckets before them. A piece's sequence and offset follow from its rank.
 
 Defined results: a null text is an empty one and has one piece, its end token; repeated rows and null
 ids are documents of their own; an empty table gives no pieces; other columns are not read.
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, intermediate_tables
 from .text import slices
 
 CAPACITY = 2048
@@ -216,9 +217,14 @@ class Gaps:
                 bisect.insort(self.sizes, gap)
             self.runs[gap].append((first, count))
 
-    def successor(self, length: int, pieces: int) -> tuple[int, int, int]:
-        """Of the smallest gap that holds ``length``, as many sequences as so many pieces fill: gap, first, count."""
+    def successor(self, length: int, pieces: int, opening: bool) -> tuple[int, int, int] | None:
+        """Of the smallest gap that holds ``length``, as many sequences as so many pieces fill: gap, first, count.
+
+        Where no gap holds it, new sequences if ``opening``, else None.
+        """
         at = bisect.bisect_left(self.sizes, length)
+        if at == len(self.sizes) and not opening:
+            return None
         gap = self.sizes[at] if at < len(self.sizes) else self.capacity
         each = gap // length
         wanted = max(1, pieces // each)
@@ -235,31 +241,99 @@ class Gaps:
         return gap, first, used
 
 
-def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[Match]:
-    """Best-fit decreasing over runs: ``counts`` has the number of pieces of each length."""
-    gaps, matches = Gaps(capacity), []
-    for length in sorted(counts, reverse=True):
-        if not 0 < length <= capacity:
-            raise ValueError(f"a piece of {length} tokens does not fit into {capacity}")
-        rank, left = 0, counts[length]
+def sweep(runs: Iterable[tuple[int, int, int]], gaps: Gaps, opening: bool) -> tuple[list[Match], list[tuple[int, int, int]]]:
+    """Match runs of pieces (length, first rank, count) with their successors, the longest first; returns the matches and the runs left."""
+    matches, without = [], []
+    for length, rank, left in sorted(runs, reverse=True):
+        if not 0 < length <= gaps.capacity:
+            raise ValueError(f"a piece of {length} tokens does not fit into {gaps.capacity}")
         while left:
-            gap, first, bins = gaps.successor(length, left)
+            successor = gaps.successor(length, left, opening)
+            if successor is None:
+                without.append((length, rank, left))
+                break
+            gap, first, bins = successor
             each = min(gap // length, left)
-            matches.append(Match(length, rank, each, bins, first, capacity - gap))
+            matches.append(Match(length, rank, each, bins, first, gaps.capacity - gap))
             gaps.add(gap - each * length, first, bins)
             rank, left = rank + each * bins, left - each * bins
-    return matches
-
-
-def rank_in_length(pieces: DataFrame, counts: dict[int, int]) -> DataFrame:
+    return matches, without
+
+
+# Kinds of rows in the table of a round: runs of pieces and of gaps, what was matched, and the number of open sequences.
+_PIECES, _GAPS, _MATCHED, _OPENED = range(4)
+_STATE = "kind int, size long, first long, n long, each long, sequence long, offset long"
+# Ranges of the rounds of one class of lengths, and how many such classes there are; the last has all shorter pieces.
+RANGES = (8, 2, 1)
+CLASSES = 6
+
+
+def _round(capacity: int, opening: bool):
+    """The work of one range: the rows of its pieces and gaps after a sweep. Rows out of the round (part -1) stay as they are."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        table = table.drop_columns(["part"])
+        if key[0].as_py() < 0:
+            return table
+        gaps, runs = Gaps(capacity), []
+        for row in sorted(table.to_pylist(), key=lambda r: (r["kind"], r["size"], r["first"])):
+            if row["kind"] == _PIECES:
+                runs.append((row["size"], row["first"], row["n"]))
+            elif row["kind"] == _GAPS:
+                gaps.add(row["size"], row["first"], row["n"])
+            else:
+                gaps.opened = row["n"]
+        matches, without = sweep(runs, gaps, opening)
+        rows = [(_PIECES, *own, 0, 0, 0) for own in without]
+        rows += [(_GAPS, gap, first, n, 0, 0, 0) for gap in gaps.sizes for first, n in gaps.runs[gap]]
+        rows += [(_MATCHED, m.length, m.rank, m.bins, m.each, m.sequence, m.offset) for m in matches]
+        if opening:
+            rows.append((_OPENED, 0, 0, gaps.opened, 0, 0, 0))
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), table.schema, strict=True)], schema=table.schema)
+
+    return run
+
+
+def best_fit(counts: DataFrame, capacity: int = CAPACITY) -> list[Match]:
+    """Matches of all pieces: ``counts`` has their number ``n`` for each ``length``. Runs a job for each round.
+
+    Every match ends a run of pieces or one of gaps, and a run of pieces makes two runs of gaps at most, so what the rounds
+    hold and what is returned depends on the number of lengths alone.
+    """
+    spark = counts.sparkSession
+    size = F.col("length").cast("long")
+    zero = F.lit(0).cast("long")
+    state = counts.select(F.lit(_PIECES).alias("kind"), size.alias("size"), zero.alias("first"), F.col("n").cast("long").alias("n"),
+                          zero.alias("each"), zero.alias("sequence"), zero.alias("offset"))
+    longest = F.least(F.floor(F.log2(F.lit(capacity) / F.greatest(size, F.lit(1)))), F.lit(CLASSES - 1))
+    classes = counts.groupBy(longest.alias("class")).agg(F.min("length").alias("least"), F.max("length").alias("most")).orderBy("class").collect()
+    with intermediate_tables(spark):
+        state = cut_lineage(state.unionByName(spark.createDataFrame([(_OPENED, 0, 0, 0, 0, 0, 0)], _STATE)).coalesce(1))
+        for own in classes:
+            least, most = own["least"], own["most"]
+            # The first class is longer than any gap.
+            for ranges in RANGES if own is not classes[0] else RANGES[-1:]:
+                pieces = (F.col("kind") == _PIECES) & F.col("size").between(least, most)
+                taking = pieces | ((F.col("kind") == _GAPS) & (F.col("size") >= least))
+                if ranges == RANGES[-1]:
+                    taking |= F.col("kind") == _OPENED
+                width = (most - least) // ranges + 1
+                # Gaps beyond the longest piece belong to the last range.
+                nth = F.greatest(F.least(F.floor((F.col("size") - least) / width), F.lit(ranges - 1)), F.lit(0))
+                parted = state.withColumn("part", F.when(taking, nth).otherwise(-1).cast("int")).repartition(ranges, "part")
+                state = cut_lineage(parted.groupBy("part").applyInArrow(_round(capacity, ranges == RANGES[-1]), _STATE))
+        matched = state.filter(F.col("kind") == _MATCHED).collect()
+    return [Match(r["size"], r["first"], r["each"], r["n"], r["sequence"], r["offset"]) for r in matched]
+
+
+def rank_in_length(pieces: DataFrame, counts: DataFrame) -> DataFrame:
     """Add ``rank``: a number from 0 within each length, without gaps. Runs a job.
 
-    ``pieces`` must be a written table. Rows that are equal in all columns may swap ranks, which
-    changes nothing.
+    ``pieces`` must be a written table, and ``counts`` has their number ``n`` for each ``length``. Rows that are equal in
+    all columns may swap ranks, which changes nothing.
     """
     columns = pieces.columns
-    spark = pieces.sparkSession
-    sizes = spark.createDataFrame([(n, int(c**0.5) + 1) for n, c in counts.items()], "length long, buckets int")
+    sizes = counts.select("length", (F.floor(F.sqrt("n")) + 1).alias("buckets"))
     mixed = F.xxhash64(*[c for c in columns if c != "length"])
     dealt = pieces.join(F.broadcast(sizes), "length").withColumn("bucket", F.pmod(mixed, F.col("buckets")))
     # Buckets of one length follow each other; there are no more of them than rows in a bucket.
@@ -275,7 +349,7 @@ def place(ranked: DataFrame, matches: list[Match]) -> DataFrame:
     """Replace ``rank`` by ``sequence_id`` and ``offset``. The matched runs are bounded by the capacity."""
     by_length: dict[int, tuple[np.ndarray, ...]] = {}
     for length in {m.length for m in matches}:
-        own = [m for m in matches if m.length == length]
+        own = sorted((m for m in matches if m.length == length), key=lambda m: m.rank)
         by_length[length] = tuple(np.array([getattr(m, f) for m in own]) for f in ("rank", "each", "sequence", "offset"))
     fields = ranked.schema.fields
     at, length_at = len(fields) - 1, ranked.columns.index("length")
@@ -310,5 +384,6 @@ def pack(
 ) -> DataFrame:
     """Every piece with its place: the columns of ``token_pieces``, sequence_id and offset. Runs jobs."""
     pieces = cut_lineage(token_pieces(docs, tokenizer, capacity, end_id, id_col, text_col, with_ids))
-    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # One row for each length: bounded by the capacity.
+    counts = cut_lineage(pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")))
     return place(rank_in_length(pieces, counts), best_fit(counts, capacity))
