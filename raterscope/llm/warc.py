@@ -28,7 +28,7 @@ from dataclasses import dataclass, field
 from typing import BinaryIO
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, new_folder
@@ -204,10 +204,16 @@ def _decided(pages: DataFrame, id_col: str, url_col: str, html_col: str, least:
     firsts = cut_lineage(narrow.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1"))
     revisits = narrow.join(firsts, "digest").filter(~F.col("id").eqNullSafe(F.col("first")))
     revisits = cut_lineage(revisits.select("id", "digest", "first").distinct())
-    key = F.coalesce(F.col("id").cast("string"), F.lit(""))
-    left = rows.withColumn("key", key)
-    right = revisits.select(key.alias("key"), F.col("digest"), F.col("first").alias("refers_to"))
-    return left.join(right, ["key", "digest"], "left").select("id", "url", "html", "refers_to")
+    right = revisits.select(F.col("id").alias("own"), F.col("digest").alias("same"), F.col("first").alias("refers_to"))
+    # A null id and an empty one are different rows.
+    same_row = (F.col("digest") == F.col("same")) & F.col("id").eqNullSafe(F.col("own"))
+    return rows.join(right, same_row, "left").select("id", "url", "html", "refers_to")
+
+
+def _qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with the scheme and host of the file system that Spark takes it to be in, so that every task opens the same one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 def write_archives(
@@ -225,7 +231,7 @@ def write_archives(
     Payloads under ``least_bytes`` are responses whether or not they repeat. All records bear ``date``,
     so that equal rows make equal archives. A payload too large for a task's memory cannot be a row.
     """
-    folder = folder or new_folder(pages.sparkSession, "warc")
+    folder = _qualified(pages.sparkSession, folder or new_folder(pages.sparkSession, "warc"))
     decided = _decided(pages, id_col, url_col, html_col, least_bytes)
     return cut_lineage(decided.mapInArrow(_writer(folder, date, archive_bytes), "path string, n_records long, n_bytes long"))
 

@@ -62,6 +62,20 @@ class Dribble(io.BytesIO):
         return super().read(1)
 
 
+def test_null_and_empty_ids_are_rows_of_their_own(spark):
+    rows = [("", "u1", "same"), (None, "u2", "same"), ("a", "u3", "same"), (None, "u4", "other"), (None, "u5", "other")]
+    got = {r["url"]: (r["record_type"], r["refers_to"]) for r in warc.read_archives(warc.write_archives(spark.createDataFrame(rows, "page_id string, url string, html string"))).collect()}
+    assert got["u1"] == ("response", None) and {got["u2"][0], got["u3"][0]} == {"revisit"}
+    assert got["u4"] == got["u5"] == ("response", None)
+
+
+def test_folders_have_the_scheme_of_their_file_system(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "text")], "page_id long, url string, html string")
+    for folder in (str(tmp_path / "plain"), f"file://{tmp_path}/named"):
+        archives = warc.write_archives(pages, folder)
+        assert all(r["path"].startswith("file:/") for r in archives.collect()) and warc.read_archives(archives).count() == 1
+
+
 def test_members_across_any_reads():
     data = b"".join(records(b"", b"abc", b"x" * 5000))
     for stream in (io.BytesIO(data), Dribble(data)):

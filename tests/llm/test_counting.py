@@ -168,7 +168,7 @@ def test_ids_where_normalising_changes_letters():
     latin = [chr(c) for c in range(0xC0, 0x250)]
     letters = odd[::7] + latin + ["İ", "İ", "é", "Å", "क़", "יִ", "Σ", "ª", "µ"]
     made = ["Bugün PARTİ. Sonra", "PARTİ, ", "don't we'll I'D, x's. 'S", "a.b, c.́ d!? e:", "<|endoftext|>, x<|endoftext|>. <|startoftext|>"]
-    made += [f"ab{c}{m} c {c}{m}\n{c}z" for c in letters for m in (".", ",", ";", ":", "!", "?", "...", "")]
+    made += [f"ab{c}{m} c {c}{m}\n{c}z" for c in letters for m in (".", ",", ";", ":", "!", "?", "...", "", '%$#"', "_-", "'s", "<|", "(a)", "@x.y")]
     expected = [e.ids for e in library.encode_batch(made, add_special_tokens=False)]
     for _ in range(2):
         assert [np.frombuffer(b, "<u4").tolist() for b in machine.encode(made)] == expected
