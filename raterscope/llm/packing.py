@@ -23,12 +23,13 @@ from __future__ import annotations
 import bisect
 import os
 import re
+import struct
+import unicodedata
 import zlib
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +42,10 @@ from .text import slices
 CAPACITY = 2048
 END_ID = 0
 _SLICE_BYTES = 1 << 20
-# Latin letters below U+0250 stay as they are composed, and their lower case is one letter, but for that of U+0130.
-_LATIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,;:!?]*)")
+# Characters that stay as they are composed and whose lower case is one character; U+0130 has two.
+_PLAIN = [chr(c) for c in range(0x250) if c != 0x130]
+_OTHER = re.compile("[^\\x00-\u012f\u0131-\u024f]")
+_WHITE = "\t\n\v\f\r \x85\xa0"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -52,17 +55,51 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class CachedTokenizer:
-    """Token ids of texts from the library, asked once for each distinct stretch without white space.
+def _splitter() -> re.Pattern:
+    """Words, single digits, English endings and runs of marks of a lower-case text of plain characters."""
+    lower = {c.lower() for c in _PLAIN}
+    letters, digits = ("".join(sorted(c for c in lower if unicodedata.category(c)[0] == kind)) for kind in "LN")
+    return re.compile(f"[{letters}]+|[{digits}]|'(?:s|t|re|ve|m|ll|d)|[^{_WHITE}{letters}{digits}]+")
+
+
+class _Remembered(dict):
+    """What ``make`` gives for each key, remembered in two generations.
 
-    Only for tokenizers that drop white space and split at it; their tokens never reach across it. Latin words, alone or
-    before marks like commas, go to the library's model directly: normalising and splitting leave them whole, but for
-    their lower case. (The one such letter whose lower case is two characters is left to the library, and
-    so is every other stretch.) Stretches are remembered in two generations: when the younger is full it becomes
-    the older one, from which what is met again comes back.
+    When the younger one is full it becomes the older one, from which what is met again comes back. Long keys, which
+    hardly return, are made anew.
     """
 
     ENTRIES = 120_000
+    LONGEST = 64
+
+    def __init__(self, make: Callable[[str], bytes]):
+        super().__init__()
+        self.make = make
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= self.LONGEST:
+            self[key] = value
+        return value
+
+    def age(self) -> None:
+        if len(self) > self.ENTRIES:
+            self.older = dict(self)
+            self.clear()
+
+
+class CachedTokenizer:
+    """Token ids of texts from the library, asked once for each distinct part of a text that is met often.
+
+    Only for tokenizers that drop white space and split at it; their tokens never reach across it. Texts of plain
+    characters are lowered and split here, and their words and marks go to the library's model directly. That this equals
+    the library's own normalising and splitting is tested on every plain character before words, digits, marks and endings;
+    a tokenizer that fails the test is never served so. All other texts, and those with special strings, are
+    taken stretch by stretch: between white space, and by the library as a whole unless a stretch is plain.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -72,68 +109,51 @@ class CachedTokenizer:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         probe = [self._whole(t) for t in ("a b", " a \n b ", "a\n\nb", "a , b", "a, b")]
-        if probe[1:3] != probe[:1] * 2 or probe[3] != probe[4]:
+        special = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
+        if probe[1:3] != probe[:1] * 2 or probe[3] != probe[4] or any(re.search(r"\s", s) for s in special):
             raise ValueError("this tokenizer keeps white space; stretches between it cannot be asked for alone")
+        self.special = re.compile("|".join(map(re.escape, special)) or "(?!)")
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
-        del self.letters[0x20]
-        words = ["a", "Word", "Straße", "ÀÉîõÜ", "naïveté", "ŁódźŸ", "ǅungla", "x" * 50]
-        whole = [self._whole(w) for w in words]
-        self.bare = self._words(words) == whole and all(self._whole(f"{w},").startswith(ids) for w, ids in zip(words, whole))
-        self.kept: dict[str, bytes] = {"": b""}
-        self.older: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {}
+        self.parts = _splitter().findall
+        self.words = _Remembered(self._word)
+        self.stretches = _Remembered(self._stretch)
+        self.bare = True
+        self.bare = all(self._plain(t) == self._whole(t) for t in self._probes())
+
+    @staticmethod
+    def _probes() -> list[str]:
+        around = [f"a{c}b {c}1{c}{c} .{c}s '{c}'S{c}'re {c}, x{c}" for c in _PLAIN]
+        return [" ".join(around), "".join(_PLAIN), "".join(reversed(_PLAIN)), "We'LL he'D it's ''s 'tis 12,345.67 x" + "y" * 99]
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _words(self, words: Iterable[str]) -> list[bytes]:
-        """Ids of Latin words, straight from the model: spelled in the letters that stand for their bytes."""
-        spelled = " ".join(words).lower().encode().decode("latin-1").translate(self.letters).split(" ")
-        tokenize = self.model.tokenize
-        ids = [[token.id for token in tokenize(word)] for word in spelled]
-        data = np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
-        ends = [0, *accumulate([4 * len(own) for own in ids])]
-        return [data[i:j] for i, j in zip(ends, ends[1:])]
-
-    def _asked(self, stretches: list[str]) -> dict[str, bytes]:
-        """Ids of each stretch."""
-        found: dict[str, bytes] = {}
-        words: dict[str, int] = {}
-        waiting, rest, plain = [], [], _LATIN.fullmatch
-        for stretch in stretches:
-            match = plain(stretch) if self.bare else None
-            if not match:
-                rest.append(stretch)
-                continue
-            word, marks = match.groups()
-            if marks:
-                if marks not in self.marks:
-                    if len(self.marks) > 10_000:
-                        self.marks = {}
-                    self.marks[marks] = self._whole(marks)
-                if ids := self.kept.get(word) or self.older.get(word):
-                    found[stretch] = ids + self.marks[marks]
-                    continue
-            waiting.append((stretch, words.setdefault(word, len(words)), marks))
-        ids = self._words(words) if words else []
-        for stretch, place, marks in waiting:
-            found[stretch] = ids[place] + self.marks[marks] if marks else ids[place]
-        for text, encoded in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            found[text] = np.array(encoded.ids, "<u4").tobytes()
-        return found
+    def _word(self, word: str) -> bytes:
+        """Ids of one part, spelled in the letters that stand for its bytes."""
+        spelled = word if word.isascii() and word.isalpha() else word.encode().decode("latin-1").translate(self.letters)
+        ids = [token.id for token in self.model.tokenize(spelled)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _plain(self, text: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, self.parts(text.lower())))
+
+    def _is_plain(self, text: str) -> bool:
+        return self.bare and not _OTHER.search(text) and not self.special.search(text)
+
+    def _stretch(self, stretch: str) -> bytes:
+        return self._plain(stretch) if self._is_plain(stretch) else self._whole(stretch)
+
+    def _encoded(self, text: str) -> bytes:
+        if self._is_plain(text):
+            return self._plain(text)
+        return b"".join(map(self.stretches.__getitem__, text.replace("\n", " ").split(" ")))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        missing = set().union(*cut).difference(self.kept)
-        again = missing.intersection(self.older)
-        self.kept.update(zip(again, map(self.older.__getitem__, again)))
-        self.kept |= self._asked(list(missing - again))
-        known = self.kept.__getitem__
-        found = [b"".join(map(known, stretches)) for stretches in cut]
-        if len(self.kept) > self.ENTRIES:
-            self.older, self.kept = self.kept, {"": b""}
+        found = [self._encoded(text) for text in texts]
+        self.words.age()
+        self.stretches.age()
         return found
 
 

@@ -48,7 +48,7 @@ def test_token_count_rows(awkward, empty):
 
 def test_cached_ids_are_the_library_s():
     library, machine = Tokenizer.from_file(str(WORDS)), packing.CachedTokenizer(str(WORDS))
-    machine.ENTRIES = 500
+    machine.words.ENTRIES = machine.stretches.ENTRIES = 500
     import numpy as np
 
     made = texts()
