@@ -5,9 +5,9 @@ Two plans give the same table:
 * **levels** - ratings come from a known scale (1 to 5, half steps, ...). One hash aggregation
   counts every level per rater, and all ten statistics are arithmetic on those counts. One scan,
   one shuffle of one fixed-width row per rater and map task, no sort, no window.
-* **general** - ratings may be any number. Moments and quantiles come from Spark's aggregates,
-  whose partial states are of bounded size; mode and entropy from a ``(rater, rating)`` histogram
-  that is hashed on both columns and then aggregated again. Two scans.
+* **general** - ratings may be any number. Moments come from Spark's aggregates, whose partial states
+  are a few numbers; quantiles from sketches that are merged by rater and salt and then by rater; mode and entropy
+  from a ``(rater, rating)`` histogram that is hashed on both columns and then aggregated again. Three scans.
 
 Neither gathers the ratings of one rater in one task, so a rater with a third of all rows is
 spread over the whole cluster in both.
@@ -29,6 +29,9 @@ from .cleaning import drop_incomplete, is_number, require_columns
 MAX_LEVELS = 64
 _GLANCE_ROWS = 10_000
 QUARTILES = (0.25, 0.5, 0.75)
+# Ratings that a sketch holds as they are, and sketches that are merged last for one rater.
+SKETCH_SIZE = 4096
+SKETCH_SALTS = 16
 # Statistics taken from the histogram in the general plan.
 _HISTOGRAM_STATISTICS = ("mode_rating", "entropy_rating")
 
@@ -194,13 +197,12 @@ def _moments(features: Sequence[str]) -> list[Column]:
 
 def _from_values(clean: DataFrame, user_col: str, features: Sequence[str]) -> DataFrame:
     aggregates = _moments(features)
-    if "median_rating" in features or "iqr_rating" in features:
-        fractions = F.array(*[F.lit(q) for q in QUARTILES])
-        aggregates.append(F.percentile_approx("_rating", fractions).alias("_quartiles"))
     from_histogram = [f for f in features if f in _HISTOGRAM_STATISTICS]
     parts = []
     if aggregates:
         parts.append(clean.groupBy(user_col).agg(*aggregates))
+    if {"median_rating", "iqr_rating"} & set(features):
+        parts.append(merged_quantiles(quantile_sketches(clean, user_col), user_col))
     if from_histogram:
         parts.append(_mode_and_entropy(_histogram(clean, user_col), user_col).select(user_col, *from_histogram))
     stats = reduce(lambda a, b: a.join(b, user_col), parts)
@@ -210,6 +212,27 @@ def _from_values(clean: DataFrame, user_col: str, features: Sequence[str]) -> Da
     return stats.select(user_col, *features)
 
 
+def quantile_sketches(clean: DataFrame, user_col: str, rating_col: str = "_rating", size: int = SKETCH_SIZE) -> DataFrame:
+    """Sketches of every rater's ratings, at most ``SKETCH_SALTS`` of them a rater: ``_sketch``, which can be kept and merged.
+
+    Tasks sketch what they read; those of one rater and salt are merged in one task. A rater met by a thousand tasks is
+    so spread over all salts, and no task merges more than its share of sketches.
+    """
+    salted = clean.withColumn("_salt", F.spark_partition_id() % SKETCH_SALTS)
+    sketch = F.kll_sketch_agg_double(F.col(rating_col), F.lit(size)).alias("_sketch")
+    return salted.groupBy(user_col, "_salt").agg(sketch).select(user_col, "_sketch")
+
+
+def merged_quantiles(sketches: DataFrame, user_col: str, size: int = SKETCH_SIZE) -> DataFrame:
+    """``_quartiles`` of each rater from all its sketches, of one or several deliveries.
+
+    Observed values. They are exact for up to ``size`` ratings; beyond, their rank is off by a small part of a percent.
+    """
+    merged = sketches.groupBy(user_col).agg(F.kll_merge_agg_double(F.col("_sketch"), F.lit(size)).alias("_all"))
+    fractions = F.array(*[F.lit(q) for q in QUARTILES])
+    return merged.select(user_col, F.kll_sketch_get_quantile_double("_all", fractions).alias("_quartiles"))
+
+
 def _histogram(clean: DataFrame, user_col: str) -> DataFrame:
     return clean.groupBy(user_col, "_rating").agg(F.count(F.lit(1)).alias("_count"))
 

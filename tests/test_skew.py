@@ -56,3 +56,27 @@ def test_large_request_sample_split(skewed, monkeypatch):
     monkeypatch.setattr(prompts, "_BROADCAST_USERS", 0)
     rows, plan = final_plan(prompts.sample_requests(skewed, 501))
     assert len(rows) == 120_000 and "skew=true" in plan
+
+
+def test_quantile_sketches_of_a_hot_rater_are_spread(spark):
+    """A third of all rows are one rater's: no task sketches or merges more than its share, and ranks stay right."""
+    rated = spark.range(0, 240_000, 1, 64).selectExpr("if(id % 3 = 0, 7, 1000 + id % 500) AS user_id", "pmod(hash(id), 1000003) / 7D AS _rating")
+    sketches = statistics.quantile_sketches(rated, "user_id")
+    rows = sketches.selectExpr("user_id", "kll_sketch_get_n_double(_sketch) AS n").filter("user_id = 7").collect()
+    assert len(rows) == statistics.SKETCH_SALTS and sum(r["n"] for r in rows) == 80_000
+    assert max(r["n"] for r in rows) <= 1.1 * 80_000 / statistics.SKETCH_SALTS
+    hot = sorted(r["_rating"] for r in rated.filter("user_id = 7").collect())
+    for share, value in zip(statistics.QUARTILES, statistics.merged_quantiles(sketches, "user_id").filter("user_id = 7").first()["_quartiles"]):
+        assert value in hot and abs(hot.index(value) / len(hot) - share) < 0.005
+
+
+def test_sketches_of_deliveries_give_the_quantiles_of_all(spark):
+    """Exact, observed values for up to ``SKETCH_SIZE`` ratings, however these are cut into deliveries and partitions."""
+    rated = spark.range(0, 3_000, 1, 8).selectExpr("id % 5 AS user_id", "pmod(hash(id), 97) / 3D AS _rating")
+    halves = [statistics.quantile_sketches(rated.filter(f"_rating {test} 10"), "user_id") for test in ("<", ">=")]
+    got = {r["user_id"]: r["_quartiles"] for r in statistics.merged_quantiles(halves[0].unionByName(halves[1]), "user_id").collect()}
+    own = {}
+    for r in rated.collect():
+        own.setdefault(r["user_id"], []).append(r["_rating"])
+    assert got == {u: [sorted(v)[-int(-len(v) * q // 1) - 1] for q in statistics.QUARTILES] for u, v in own.items()}
+    assert statistics.merged_quantiles(halves[0].limit(0), "user_id").count() == 0
