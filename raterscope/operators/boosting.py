@@ -1,10 +1,12 @@
 """Boosted trees with L1 and L2 penalties, many models at a time.
 
 All models of a cross-validation or a learning curve grow together, level by level: one job a level adds up,
-for every open node of every model, the first and second derivatives of the log loss over the bins of each feature.
-Tasks sum their rows' histograms before Spark groups them, so what is moved depends on models, nodes and
-bins, never on rows; the histograms are the only thing that the driver sees, and their size is a parameter's. Rows carry the models
-that they train as the fold held out (``held_out``) and the first step that uses them (``first_step``).
+for every second open node of every model, the first and second derivatives of the log loss over the bins of each feature; its
+sibling's are what is left of the parent's. Tasks sum their rows' histograms before they are grouped, so what is moved depends
+on models, nodes and bins, never on rows; the histograms are the only thing that the driver sees, and their size is a parameter's.
+Rows come with the models that they train as the fold held out (``held_out``) and the first step that uses them
+(``first_step``). They are binned once, dealt to all cores and held in blocks of arrays, each row once for every model it trains, with
+its margin, which each round renews where it is kept; a job walks the tree that grows, not those before it.
 
 A split's gain is ``S(left) + S(right) - S(whole)`` with ``S = soft(G, l1)^2 / (H + l2)``, and a leaf's value
 ``-rate * soft(G, l1) / (H + l2)``. Derivatives are summed as whole numbers, scaled so that all rows
@@ -31,11 +33,17 @@ from ..session import cut_lineage, intermediate_tables
 
 # Gains not above this are rounding.
 _LEAST_GAIN = 1e-6
-# Trees that are walked again in every job before margins are written to the rows.
-_PENDING = 10
+# Rounds between two tables of margins; the rounds between keep theirs with the executors.
+_WRITTEN_EVERY = 10
+# Rows, counted once for each model that they train: of a block, and of a partition at least and at most.
+_BLOCK_ROWS = 400_000
+_LEAST_ROWS, _MOST_ROWS = 50_000, 2_000_000
+# Sums of all tasks that the driver adds up itself.
+_CELLS_COLLECTED = 500_000
 # Least second derivative of a row, so that a sure row still has weight.
 _LEAST_CURVE = 1e-16
 
+_BLOCKS = "label binary, bins binary, model binary, margin binary"
 _TREES = "array<struct<f:array<int>,c:array<double>,l:array<int>,v:array<double>>>"
 _LEDGER = "tree int, node int, feature string, cut double, left int, value double, gain double, cover double"
 
@@ -114,36 +122,35 @@ def _depth(features: list[int], left: list[int]) -> int:
 
 
 @dataclass
-class _Forest:
-    """The models' trees of the rounds since margins were written, each a complete binary tree of node places."""
+class _Trees:
+    """A tree of each model, as a complete binary tree of node places."""
 
     n_models: int
     n_nodes: int
-    rounds: int = 0
     feature: np.ndarray = field(init=False)
     cut: np.ndarray = field(init=False)
     value: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
-        self.feature = np.zeros((self.n_models, 0, self.n_nodes), np.int16)
-        self.cut = np.zeros((self.n_models, 0, self.n_nodes), np.int32)
-        self.value = np.zeros((self.n_models, 0, self.n_nodes))
-
-    def add_round(self) -> None:
-        more = lambda table, fill: np.concatenate([table, np.full((self.n_models, 1, self.n_nodes), fill, table.dtype)], axis=1)
-        self.feature, self.cut, self.value = more(self.feature, -1), more(self.cut, 0), more(self.value, 0.0)
-        self.rounds += 1
-
-    def place(self, bins: np.ndarray, model: np.ndarray, tree: int) -> np.ndarray:
-        """Node of each row under each of its models (row, step) in a tree."""
-        at = np.zeros(model.shape, np.int64)
-        rows = np.arange(len(bins))[:, None]
-        for _ in range(self.n_nodes.bit_length() - 1):
-            feature = self.feature[model, tree, at]
-            right = bins[rows, np.maximum(feature, 0)] > self.cut[model, tree, at]
-            at = np.where(feature < 0, at, 2 * at + 1 + right)
+        shape = self.n_models, self.n_nodes
+        self.feature, self.cut, self.value = np.full(shape, -1, np.int16), np.zeros(shape, np.int32), np.zeros(shape)
+
+    def place(self, bins: np.ndarray, model: np.ndarray, levels: int | None = None) -> np.ndarray:
+        """Node of each row under its model, at most ``levels`` below the root."""
+        feature, cut, flat = self.feature.ravel(), self.cut.ravel(), bins.ravel()
+        root, first = model * np.int64(self.n_nodes), np.arange(len(bins)) * bins.shape[1]
+        at = np.zeros(len(bins), np.int64)
+        for _ in range(self.n_nodes.bit_length() - 1 if levels is None else levels):
+            node = root + at
+            split = feature[node]
+            right = flat[first + np.maximum(split, 0)] > cut[node]
+            at = np.where(split < 0, at, 2 * at + 1 + right)
         return at
 
+    def leaf(self, bins: np.ndarray, model: np.ndarray) -> np.ndarray:
+        """Value of the leaf that each row falls into."""
+        return self.value[model, self.place(bins, model)]
+
 
 @dataclass(frozen=True)
 class _Plan:
@@ -155,63 +162,88 @@ class _Plan:
     steps: int
     scale: float
 
-    def read(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Labels, bins, models of each row (row, step), which of them it trains, and margins."""
+    @property
+    def n_bins(self) -> int:
+        return max(len(c) for c in self.cuts) + 1
+
+    @property
+    def bin_type(self) -> type:
+        return np.uint8 if self.n_bins <= 256 else np.uint32
+
+    def read(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each row and each step that uses it: the row's place in the batch, label, bins and model."""
         column = lambda name: batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
         bins = np.stack([np.searchsorted(c, column(f), "right") for f, c in zip(self.features, self.cuts, strict=True)], axis=1)
         order = np.argsort(self.held_out)
         fold = order[np.searchsorted(self.held_out, column("held_out"), sorter=order)]
-        model = fold[:, None] * self.steps + np.arange(self.steps)
-        trains = column("first_step")[:, None] <= np.arange(1, self.steps + 1)
-        margins = batch.column(batch.schema.get_field_index("margins")).flatten().to_numpy(zero_copy_only=False)
-        return column("label"), bins, model, trains, margins.reshape(-1, self.steps)
+        row, step = np.nonzero(column("first_step")[:, None] <= np.arange(1, self.steps + 1))
+        return row, column("label")[row], bins.astype(self.bin_type)[row], (fold[row] * self.steps + step).astype(np.int32)
 
+    def blocks(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Labels, bins, models and margins of the blocks."""
+        for batch in batches:
+            for block in batch.to_pylist():
+                kinds = {"label": np.uint8, "bins": self.bin_type, "model": np.int32, "margin": np.float64}
+                label, bins, model, margin = (np.frombuffer(block[name], kind) for name, kind in kinds.items())
+                yield label, bins.reshape(-1, len(self.features)), model, margin
 
-def _with_pending(forest: _Forest, trees: int, bins: np.ndarray, model: np.ndarray, margins: np.ndarray) -> np.ndarray:
-    for tree in range(trees):
-        margins = margins + forest.value[model, tree, forest.place(bins, model, tree)]
-    return margins
 
+def _block(*arrays: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in arrays], ["label", "bins", "model", "margin"])
+
+
+def _packed_rows(plan: _Plan, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row once for every model that it trains, in blocks of arrays."""
+    waiting, held = [], 0
+
+    def joined() -> pa.RecordBatch:
+        label, bins, model = (np.concatenate(c) for c in zip(*waiting, strict=True))
+        return _block(label, bins, model, np.zeros(len(label)))
 
-def _histograms(plan: _Plan, forest: _Forest, slots: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of scaled derivatives for each open node (``slots``: model, node -> place or -1), feature and bin."""
-    n_features, n_bins = len(plan.features), max(len(c) for c in plan.cuts) + 1
-    sums = np.zeros((2, (int(slots.max()) + 1) * n_features * n_bins))
     for batch in batches:
-        labels, bins, model, trains, margins = plan.read(batch)
-        margins = _with_pending(forest, forest.rounds - 1, bins, model, margins)
-        slot = slots[model, forest.place(bins, model, forest.rounds - 1)]
-        row, step = np.nonzero(trains & (slot >= 0))
-        chance = 1 / (1 + np.exp(-margins[row, step]))
-        slope = np.rint((chance - labels[row]) * plan.scale)
+        _, label, bins, model = plan.read(batch)
+        waiting.append((label.astype(np.uint8), bins, model))
+        held += len(label)
+        if held >= _BLOCK_ROWS:
+            yield joined()
+            waiting, held = [], 0
+    if held:
+        yield joined()
+
+
+def _histograms(plan: _Plan, trees: _Trees, slots: np.ndarray, levels: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of scaled derivatives for each wanted node (``slots``: model, node -> place or -1), feature and bin."""
+    n_features, n_bins = len(plan.features), plan.n_bins
+    sums = np.zeros((2, (int(slots.max()) + 1) * n_features * n_bins))
+    for label, bins, model, margin in plan.blocks(batches):
+        slot = slots[model, trees.place(bins, model, levels)]
+        wanted = np.flatnonzero(slot >= 0)
+        chance = 1 / (1 + np.exp(-margin[wanted]))
+        slope = np.rint((chance - label[wanted]) * plan.scale)
         curve = np.rint(np.maximum(chance * (1 - chance), _LEAST_CURVE) * plan.scale)
-        base = slot[row, step] * n_features
+        base = slot[wanted] * (n_features * n_bins)
         for i in range(n_features):
-            key = (base + i) * n_bins + bins[row, i]
+            key = base + (bins[wanted, i] + np.int64(i * n_bins))
             sums[0] += np.bincount(key, slope, sums.shape[1])
             sums[1] += np.bincount(key, curve, sums.shape[1])
     keys = np.flatnonzero(sums.any(axis=0))
     yield pa.RecordBatch.from_arrays([pa.array(keys), *[pa.array(s[keys].astype(np.int64)) for s in sums]], ["key", "slope", "curve"])
 
 
-def _written_margins(plan: _Plan, forest: _Forest, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        _, bins, model, _, margins = plan.read(batch)
-        margins = _with_pending(forest, forest.rounds, bins, model, margins)
-        ends = pa.array(np.arange(len(margins) + 1, dtype=np.int32) * plan.steps)
-        new = pa.ListArray.from_arrays(ends, pa.array(margins.ravel()))
-        yield batch.set_column(batch.schema.get_field_index("margins"), "margins", new)
+def _grown_margins(plan: _Plan, trees: _Trees, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for label, bins, model, margin in plan.blocks(batches):
+        yield _block(label, bins, model, margin + trees.leaf(bins, model))
 
 
-def _scores(plan: _Plan, forest: _Forest, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scores(plan: _Plan, forest: Sequence[_Trees], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        labels, bins, model, used, margins = plan.read(batch)
-        margins = _with_pending(forest, forest.rounds, bins, model, margins)
-        row, step = np.nonzero(used)
+        row, label, bins, model = plan.read(batch)
+        margin = np.zeros(len(row))
+        for trees in forest:
+            margin += trees.leaf(bins, model)
         take = lambda name: batch.column(batch.schema.get_field_index(name)).take(pa.array(row))
-        score = 1 / (1 + np.exp(-margins[row, step]))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(step.astype(np.int32) + 1), take("part"), take("held_out"), pa.array(labels[row]), pa.array(score)],
+            [pa.array(model % plan.steps + 1, pa.int32()), take("part"), take("held_out"), pa.array(label), pa.array(1 / (1 + np.exp(-margin)))],
             ["step", "part", "fold", "label", "score"],
         )
 
@@ -256,42 +288,68 @@ class BoostedTrees:
         n_models, n_nodes = len(held_out) * steps, 2 ** (self.depth + 1) - 1
         scale = 2.0 ** (52 - max(int(n_rows), 1).bit_length())
         plan = _Plan(tuple(features), tuple(self.cut_points(rows, features)), np.array(held_out, np.int64), steps, scale)
-        margins = F.array_repeat(F.lit(0.0), steps).alias("margins")
         named = [F.col(f"`{f}`").cast("double").alias(f) for f in features]
         kinds = [F.col("held_out").cast("int").alias("held_out"), F.col("first_step").cast("int").alias("first_step")]
-        current = cut_lineage(rows.select(F.col("label").cast("double").alias("label"), *named, *kinds, margins))
-        forest, ledgers = _Forest(n_models, n_nodes), [[] for _ in range(n_models)]
-        for round_ in range(self.rounds):
-            if forest.rounds == _PENDING:
-                current = cut_lineage(current.mapInArrow(partial(_written_margins, plan, forest), current.schema))
-                forest = _Forest(n_models, n_nodes)
-            forest.add_round()
-            gains, covers = np.zeros((n_models, n_nodes)), np.zeros((n_models, n_nodes))
-            open_ = np.zeros((n_models, n_nodes), bool)
-            open_[:, 0] = True
-            while open_.any():
-                open_ = self._level(plan, forest, current, open_, gains, covers)
-            for model, ledger in enumerate(ledgers):
-                ledger += _nodes(plan, forest, model, round_, gains[model], covers[model])
+        narrow = rows.select(F.col("label").cast("double").alias("label"), *named, *kinds)
+        spread = narrow.repartition(_partitions(rows.sparkSession, n_rows * n_models))
+        current = cut_lineage(spread.mapInArrow(partial(_packed_rows, plan), _BLOCKS)).persist()
+        ledgers: list[list[tuple]] = [[] for _ in range(n_models)]
+        try:
+            for round_ in range(self.rounds):
+                before = None
+                if round_:
+                    # The first level's job keeps the new margins where the old ones were kept.
+                    before, current = current, current.mapInArrow(partial(_grown_margins, plan, trees), _BLOCKS)
+                    current = (cut_lineage(current) if round_ % _WRITTEN_EVERY == 0 else current).persist()
+                trees = _Trees(n_models, n_nodes)
+                gains, covers = np.zeros((n_models, n_nodes)), np.zeros((n_models, n_nodes))
+                wanted, above = np.array([[model, 0] for model in range(n_models)]), None
+                for level in range(max(self.depth, 1)):
+                    wanted, above = self._level(plan, trees, current, level, wanted, above, gains, covers)
+                    if before is not None:
+                        before.unpersist()
+                        before = None
+                    if not len(wanted):
+                        break
+                for model, ledger in enumerate(ledgers):
+                    ledger += _nodes(plan, trees, model, round_, gains[model], covers[model])
+        finally:
+            current.unpersist()
         return {
             (fold, step + 1): BoostedModel(tuple(features), tuple(ledgers[i * steps + step]))
             for i, fold in enumerate(held_out)
             for step in range(steps)
         }
 
-    def _level(self, plan, forest, rows, open_, gains, covers) -> np.ndarray:
-        """Split the open nodes or make leaves of them; returns the nodes that are open next. Runs a job."""
-        slots = np.full(open_.shape, -1, np.int64)
-        slots[open_] = np.arange(open_.sum())
-        n_features, n_bins = len(plan.features), max(len(c) for c in plan.cuts) + 1
-        sums = rows.mapInArrow(partial(_histograms, plan, forest, slots), "key long, slope long, curve long")
-        # A single partition's sums are the totals.
-        if rows.rdd.getNumPartitions() > 1:
+    def _sums(self, plan: _Plan, trees: _Trees, rows: DataFrame, level: int, wanted: np.ndarray) -> np.ndarray:
+        """Histograms (node, slope or curve, feature, bin) of the wanted nodes (model, node), in scaled whole numbers. Runs a job."""
+        slots = np.full(trees.feature.shape, -1, np.int64)
+        slots[tuple(wanted.T)] = np.arange(len(wanted))
+        cells = len(wanted) * len(plan.features) * plan.n_bins
+        sums = rows.mapInArrow(partial(_histograms, plan, trees, slots, level), "key long, slope long, curve long")
+        # Few small sums are added here, many by Spark.
+        if rows.rdd.getNumPartitions() * cells > _CELLS_COLLECTED:
             sums = sums.groupBy("key").agg(F.sum("slope").alias("slope"), F.sum("curve").alias("curve"))
         found = sums.toArrow()
-        dense = np.zeros((2, open_.sum() * n_features * n_bins))
-        dense[:, found.column("key").to_numpy()] = [found.column("slope").to_numpy(), found.column("curve").to_numpy()]
-        dense = dense.reshape(2, -1, n_features, n_bins) / plan.scale
+        key = found.column("key").to_numpy()
+        dense = np.stack([np.bincount(key, found.column(c).to_numpy().astype(np.float64), cells) for c in ("slope", "curve")])
+        return dense.reshape(2, len(wanted), len(plan.features), plan.n_bins).swapaxes(0, 1)
+
+    def _level(self, plan, trees, rows, level, open_, above, gains, covers) -> tuple[np.ndarray, tuple | None]:
+        """Split the open nodes (model, node) or make leaves of them; returns the nodes that are open next, and what is known of them.
+
+        Of two children only the one with less weight is summed; the other's sums are what is left of the parent's (``above``). Runs a job.
+        """
+        if above is None:
+            exact = self._sums(plan, trees, rows, level, open_)
+        else:
+            whole, lesser = above
+            exact = np.empty((len(open_), *whole.shape[1:]))
+            asked = 2 * np.arange(len(lesser)) + lesser
+            exact[asked] = self._sums(plan, trees, rows, level, open_[asked])
+            exact[asked + 1 - 2 * lesser] = whole - exact[asked]
+        dense = exact.swapaxes(0, 1) / plan.scale
+        n_bins = plan.n_bins
         whole = dense[:, :, 0].sum(axis=2)
         left = np.cumsum(dense, axis=3)[:, :, :, :-1]
         right = whole[:, :, None, None] - left
@@ -301,27 +359,28 @@ class BoostedTrees:
         gain = np.where(allowed, gain, -np.inf).reshape(len(gain), -1)
         best = gain.argmax(axis=1)  # the first feature and cut on ties
         top = gain[np.arange(len(gain)), best]
-        tree = forest.rounds - 1
-        following = np.zeros_like(open_)
-        for slot, (model, node) in enumerate(np.argwhere(open_).tolist()):
+        following, split, lesser = [], [], []
+        for slot, (model, node) in enumerate(open_.tolist()):
             covers[model, node] = whole[1, slot]
-            deepest = 2 * node + 2 >= forest.n_nodes
+            deepest = 2 * node + 2 >= trees.n_nodes
             if deepest or not top[slot] > _LEAST_GAIN:
-                forest.value[model, tree, node] = self._leaf(whole[0, slot], whole[1, slot])
+                trees.value[model, node] = self._leaf(whole[0, slot], whole[1, slot])
                 continue
             feature, cut = divmod(int(best[slot]), n_bins - 1)
-            forest.feature[model, tree, node], forest.cut[model, tree, node] = feature, cut
+            trees.feature[model, node], trees.cut[model, node] = feature, cut
             gains[model, node] = top[slot]
             children = [2 * node + 1, 2 * node + 2]
-            if 2 * children[1] + 2 < forest.n_nodes:
-                following[model, children] = True
+            if 2 * children[1] + 2 < trees.n_nodes:
+                following += [(model, child) for child in children]
+                split.append(slot)
+                lesser.append(int(right[1, slot, feature, cut] < left[1, slot, feature, cut]))
                 continue
             # The last level: its sums are known, so no job is needed for it.
             for child, side in zip(children, (left, right), strict=True):
                 slope, curve = side[:, slot, feature, cut]
                 covers[model, child] = curve
-                forest.value[model, tree, child] = self._leaf(slope, curve)
-        return following
+                trees.value[model, child] = self._leaf(slope, curve)
+        return np.array(following, np.int64).reshape(-1, 2), (exact[split], np.array(lesser, np.int64))
 
     def _soft(self, slope):
         return np.sign(slope) * np.maximum(np.abs(slope) - self.l1, 0.0)
@@ -333,9 +392,15 @@ class BoostedTrees:
         return float(-self.rate * self._soft(slope) / (curve + self.l2))
 
 
-def _nodes(plan: _Plan, forest: _Forest, model: int, tree: int, gains: np.ndarray, covers: np.ndarray) -> list[tuple]:
+def _partitions(spark: SparkSession, n_rows: int) -> int:
+    """Partitions for ``n_rows`` rows, each counted once for every model: all cores, if that is work enough for them."""
+    cores = spark.sparkContext.defaultParallelism
+    return max(1, min(cores, -(-n_rows // _LEAST_ROWS)), -(-n_rows // _MOST_ROWS))
+
+
+def _nodes(plan: _Plan, trees: _Trees, model: int, tree: int, gains: np.ndarray, covers: np.ndarray) -> list[tuple]:
     """Rows of the ledger for one tree: its nodes from the root down, numbered as they come."""
-    features, cuts, values = (t[model, -1] for t in (forest.feature, forest.cut, forest.value))
+    features, cuts, values = (t[model] for t in (trees.feature, trees.cut, trees.value))
     places, found = [0], []
     for at in places:
         if features[at] < 0:
@@ -348,48 +413,51 @@ def _nodes(plan: _Plan, forest: _Forest, model: int, tree: int, gains: np.ndarra
     return found
 
 
-def _packed(models: Mapping[tuple[int, int], BoostedModel], features: Sequence[str], held_out: Sequence[int], steps: int) -> tuple[_Plan, _Forest]:
+def _packed(models: Mapping[tuple[int, int], BoostedModel], features: Sequence[str], held_out: Sequence[int], steps: int) -> tuple[_Plan, list[_Trees]]:
     """Fitted models as arrays for one task's walk over all of them."""
     cuts = [np.unique([n[3] for m in models.values() for n in m.nodes if n[2] == f] or [0.0]) for f in features]
     plan = _Plan(tuple(features), tuple(cuts), np.array(held_out, np.int64), steps, 1.0)
-    trees = {key: {} for key in models}
-    size = 1
-    for key, model in models.items():
-        for tree, node, feature, cut, left, value, _, _ in model.nodes:
-            trees[key].setdefault(tree, {})[node] = (feature, cut, left, value)
-    depth = max((_depth([-1 if n[2] is None else 0 for n in m.nodes if n[0] == t], [n[4] or 0 for n in m.nodes if n[0] == t])
-                 for m in models.values() for t in {n[0] for n in m.nodes}), default=0)
-    size = 2 ** (depth + 1) - 1
-    forest = _Forest(len(held_out) * steps, size)
-    for _ in range(max((len(t) for t in trees.values()), default=0)):
-        forest.add_round()
+    grown: dict[int, list[tuple[int, dict[int, tuple]]]] = {}
     for i, fold in enumerate(held_out):
         for step in range(1, steps + 1):
-            row = i * steps + step - 1
-            for tree, nodes in trees[fold, step].items():
-                todo = [(0, 0)]
-                while todo:
-                    node, at = todo.pop()
-                    feature, cut, left, value = nodes[node]
-                    if feature is None:
-                        forest.value[row, tree, at] = value
-                        continue
-                    j = list(features).index(feature)
-                    forest.feature[row, tree, at] = j
-                    forest.cut[row, tree, at] = int(np.searchsorted(cuts[j], cut))
-                    todo += [(left, 2 * at + 1), (left + 1, 2 * at + 2)]
+            own: dict[int, dict[int, tuple]] = {}
+            for tree, node, feature, cut, left, value, _, _ in models[fold, step].nodes:
+                own.setdefault(tree, {})[node] = (feature, cut, left, value)
+            for tree, nodes in own.items():
+                grown.setdefault(tree, []).append((i * steps + step - 1, nodes))
+    forest = []
+    for _, alike in sorted(grown.items()):
+        depth = 0
+        for _, nodes in alike:
+            order = sorted(nodes)
+            depth = max(depth, _depth([-1 if nodes[n][0] is None else 0 for n in order], [nodes[n][2] or 0 for n in order]))
+        trees = _Trees(len(held_out) * steps, 2 ** (depth + 1) - 1)
+        for row, nodes in alike:
+            todo = [(0, 0)]
+            while todo:
+                node, at = todo.pop()
+                feature, cut, left, value = nodes[node]
+                if feature is None:
+                    trees.value[row, at] = value
+                    continue
+                j = list(features).index(feature)
+                trees.feature[row, at] = j
+                trees.cut[row, at] = int(np.searchsorted(cuts[j], cut))
+                todo += [(left, 2 * at + 1), (left + 1, 2 * at + 2)]
+        forest.append(trees)
     return plan, forest
 
 
 def score_many(rows: DataFrame, models: Mapping[tuple[int, int], BoostedModel], features: Sequence[str] = CORE_FEATURES) -> DataFrame:
     """``step``, ``part``, ``fold``, ``label`` and ``score`` of each row under the models of its ``held_out`` fold from its ``first_step`` on.
 
-    One pass over the rows for all models, without a shuffle.
+    One pass over the rows for all models, dealt to all cores.
     """
     held_out, steps = sorted({f for f, _ in models}), max(s for _, s in models)
     plan, forest = _packed(models, features, held_out, steps)
     named = [F.col(f"`{f}`").cast("double").alias(f) for f in features]
-    margins = F.array_repeat(F.lit(0.0), steps).alias("margins")
     kinds = [F.col(c).cast("int").alias(c) for c in ("held_out", "first_step")]
-    narrow = rows.select(F.col("label").cast("double").alias("label"), *named, *kinds, margins, "part")
-    return narrow.mapInArrow(partial(_scores, plan, forest), "step int, part string, fold int, label double, score double")
+    narrow = rows.select(F.col("label").cast("double").alias("label"), *named, *kinds, "part")
+    # A row costs much: no core should be without rows.
+    spread = narrow.repartition(max(narrow.rdd.getNumPartitions(), rows.sparkSession.sparkContext.defaultParallelism))
+    return spread.mapInArrow(partial(_scores, plan, forest), "step int, part string, fold int, label double, score double")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from raterscope.operators import splits, validation
+from raterscope.operators import boosting, splits, validation
 from raterscope.operators.boosting import BoostedModel, BoostedTrees
 from raterscope.plans import catalog
 from raterscope.schemas import CORE_FEATURES
@@ -143,6 +143,24 @@ def test_partitions_and_order_do_not_matter(table):
     assert fits[0] == fits[1]
 
 
+def test_rows_are_dealt_to_all_cores(spark, table, monkeypatch):
+    """A large table that comes in one partition; nothing stays with the executors, and neither partitions nor who adds the sums matter."""
+    rows = table.df.select(F.col("ai_label").alias("label"), *CORE_FEATURES, F.lit(-1).alias("held_out"), F.lit(1).alias("first_step"))
+    written, write = [], boosting.cut_lineage
+    monkeypatch.setattr(boosting, "cut_lineage", lambda df: written.append(df.rdd.getNumPartitions()) or write(df))
+    kept = spark.sparkContext._jsc.getPersistentRDDs().size()
+
+    def fit():
+        return BoostedTrees(rounds=12, depth=3).fit_many(rows.coalesce(1), CORE_FEATURES, [-1], 1, 400_000)[-1, 1]
+
+    spread = fit()
+    assert written == [8, 8] and spark.sparkContext._jsc.getPersistentRDDs().size() == kept
+    monkeypatch.setattr(boosting, "_CELLS_COLLECTED", 0)
+    assert fit() == spread
+    monkeypatch.setattr(boosting, "_LEAST_ROWS", 1_000_000)
+    assert fit() == spread and written[-1] == 1
+
+
 def test_native_score_is_the_walk(spark, table):
     model = validation.final_fit(table, P)
     points = [(float(a), float(b), c) for a in (-9, 0, 0.3) for b in (-1, 0.5, 9) for c in (0.1, 99.0, math.nan, None)]
