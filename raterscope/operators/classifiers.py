@@ -1,4 +1,4 @@
-"""The classifiers that are compared: boosted trees (``boosting``), support vectors (``kernel``) and Spark ML pipelines.
+"""The classifiers that are compared: boosted trees (``boosting``), random forests (``forest``), support vectors (``kernel``) and Spark ML pipelines.
 
 The parameters are those of the libraries usually used for these models on small tables. Neighbours are in ``knn``.
 """
@@ -13,6 +13,7 @@ from pyspark.ml.feature import VectorAssembler
 
 from ..schemas import CORE_FEATURES
 from .boosting import BoostedTrees
+from .forest import RandomForest
 from .kernel import KernelSvm
 
 SEED = 42
@@ -30,14 +31,14 @@ def boosted_trees(rounds: int = 100, **parameters) -> BoostedTrees:
     return BoostedTrees(rounds, **parameters)
 
 
-def random_forest(trees: int = 100, depth: int = 30) -> Builder:
-    """``depth`` is the most that Spark allows; trees usually end before."""
+def random_forest(trees: int = 100, depth: int = 30) -> RandomForest:
+    """``depth`` is the most that Spark allows; trees usually end before. Many features go to Spark's own forest."""
 
     def build(label: str, features: Sequence[str], n_rows: int) -> Pipeline:
         forest = RandomForestClassifier(labelCol=label, numTrees=trees, maxDepth=depth, seed=SEED)
         return Pipeline(stages=[assembler(features), forest])
 
-    return build
+    return RandomForest(trees, depth, SEED, build)
 
 
 def support_vectors(iterations: int = 20, **parameters) -> KernelSvm:
@@ -60,7 +61,7 @@ def logistic_regression(iterations: int = 1000, standardize: bool = False) -> Bu
     return build
 
 
-def builders(rounds: int = 100, trees: int = 100, svm_iterations: int = 20) -> dict[str, Builder | BoostedTrees | KernelSvm]:
+def builders(rounds: int = 100, trees: int = 100, svm_iterations: int = 20) -> dict[str, Builder | BoostedTrees | KernelSvm | RandomForest]:
     """The fitted models of the comparison by name."""
     return {
         "boosted_trees": boosted_trees(rounds),

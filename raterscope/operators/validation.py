@@ -19,14 +19,15 @@ from .boosting import BoostedModel, BoostedTrees, score_many
 from .classifiers import Builder
 from .cleaning import is_number
 from .evaluation import mean_fold_auc, roc_auc
+from .forest import ForestModel, RandomForest
 from .kernel import KernelModel, KernelSvm
 from .knn import knn_classify
 from .splits import learning_subsets
 
 ROWS_PER_PARTITION = 100_000
 # Estimators that fit the models of all folds together, and their models.
-Together = BoostedTrees | KernelSvm
-NativeModel = BoostedModel | KernelModel
+Together = BoostedTrees | KernelSvm | RandomForest
+NativeModel = BoostedModel | KernelModel | ForestModel
 Model = PipelineModel | NativeModel
 
 
@@ -99,6 +100,10 @@ def _training_rows(table: FoldedTable, label: str, fold: str, features: Sequence
     return rows.select(F.col(label).alias("label"), *features, "held_out")
 
 
+def _fits_together(build: Builder | Together, features: Sequence[str]) -> bool:
+    return build.together(features) if isinstance(build, RandomForest) else isinstance(build, Together)
+
+
 def fit_folds(
     table: FoldedTable,
     build: Builder | Together,
@@ -108,7 +113,7 @@ def fit_folds(
     parallelism: int = 3,
 ) -> dict[int, Model]:
     """One model per fold, trained on the other folds: all together where the estimator can, else in driver threads."""
-    if isinstance(build, Together):
+    if _fits_together(build, features):
         return build.fit_together(_training_rows(table, label, fold, features), features, sorted(table.fold_rows), table.n_rows)
 
     def fit(held_out: int) -> tuple[int, PipelineModel]:
@@ -170,7 +175,7 @@ def cross_validate_knn(
 
 
 def feature_importance(
-    models: Mapping[int, PipelineModel | BoostedModel], spark, features: Sequence[str] = CORE_FEATURES
+    models: Mapping[int, PipelineModel | BoostedModel | ForestModel], spark, features: Sequence[str] = CORE_FEATURES
 ) -> DataFrame:
     """Importance of each feature averaged over the folds' tree models, largest first.
 
@@ -178,7 +183,7 @@ def feature_importance(
     """
 
     def shares(model) -> Sequence[float]:
-        if isinstance(model, BoostedModel):
+        if isinstance(model, BoostedModel | ForestModel):
             own = model.importance()
             return [own[f] for f in features]
         return model.stages[-1].featureImportances.toArray()
@@ -304,7 +309,7 @@ def final_fit(
     table: FoldedTable, build: Builder | Together, features: Sequence[str] = CORE_FEATURES, label: str = "ai_label"
 ) -> Model:
     """The model trained on every row."""
-    if isinstance(build, Together):
+    if _fits_together(build, features):
         rows = table.df.select(F.col(label).alias("label"), *features, F.lit(-1).alias("held_out"))
         return build.fit_together(rows, features, [-1], table.n_rows)[-1]
     return build(label, features, table.n_rows).fit(table.df)

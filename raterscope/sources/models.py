@@ -8,6 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import SparkSession
 
 from ..operators.boosting import BoostedModel
+from ..operators.forest import ForestModel
 from ..operators.kernel import KernelModel
 from ..operators.validation import Model, NativeModel
 
@@ -28,9 +29,9 @@ def save_model(model: Model, folder: str, prefix: str = "rater_model", day: date
 
 
 def load_model(path: str) -> Model:
-    """Load a model saved by :func:`save_model`: tables of nodes or of kernel terms, or a pipeline."""
+    """Load a model saved by :func:`save_model`: tables of nodes, of kernel terms or of cells, or a pipeline."""
     spark, path = SparkSession.active(), path.rstrip("/")
-    for folder, kind in (("nodes", BoostedModel), ("terms", KernelModel)):
+    for folder, kind in (("nodes", BoostedModel), ("terms", KernelModel), ("grid", ForestModel)):
         place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{folder}")
         if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
             return kind.load(spark, path)
