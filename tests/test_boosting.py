@@ -161,6 +161,13 @@ def test_rows_are_dealt_to_all_cores(spark, table, monkeypatch):
     assert fit() == spread and written[-1] == 1
 
 
+def test_curve_scores_are_dealt_to_all_cores(spark, table):
+    models, subsets = validation.fit_curve(table, BoostedTrees(rounds=2, depth=2), steps=2)
+    scored = validation.curve_scores(table, models, subsets.coalesce(1))
+    assert scored.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert scored.count() == 150 * (2 + 3)
+
+
 def test_native_score_is_the_walk(spark, table):
     model = validation.final_fit(table, P)
     points = [(float(a), float(b), c) for a in (-9, 0, 0.3) for b in (-1, 0.5, 9) for c in (0.1, 99.0, math.nan, None)]
