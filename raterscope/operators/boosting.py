@@ -5,8 +5,10 @@ for every second open node of every model, the first and second derivatives of t
 sibling's are what is left of the parent's. Tasks sum their rows' histograms before they are grouped, so what is moved depends
 on models, nodes and bins, never on rows; the histograms are the only thing that the driver sees, and their size is a parameter's.
 Rows come with the models that they train as the fold held out (``held_out``) and the first step that uses them
-(``first_step``). They are binned once, dealt to all cores and held in blocks of arrays, each row once for every model it trains, with
-its margin, which each round renews where it is kept; a job walks the tree that grows, not those before it.
+(``first_step``). They are binned once and held in blocks of arrays, each row once for every model it trains, with
+its margin, which each round renews where it is kept; a job walks the tree that grows, not those before it. A block is of one
+model. Blocks lie in the order of their models, in equal parts, so a task knows few models and sends few histograms,
+and a model with many rows has many tasks.
 
 A split's gain is ``S(left) + S(right) - S(whole)`` with ``S = soft(G, l1)^2 / (H + l2)``, and a leaf's value
 ``-rate * soft(G, l1) / (H + l2)``. Derivatives are summed as whole numbers, scaled so that all rows
@@ -25,6 +27,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,15 +38,17 @@ from ..session import cut_lineage, intermediate_tables
 _LEAST_GAIN = 1e-6
 # Rounds between two tables of margins; the rounds between keep theirs with the executors.
 _WRITTEN_EVERY = 10
-# Rows, counted once for each model that they train: of a block, and of a partition at least and at most.
-_BLOCK_ROWS = 400_000
-_LEAST_ROWS, _MOST_ROWS = 50_000, 2_000_000
+# Rows, counted once for each model that they train: packed at a time, of a block, and of a partition at least and at most.
+_PACKED_ROWS, _BLOCK_ROWS = 400_000, 50_000
+_LEAST_ROWS, _MOST_ROWS = 50_000, 4_000_000
+# Rows scored at a time.
+_SCORED_ROWS = 40_000
 # Sums of all tasks that the driver adds up itself.
-_CELLS_COLLECTED = 500_000
+_CELLS_COLLECTED = 4_000_000
 # Least second derivative of a row, so that a sure row still has weight.
 _LEAST_CURVE = 1e-16
 
-_BLOCKS = "label binary, bins binary, model binary, margin binary"
+_BLOCKS = "target int, model int, label binary, bins binary, margin binary"
 _TREES = "array<struct<f:array<int>,c:array<double>,l:array<int>,v:array<double>>>"
 _LEDGER = "tree int, node int, feature string, cut double, left int, value double, gain double, cover double"
 
@@ -133,23 +138,32 @@ class _Trees:
 
     def __post_init__(self) -> None:
         shape = self.n_models, self.n_nodes
-        self.feature, self.cut, self.value = np.full(shape, -1, np.int16), np.zeros(shape, np.int32), np.zeros(shape)
-
-    def place(self, bins: np.ndarray, model: np.ndarray, levels: int | None = None) -> np.ndarray:
-        """Node of each row under its model, at most ``levels`` below the root."""
-        feature, cut, flat = self.feature.ravel(), self.cut.ravel(), bins.ravel()
-        root, first = model * np.int64(self.n_nodes), np.arange(len(bins)) * bins.shape[1]
-        at = np.zeros(len(bins), np.int64)
-        for _ in range(self.n_nodes.bit_length() - 1 if levels is None else levels):
-            node = root + at
-            split = feature[node]
-            right = flat[first + np.maximum(split, 0)] > cut[node]
-            at = np.where(split < 0, at, 2 * at + 1 + right)
+        # No bin lies above the cut of a node that does not split.
+        self.feature, self.cut, self.value = np.full(shape, -1, np.int16), np.full(shape, np.iinfo(np.int32).max, np.int32), np.zeros(shape)
+
+    def place(self, bins: np.ndarray, model: int, levels: int) -> np.ndarray:
+        """Place of each row (bins by feature) ``levels`` below the root of a model's tree; below a leaf rows go left."""
+        flat, rows, cut = bins.ravel(), np.arange(bins.shape[1]), self.cut[model]
+        start = np.maximum(self.feature[model], 0) * np.int64(bins.shape[1])
+        at = np.zeros(bins.shape[1], np.int64)
+        for _ in range(levels):
+            own = start.take(at)
+            own += rows
+            right = flat.take(own) > cut.take(at)
+            at *= 2
+            at += 1
+            at += right
         return at
 
-    def leaf(self, bins: np.ndarray, model: np.ndarray) -> np.ndarray:
-        """Value of the leaf that each row falls into."""
-        return self.value[model, self.place(bins, model)]
+    def settle(self) -> None:
+        """Carry the leaves' values down to where ``place`` leaves their rows."""
+        for at in range(self.n_nodes // 2):
+            closed = self.feature[:, at] < 0
+            self.value[closed, 2 * at + 1] = self.value[closed, at]
+
+    def leaf(self, bins: np.ndarray, model: int) -> np.ndarray:
+        """Value of the leaf that each row falls into, once settled."""
+        return self.value[model].take(self.place(bins, model, self.n_nodes.bit_length() - 1))
 
 
 @dataclass(frozen=True)
@@ -179,68 +193,106 @@ class _Plan:
         row, step = np.nonzero(column("first_step")[:, None] <= np.arange(1, self.steps + 1))
         return row, column("label")[row], bins.astype(self.bin_type)[row], (fold[row] * self.steps + step).astype(np.int32)
 
-    def blocks(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """Labels, bins, models and margins of the blocks."""
-        for batch in batches:
-            for block in batch.to_pylist():
-                kinds = {"label": np.uint8, "bins": self.bin_type, "model": np.int32, "margin": np.float64}
-                label, bins, model, margin = (np.frombuffer(block[name], kind) for name, kind in kinds.items())
-                yield label, bins.reshape(-1, len(self.features)), model, margin
-
+# A model's rows: the model, labels, bins by feature, margins.
+_Block = tuple[int, np.ndarray, np.ndarray, np.ndarray]
 
-def _block(*arrays: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in arrays], ["label", "bins", "model", "margin"])
 
+def _packed_rows(plan: _Plan, ends: np.ndarray, partitions: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row once for every model that it trains, in blocks of one model and one target partition.
 
-def _packed_rows(plan: _Plan, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each row once for every model that it trains, in blocks of arrays."""
+    ``ends`` counts the rows of the models up to each; the line of all of them is cut into equal parts.
+    """
     waiting, held = [], 0
+    borders = np.arange(partitions + 1) * (ends[-1] / partitions)
 
-    def joined() -> pa.RecordBatch:
+    def blocks() -> Iterator[pa.RecordBatch]:
         label, bins, model = (np.concatenate(c) for c in zip(*waiting, strict=True))
-        return _block(label, bins, model, np.zeros(len(label)))
+        order = np.argsort(model, kind="stable")
+        found, first = np.unique(model[order], return_index=True)
+        for m, rows in zip(found.tolist(), np.split(order, first[1:]), strict=True):
+            start = ends[m - 1] if m else 0
+            # The model's rows are shared out as its stretch of the line is.
+            cuts = np.rint(np.clip((borders - start) / (ends[m] - start), 0, 1) * len(rows)).astype(int)
+            for target in np.flatnonzero(np.diff(cuts)).tolist():
+                own = rows[cuts[target] : cuts[target + 1]]
+                arrays = label[own], np.ascontiguousarray(bins[own].T), np.zeros(len(own))
+                columns = [pa.array([target], pa.int32()), pa.array([m], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in arrays)]
+                yield pa.RecordBatch.from_arrays(columns, ["target", "model", "label", "bins", "margin"])
 
     for batch in batches:
         _, label, bins, model = plan.read(batch)
         waiting.append((label.astype(np.uint8), bins, model))
         held += len(label)
-        if held >= _BLOCK_ROWS:
-            yield joined()
+        if held >= _PACKED_ROWS:
+            yield from blocks()
             waiting, held = [], 0
     if held:
-        yield joined()
+        yield from blocks()
+
+
+def _merged(plan: _Plan, rows: Iterator) -> Iterator[_Block]:
+    """Rows of the table of blocks as arrays, small blocks of a model joined."""
+    waiting: dict[int, list] = {}
+    for row in rows:
+        label, margin = np.frombuffer(row["label"], np.uint8), np.frombuffer(row["margin"], np.float64)
+        own = waiting.setdefault(row["model"], [])
+        own.append((label, np.frombuffer(row["bins"], plan.bin_type).reshape(len(plan.features), -1), margin))
+        if sum(len(x[0]) for x in own) >= _BLOCK_ROWS:
+            yield _joined(row["model"], waiting.pop(row["model"]))
+    for model, own in waiting.items():
+        yield _joined(model, own)
+
 
+def _joined(model: int, parts: list) -> _Block:
+    label, bins, margin = zip(*parts, strict=True)
+    return model, np.concatenate(label), np.concatenate(bins, axis=1), np.concatenate(margin)
 
-def _histograms(plan: _Plan, trees: _Trees, slots: np.ndarray, levels: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of scaled derivatives for each wanted node (``slots``: model, node -> place or -1), feature and bin."""
+
+def _histograms(plan: _Plan, trees: _Trees, slots: np.ndarray, levels: int, blocks: Iterator[_Block]) -> Iterator[tuple[int, np.ndarray]]:
+    """Of each model its sums of scaled derivatives (node, slope or curve, feature, bin) for the wanted nodes (``slots``: model, node -> place or -1)."""
     n_features, n_bins = len(plan.features), plan.n_bins
-    sums = np.zeros((2, (int(slots.max()) + 1) * n_features * n_bins))
-    for label, bins, model, margin in plan.blocks(batches):
-        slot = slots[model, trees.place(bins, model, levels)]
+    found: dict[int, np.ndarray] = {}
+    for model, label, bins, margin in blocks:
+        n_slots = int(slots[model].max()) + 1
+        if not n_slots:
+            continue
+        slot = slots[model].take(trees.place(bins, model, levels))
         wanted = np.flatnonzero(slot >= 0)
         chance = 1 / (1 + np.exp(-margin[wanted]))
         slope = np.rint((chance - label[wanted]) * plan.scale)
         curve = np.rint(np.maximum(chance * (1 - chance), _LEAST_CURVE) * plan.scale)
-        base = slot[wanted] * (n_features * n_bins)
+        base = slot[wanted] * n_bins
+        if model not in found:
+            found[model] = np.zeros((2, n_features, n_slots * n_bins))
+        sums = found[model]
         for i in range(n_features):
-            key = base + (bins[wanted, i] + np.int64(i * n_bins))
-            sums[0] += np.bincount(key, slope, sums.shape[1])
-            sums[1] += np.bincount(key, curve, sums.shape[1])
-    keys = np.flatnonzero(sums.any(axis=0))
-    yield pa.RecordBatch.from_arrays([pa.array(keys), *[pa.array(s[keys].astype(np.int64)) for s in sums]], ["key", "slope", "curve"])
+            key = base + bins[i].take(wanted)
+            sums[0, i] += np.bincount(key, slope, n_slots * n_bins)
+            sums[1, i] += np.bincount(key, curve, n_slots * n_bins)
+    for model, sums in found.items():
+        yield model, np.ascontiguousarray(sums.reshape(2, n_features, -1, n_bins).transpose(2, 0, 1, 3))
+
 
+def _grown_margins(trees: _Trees, block: _Block) -> _Block:
+    model, label, bins, margin = block
+    return model, label, bins, margin + trees.leaf(bins, model)
 
-def _grown_margins(plan: _Plan, trees: _Trees, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for label, bins, model, margin in plan.blocks(batches):
-        yield _block(label, bins, model, margin + trees.leaf(bins, model))
+
+def _as_row(block: _Block) -> tuple:
+    model, *arrays = block
+    return 0, model, *(a.tobytes() for a in arrays)
 
 
 def _scores(plan: _Plan, forest: Sequence[_Trees], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _larger(batches):
         row, label, bins, model = plan.read(batch)
-        margin = np.zeros(len(row))
-        for trees in forest:
-            margin += trees.leaf(bins, model)
+        margin, order = np.zeros(len(row)), np.argsort(model, kind="stable")
+        found, first = np.unique(model[order], return_index=True)
+        for m, own in zip(found.tolist(), np.split(order, first[1:]), strict=True):
+            walked, total = np.ascontiguousarray(bins[own].T), np.zeros(len(own))
+            for trees in forest:
+                total += trees.leaf(walked, m)
+            margin[own] = total
         take = lambda name: batch.column(batch.schema.get_field_index(name)).take(pa.array(row))
         yield pa.RecordBatch.from_arrays(
             [pa.array(model % plan.steps + 1, pa.int32()), take("part"), take("held_out"), pa.array(label), pa.array(1 / (1 + np.exp(-margin)))],
@@ -248,6 +300,21 @@ def _scores(plan: _Plan, forest: Sequence[_Trees], batches: Iterator[pa.RecordBa
         )
 
 
+def _larger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of about as many rows as are scored at a time."""
+    waiting, held = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        waiting.append(batch)
+        held += batch.num_rows
+        if held >= _SCORED_ROWS:
+            yield pa.concat_batches(waiting)
+            waiting, held = [], 0
+    if waiting:
+        yield pa.concat_batches(waiting)
+
+
 @dataclass(frozen=True)
 class BoostedTrees:
     """Parameters. ``least_cover`` is the least sum of second derivatives on either side of a split."""
@@ -291,16 +358,20 @@ class BoostedTrees:
         named = [F.col(f"`{f}`").cast("double").alias(f) for f in features]
         kinds = [F.col("held_out").cast("int").alias("held_out"), F.col("first_step").cast("int").alias("first_step")]
         narrow = rows.select(F.col("label").cast("double").alias("label"), *named, *kinds)
-        spread = narrow.repartition(_partitions(rows.sparkSession, n_rows * n_models))
-        current = cut_lineage(spread.mapInArrow(partial(_packed_rows, plan), _BLOCKS)).persist()
+        partitions = _partitions(rows.sparkSession, n_rows * n_models)
+        pack = partial(_packed_rows, plan, _ends(narrow, held_out, steps), partitions)
+        packed = narrow.repartition(partitions).mapInArrow(pack, _BLOCKS)
+        current = _kept(plan, packed.repartitionById(partitions, F.col("target")))
         ledgers: list[list[tuple]] = [[] for _ in range(n_models)]
         try:
             for round_ in range(self.rounds):
                 before = None
                 if round_:
                     # The first level's job keeps the new margins where the old ones were kept.
-                    before, current = current, current.mapInArrow(partial(_grown_margins, plan, trees), _BLOCKS)
-                    current = (cut_lineage(current) if round_ % _WRITTEN_EVERY == 0 else current).persist()
+                    before, current = current, current.map(partial(_grown_margins, trees))
+                    if round_ % _WRITTEN_EVERY == 0:
+                        current = _kept(plan, rows.sparkSession.createDataFrame(current.map(_as_row), _BLOCKS, verifySchema=False))
+                    current = current.persist(StorageLevel.MEMORY_AND_DISK)
                 trees = _Trees(n_models, n_nodes)
                 gains, covers = np.zeros((n_models, n_nodes)), np.zeros((n_models, n_nodes))
                 wanted, above = np.array([[model, 0] for model in range(n_models)]), None
@@ -311,6 +382,7 @@ class BoostedTrees:
                         before = None
                     if not len(wanted):
                         break
+                trees.settle()
                 for model, ledger in enumerate(ledgers):
                     ledger += _nodes(plan, trees, model, round_, gains[model], covers[model])
         finally:
@@ -321,19 +393,24 @@ class BoostedTrees:
             for step in range(steps)
         }
 
-    def _sums(self, plan: _Plan, trees: _Trees, rows: DataFrame, level: int, wanted: np.ndarray) -> np.ndarray:
-        """Histograms (node, slope or curve, feature, bin) of the wanted nodes (model, node), in scaled whole numbers. Runs a job."""
+    def _sums(self, plan: _Plan, trees: _Trees, rows: RDD, level: int, wanted: np.ndarray) -> np.ndarray:
+        """Histograms (node, slope or curve, feature, bin) of the wanted nodes (model, node), in scaled whole numbers. Runs a job.
+
+        The wanted nodes lie in the order of their models.
+        """
+        found, first, own = np.unique(wanted[:, 0], return_index=True, return_counts=True)
+        start = dict(zip(found.tolist(), first.tolist(), strict=True))
         slots = np.full(trees.feature.shape, -1, np.int64)
-        slots[tuple(wanted.T)] = np.arange(len(wanted))
-        cells = len(wanted) * len(plan.features) * plan.n_bins
-        sums = rows.mapInArrow(partial(_histograms, plan, trees, slots, level), "key long, slope long, curve long")
-        # Few small sums are added here, many by Spark.
-        if rows.rdd.getNumPartitions() * cells > _CELLS_COLLECTED:
-            sums = sums.groupBy("key").agg(F.sum("slope").alias("slope"), F.sum("curve").alias("curve"))
-        found = sums.toArrow()
-        key = found.column("key").to_numpy()
-        dense = np.stack([np.bincount(key, found.column(c).to_numpy().astype(np.float64), cells) for c in ("slope", "curve")])
-        return dense.reshape(2, len(wanted), len(plan.features), plan.n_bins).swapaxes(0, 1)
+        slots[tuple(wanted.T)] = np.arange(len(wanted)) - np.repeat(first, own)
+        sums = rows.mapPartitions(partial(_histograms, plan, trees, slots, level))
+        # Few sums are added here, many by Spark first. Where parts meet, two tasks know a model.
+        cells = len(plan.features) * plan.n_bins
+        if (len(wanted) + rows.getNumPartitions() * int(own.max())) * cells > _CELLS_COLLECTED:
+            sums = sums.reduceByKey(np.add, min(len(found), rows.getNumPartitions()))
+        exact = np.zeros((len(wanted), 2, len(plan.features), plan.n_bins))
+        for model, part in sums.collect():
+            exact[start[model] : start[model] + len(part)] += part
+        return exact
 
     def _level(self, plan, trees, rows, level, open_, above, gains, covers) -> tuple[np.ndarray, tuple | None]:
         """Split the open nodes (model, node) or make leaves of them; returns the nodes that are open next, and what is known of them.
@@ -393,9 +470,24 @@ class BoostedTrees:
 
 
 def _partitions(spark: SparkSession, n_rows: int) -> int:
-    """Partitions for ``n_rows`` rows, each counted once for every model: all cores, if that is work enough for them."""
+    """Partitions for ``n_rows`` rows, each counted once for every model: all cores, if that is work enough for them, or several times as many."""
     cores = spark.sparkContext.defaultParallelism
-    return max(1, min(cores, -(-n_rows // _LEAST_ROWS)), -(-n_rows // _MOST_ROWS))
+    few = min(cores, -(-n_rows // _LEAST_ROWS))
+    return max(1, few, -(-n_rows // (_MOST_ROWS * cores)) * cores if n_rows > _MOST_ROWS * cores else 1)
+
+
+def _ends(rows: DataFrame, held_out: Sequence[int], steps: int) -> np.ndarray:
+    """How many rows the models up to each train on. Runs a job."""
+    own = np.zeros((len(held_out), steps), np.int64)
+    for fold, step, n in rows.groupBy("held_out", "first_step").count().collect():
+        if fold in held_out and step is not None:
+            own[list(held_out).index(fold), max(step, 1) - 1 :] += n
+    return np.cumsum(own.ravel())
+
+
+def _kept(plan: _Plan, blocks: DataFrame) -> RDD:
+    """The blocks, written once, as arrays that stay with the executors."""
+    return cut_lineage(blocks).rdd.mapPartitions(partial(_merged, plan)).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _nodes(plan: _Plan, trees: _Trees, model: int, tree: int, gains: np.ndarray, covers: np.ndarray) -> list[tuple]:
@@ -444,6 +536,7 @@ def _packed(models: Mapping[tuple[int, int], BoostedModel], features: Sequence[s
                 trees.feature[row, at] = j
                 trees.cut[row, at] = int(np.searchsorted(cuts[j], cut))
                 todo += [(left, 2 * at + 1), (left + 1, 2 * at + 2)]
+        trees.settle()
         forest.append(trees)
     return plan, forest
 

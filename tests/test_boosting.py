@@ -1,5 +1,6 @@
 """Boosted trees against a plain recursive version, and their native scores against a walk of the nodes."""
 
+import contextlib
 import math
 
 import numpy as np
@@ -161,6 +162,22 @@ def test_rows_are_dealt_to_all_cores(spark, table, monkeypatch):
     assert fit() == spread and written[-1] == 1
 
 
+def test_a_task_knows_few_models(spark, table, monkeypatch):
+    """Rows of many models lie in the order of the models, in equal parts, so that few tasks send sums of the same nodes."""
+    written, write = [], boosting.cut_lineage
+    monkeypatch.setattr(boosting, "cut_lineage", lambda df: written.append(write(df)) or written[-1])
+    monkeypatch.setattr(boosting, "_LEAST_ROWS", 100)
+    subsets = validation.learning_subsets(table.df, 4, k=3).withColumnRenamed("ai_label", "label")
+    monkeypatch.setattr(boosting, "intermediate_tables", lambda spark: contextlib.nullcontext())
+    BoostedTrees(rounds=1, depth=2).fit_many(subsets, CORE_FEATURES, [0, 1, 2], 4, table.n_rows)
+    blocks = written[0].select("target", "model", F.length("label").alias("n")).collect()
+    assert sum(b["n"] for b in blocks) == sum(len(range(r["first_step"], 5)) for r in subsets.collect())
+    met = {(b["target"], b["model"]) for b in blocks}
+    assert len({t for t, _ in met}) == 8 and len(met) <= 12 + 7
+    parts = [sum(b["n"] for b in blocks if b["target"] == t) for t in range(8)]
+    assert max(parts) < 1.5 * min(parts)
+
+
 def test_curve_scores_are_dealt_to_all_cores(spark, table):
     models, subsets = validation.fit_curve(table, BoostedTrees(rounds=2, depth=2), steps=2)
     scored = validation.curve_scores(table, models, subsets.coalesce(1))
