@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from contextvars import copy_context
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
@@ -85,8 +86,10 @@ def _scored(model: Model, rows: DataFrame, user_col: str, label: str) -> DataFra
 def _in_threads(task, items: Sequence, parallelism: int, spark) -> list:
     if parallelism <= 1 or len(items) <= 1:
         return [task(item) for item in items]
+    # Tables that a thread writes belong to the scope of the caller; scopes that it opens are its own.
+    context = copy_context()
     with ThreadPool(min(parallelism, len(items))) as pool:
-        return pool.map(inheritable_thread_target(spark)(task), items)
+        return pool.map(inheritable_thread_target(spark)(lambda item: context.copy().run(task, item)), items, 1)
 
 
 def _union(parts: Sequence[DataFrame]) -> DataFrame:
@@ -198,11 +201,14 @@ def feature_importance(
 def compare_models(
     table: FoldedTable, builders: Mapping[str, Builder], knn_k: int | None = 5, parallelism: int = 3
 ) -> DataFrame:
-    """Out-of-fold scores of all models in one table, for the evaluation functions with ``by=["model"]``."""
-    parts = [cross_validate(table, build, name, parallelism) for name, build in builders.items()]
+    """Out-of-fold scores of all models in one table, for the evaluation functions with ``by=["model"]``.
+
+    The models are fitted at the same time: each runs many short jobs, between which the cores would wait for the driver.
+    """
+    fits = [partial(cross_validate, table, build, name, parallelism) for name, build in builders.items()]
     if knn_k:
-        parts.append(cross_validate_knn(table, knn_k, parallelism=parallelism))
-    return _union(parts)
+        fits.append(partial(cross_validate_knn, table, knn_k, parallelism=parallelism))
+    return _union(_in_threads(lambda fit: fit(), fits, parallelism, table.df.sparkSession))
 
 
 def mean_auc_by_model(scored: DataFrame) -> DataFrame:

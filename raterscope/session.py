@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,7 +37,8 @@ def shared_folder(spark: SparkSession) -> str:
     return (named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate").rstrip("/")
 
 
-_open_scopes: list[list[str]] = []
+# A thread's own, and those of the thread that started it where that hands its context on.
+_open_scopes: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("open_scopes", default=())
 
 
 @contextlib.contextmanager
@@ -47,11 +49,11 @@ def intermediate_tables(spark: SparkSession):
     result must not use it, as the result still reads those tables.
     """
     made: list[str] = []
-    _open_scopes.append(made)
+    token = _open_scopes.set((*_open_scopes.get(), made))
     try:
         yield
     finally:
-        _open_scopes.remove(made)
+        _open_scopes.reset(token)
         for path in made:
             target = spark._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
@@ -60,8 +62,8 @@ def intermediate_tables(spark: SparkSession):
 def new_folder(spark: SparkSession, prefix: str = "raterscope") -> str:
     """Name of a folder below the shared one that nothing else uses."""
     path = f"{shared_folder(spark)}/{prefix}-{uuid.uuid4().hex}"
-    if _open_scopes:
-        _open_scopes[-1].append(path)
+    if scopes := _open_scopes.get():
+        scopes[-1].append(path)
     return path
 
 

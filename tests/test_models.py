@@ -1,9 +1,12 @@
 import os
+import threading
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from raterscope import session
 from raterscope.__main__ import main
 from raterscope.errors import MissingColumnsError, NoDataError
 from raterscope.operators import classifiers, evaluation, knn, scoring, splits, validation
@@ -259,3 +262,42 @@ def test_first_user_of_text_ids(spark):
 
     assert first("10", "2", "30") == 2
     assert first("10", "2", "x") == 1
+
+
+def test_threads_keep_their_tables(spark):
+    """A table is removed at the end of the scope of its own thread, or of the one that started the thread, and of no other."""
+    opened, written, closed = (threading.Event() for _ in range(3))
+
+    def task(opens):
+        if opens:
+            with session.intermediate_tables(spark):
+                opened.set()
+                assert written.wait(60)
+            closed.set()
+            return None
+        assert opened.wait(60)
+        kept = session.cut_lineage(spark.range(3))
+        written.set()
+        assert closed.wait(60)
+        assert kept.count() == 3
+        return kept
+
+    with session.intermediate_tables(spark):
+        kept = validation._in_threads(task, [True, False], 2, spark)[1]
+        path = Path(kept.inputFiles()[0].removeprefix("file://"))
+        assert path.exists()
+    assert not path.exists()
+
+
+def test_compared_models_are_fitted_at_the_same_time(spark, monkeypatch):
+    met = threading.Barrier(3, timeout=30)
+
+    def scored(name):
+        met.wait()
+        return spark.createDataFrame([(name, 0, 1.0)], "model string, fold int, score double")
+
+    monkeypatch.setattr(validation, "cross_validate", lambda table, build, name, parallelism: scored(name))
+    monkeypatch.setattr(validation, "cross_validate_knn", lambda table, k, parallelism: scored("k"))
+    table = validation.FoldedTable(spark.range(1), {0: 1})
+    found = validation.compare_models(table, {"a": None, "b": None}, parallelism=3).collect()
+    assert [r["model"] for r in found] == ["a", "b", "k"]
