@@ -203,6 +203,38 @@ def test_native_score_is_the_walk(spark, table):
         assert r["score"] == pytest.approx(1 / (1 + math.exp(-margin)), abs=1e-12)
 
 
+def test_deep_trees_score_by_words_of_leaves(spark):
+    """Trees with more leaves than a word has bits; of every row's words one bit is left a tree, that of the leaf that a walk ends in."""
+    rng, nodes = np.random.default_rng(8), []
+    for tree in range(3):
+        todo, n = [(0, 0)], 1
+        while todo:
+            node, level = todo.pop(0)
+            if level == 7 + tree or (level > 2 and rng.random() < 0.1):
+                nodes.append((tree, node, None, None, None, float(rng.normal()), None, 1.0))
+                continue
+            nodes.append((tree, node, "ab"[rng.integers(2)], float(rng.integers(-9, 10)) / 2, n, 0.0, 1.0, 1.0))
+            todo += [(n, level + 1), (n + 1, level + 1)]
+            n += 2
+    model = BoostedModel(("a", "b"), tuple(nodes))
+    points = [(x, y) for x in (*np.arange(-5.0, 5.1, 0.25).tolist(), math.nan, None, math.inf, -math.inf) for y in (-9.0, -0.0, 0.5, 2.25, 9.0, None)]
+    cuts, masks, values = boosting._leaf_masks(model)
+    leaves = [sum(1 for n in nodes if n[0] == tree and n[2] is None) for tree in range(3)]
+    assert max(leaves) > 64 and len(values) == sum(-(-n // 64) for n in leaves)
+    found = {(n[0], n[1]): n for n in nodes}
+    for r, (x, y) in zip(model.transform(spark.createDataFrame(points, "a double, b double").coalesce(1)).collect(), points, strict=True):
+        margin, row = 0.0, {"a": x, "b": y}
+        for tree in range(3):
+            node = found[tree, 0]
+            while node[2] is not None:
+                value = row[node[2]]
+                node = found[tree, node[4] + (0 if value is not None and value < node[3] else 1)]
+            margin += node[5]
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-margin)), abs=1e-12)
+        bins = [len(c) if v is None or math.isnan(v) else int(np.searchsorted(c, v, "right")) for v, c in zip((x, y), cuts, strict=True)]
+        assert sum(((a & b) % 2**64).bit_count() for a, b in zip(masks[0][bins[0]], masks[1][bins[1]], strict=True)) == 3
+
+
 def test_ledger_and_round_trip(spark, table, tmp_path):
     model = validation.final_fit(table, P)
     model.save(spark, str(tmp_path / "m"))

@@ -3,6 +3,7 @@
 import pytest
 
 from raterscope.operators import activity, prompts, statistics
+from raterscope.sources import views
 
 SETTINGS = {
     "spark.sql.autoBroadcastJoinThreshold": "-1",
@@ -80,3 +81,23 @@ def test_sketches_of_deliveries_give_the_quantiles_of_all(spark):
         own.setdefault(r["user_id"], []).append(r["_rating"])
     assert got == {u: [sorted(v)[-int(-len(v) * q // 1) - 1] for q in statistics.QUARTILES] for u, v in own.items()}
     assert statistics.merged_quantiles(halves[0].limit(0), "user_id").count() == 0
+
+
+def test_large_tables_are_joined_in_parts_of_bounded_size(spark, tmp_path, monkeypatch):
+    """More lines than the session's partitions can sort in memory; a small table is left to the session. Rows are the same."""
+    lines = [(i % 60 if i % 7 else None, 1, float(i % 50 + 1)) for i in range(200)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    orders = [(k, k % 11) for k in [*range(50), 3]] + [(None, 5)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+
+    def found():
+        joined = views.ratings_by_customer(spark, str(tmp_path), titles=False)
+        plan = joined._jdf.queryExecution().optimizedPlan().toString()
+        return sorted(map(tuple, joined.collect())), plan.count("RepartitionByExpression")
+
+    plain = found()
+    monkeypatch.setattr(views, "_ROWS_SORTED", 10)
+    parts = found()
+    assert plain[1] == 0 and parts[1] == 2
+    expected = sorted((c, 1, float(-(-q // 10))) for k, _, q in lines if k is not None for o, c in orders if o == k)
+    assert parts[0] == plain[0] == expected
